@@ -75,47 +75,78 @@ def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[flo
     return float(best[room]), pattern
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def _greedy_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: fill a sequence with the largest sizes left, repeat it until one of its sizes is used up.
+
+    As every pattern uses up one size for good, the patterns are independent and their amounts meet the demand.
+    """
+    left, alive = demand.astype(float).copy(), np.ones(len(sizes), dtype=bool)
+    patterns, amounts = [], []
+    while alive.any():
+        space, pattern = room, np.zeros(len(sizes))
+        for k in np.flatnonzero(alive).tolist():
+            each = min(space // int(sizes[k]), max(1, int(left[k])))
+            pattern[k] = each
+            space -= each * int(sizes[k])
+        used = pattern > 0
+        ratio = np.where(used, left / np.where(used, pattern, 1), np.inf)
+        out = int(ratio.argmin())
+        patterns.append(pattern)
+        amounts.append(ratio[out])
+        left = np.maximum(left - ratio[out] * pattern, 0)
+        alive[out] = False
+    return np.array(patterns).T, np.array(amounts)
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used, within ``gap`` of the linear program's optimum.
 
     ``sizes`` descend. Prices are smoothed towards the best dual solution so far, at first a price in proportion to
-    size, and demands are disturbed a little against degenerate steps.
+    size, and demands are disturbed a little against degenerate steps. A negative price brings in a surplus column.
     """
     m = len(sizes)
     disturbed = demand * (1 + 1e-4 * np.random.default_rng(1).random(m))
-    patterns = np.diag(room // sizes).astype(float)  # column j: as many of size j as fit
-    inverse, amount = np.diag(1.0 / (room // sizes)), disturbed / (room // sizes)
-    centre, bound = sizes / room, float(disturbed @ sizes) / room
+    patterns, amount = _greedy_patterns(sizes, disturbed, room)
+    inverse, cost = np.linalg.inv(patterns), np.ones(m)
+    centre, bound, fresh = sizes / room, float(disturbed @ sizes) / room, True
     for step in range(rounds):
-        if amount.sum() - bound <= gap * bound:
+        if cost @ amount - bound <= gap * bound:
             break
-        prices = inverse.sum(axis=0)
-        for smooth in (0.9, 0.5, 0.0):
-            tried = np.maximum(smooth * centre + (1 - smooth) * prices, 0)
-            value, pattern = _best_pattern(tried, sizes, room)
-            below = float(disturbed @ tried) / max(1.0, value)
-            if below > bound:
-                centre, bound = tried / max(1.0, value), below
-            if prices @ pattern > 1 + 1e-7:
-                break
+        prices = (cost[:, None] * inverse).sum(axis=0)
+        pattern, price = np.zeros(m, dtype=np.int64), 1.0
+        if prices.min() < -1e-9:
+            pattern[prices.argmin()], price = -1, 0.0
         else:
-            break  # no pattern improves on these
-        direction = inverse @ pattern
-        up = direction > 1e-9
-        ratio = np.where(up, amount / np.where(up, direction, 1), np.inf)
-        out = int(ratio.argmin())
-        theta = ratio[out]
-        amount = np.maximum(amount - theta * direction, 0)
-        amount[out] = theta
-        patterns[:, out] = pattern
-        inverse[out] /= direction[out]
-        rest = direction.copy()
-        rest[out] = 0
-        inverse -= np.outer(rest, inverse[out])
-        if step % 500 == 499:  # rounding errors
+            for smooth in (0.9, 0.5, 0.0):
+                tried = smooth * centre + (1 - smooth) * prices
+                value, pattern = _best_pattern(tried, sizes, room)
+                below = float(disturbed @ tried) / max(1.0, value)
+                if below > bound:
+                    centre, bound = tried / max(1.0, value), below
+                if prices @ pattern > 1 + 1e-7:
+                    break
+            else:
+                if fresh:
+                    break  # no pattern improves on these
+                pattern = None
+        if pattern is not None:
+            direction = np.einsum("ij,j->i", inverse, pattern.astype(float))  # small; a library's threads would only wait
+            up = direction > 1e-9
+            ratio = np.where(up, amount / np.where(up, direction, 1), np.inf)
+            out = int(ratio.argmin())
+            theta = ratio[out]
+            amount = np.maximum(amount - theta * direction, 0)
+            amount[out], cost[out], patterns[:, out] = theta, price, pattern
+            inverse[out] /= direction[out]
+            rest = direction.copy()
+            rest[out] = 0
+            inverse -= np.outer(rest, inverse[out])
+        fresh = pattern is None or step % 500 == 499
+        if fresh:  # rounding errors
             inverse = np.linalg.inv(patterns)
-            amount = np.maximum(inverse @ disturbed, 0)
-    return patterns.T.astype(np.int64), amount
+            amount = np.maximum(np.einsum("ij,j->i", inverse, disturbed), 0)
+    real = cost > 0
+    return patterns.T[real].astype(np.int64), amount[real]
 
 
 def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
