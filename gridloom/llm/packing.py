@@ -98,6 +98,20 @@ def _greedy_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[
     return np.array(patterns).T, np.array(amounts)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, row by row: threads of a linear algebra library wait long on a busy driver."""
+    m = len(matrix)
+    work = np.concatenate([matrix, np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        column = work[:, k].copy()
+        column[k] = 0
+        work -= column[:, None] * work[k]
+    return work[:, m:]
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used, within ``gap`` of the linear program's optimum.
 
@@ -107,7 +121,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
     m = len(sizes)
     disturbed = demand * (1 + 1e-4 * np.random.default_rng(1).random(m))
     patterns, amount = _greedy_patterns(sizes, disturbed, room)
-    inverse, cost = np.linalg.inv(patterns), np.ones(m)
+    inverse, cost = _inverse(patterns), np.ones(m)
     centre, bound, fresh = sizes / room, float(disturbed @ sizes) / room, True
     for step in range(rounds):
         if cost @ amount - bound <= gap * bound:
@@ -130,7 +144,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
                     break  # no pattern improves on these
                 pattern = None
         if pattern is not None:
-            direction = np.einsum("ij,j->i", inverse, pattern.astype(float))  # small; a library's threads would only wait
+            direction = np.einsum("ij,j->i", inverse, pattern.astype(float))
             up = direction > 1e-9
             ratio = np.where(up, amount / np.where(up, direction, 1), np.inf)
             out = int(ratio.argmin())
@@ -140,10 +154,10 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
             inverse[out] /= direction[out]
             rest = direction.copy()
             rest[out] = 0
-            inverse -= np.outer(rest, inverse[out])
+            inverse -= rest[:, None] * inverse[out]
         fresh = pattern is None or step % 500 == 499
         if fresh:  # rounding errors
-            inverse = np.linalg.inv(patterns)
+            inverse = _inverse(patterns)
             amount = np.maximum(np.einsum("ij,j->i", inverse, disturbed), 0)
     real = cost > 0
     return patterns.T[real].astype(np.int64), amount[real]
