@@ -13,7 +13,7 @@ positions enter the rounds only where a repeat is possible:
    Spark sorts: equal neighbours are repeats. So ranks grow from the gram to the run to the threshold, and a position
    leaves as soon as it is unique or past the threshold.
 
-Names are 128-bit digests of the bytes themselves. Matches never cross documents. A null text is empty. Texts shorter
+Names are digests of the bytes themselves, 128 bits in all (gram and content, core and cover, or one of 128). Matches never cross documents. A null text is empty. Texts shorter
 than the threshold lose nothing. Rows that repeat an id are documents of their own (equal rows are copies).
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import materialize
+from gridloom.llm.scratch import materialize, release
 
 LENGTH, GRAM, RUN = 400, 32, 16
 #: Bytes of text whose grams are hashed at a time, and bits that hold a place in them.
@@ -82,17 +82,22 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
 
+def pack_place(lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """First window, anchor and last window of a span in one long."""
+    return lo << 20 | (at - lo) << 10 | (hi - lo)
+
+
 def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Spans of each text: first and last window (``lo``, ``hi``), anchor ``at``, gram and names of the content.
+    """Spans of each text: its key ``k``, the packed ``place``, the anchor's ``gram`` and a name of the content.
 
-    ``texts`` has ``d``, ``t`` (keys) and ``data`` (bytes).
+    ``texts`` has ``k`` and ``data`` (bytes). The name is seeded with the anchor's place in the span.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "t", "lo", "hi", "at", "gram", "s1", "s2"]
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            d, t = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(1))
-            for rows, starts, data, ends in _pieces([x or b"" for x in b.column(2).to_pylist()], length):
+            k = np.asarray(b.column(0))
+            for rows, starts, data, ends in _pieces([x or b"" for x in b.column(1).to_pylist()], length):
                 grams = gram_hashes(data, gram)
                 at = least_places(grams, length - gram + 1)
                 part = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
@@ -101,78 +106,76 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
                 lo, hi = windows[new], windows[np.append(new[1:], len(windows)) - 1]
                 at, owner = at[new], owner[new]
-                view, digest = memoryview(data), xxhash.xxh3_128_intdigest
-                found = [digest(view[a : z + length]) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+                view = memoryview(data)
+                names = [digest(view[x : z + length], y - x) for x, y, z in zip(lo.tolist(), at.tolist(), hi.tolist(), strict=True)]
                 shift = starts[owner] - (ends - np.diff(ends, prepend=0))[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(d[rows[owner]], pa.int64()), pa.array(t[rows[owner]], pa.int64()),
-                        *(pa.array(x + shift, pa.int64()) for x in (lo, hi, at)), pa.array(grams[at].view(np.int64), pa.int64()),
-                        _signed([x >> 64 for x in found]), _signed([x & (2**64 - 1) for x in found]),
-                    ],
-                    names,
-                )
+                place = pack_place(lo + shift, at + shift, hi + shift)
+                yield pa.RecordBatch.from_arrays([pa.array(k[rows[owner]]), pa.array(place), pa.array(grams[at].view(np.int64)), _signed(names)], ["k", "place", "gram", "s"])
+
+    return texts.select("k", "data").mapInArrow(run, "k bigint, place bigint, gram bigint, s bigint")
+
 
-    return texts.select("d", "t", "data").mapInArrow(run, "d bigint, t bigint, lo bigint, hi bigint, at bigint, gram bigint, s1 bigint, s2 bigint")
+def _batch(columns: list, names: list[str], binary: str = "") -> pa.RecordBatch:
+    columns = list(columns) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if n == binary else _signed(c) if n in ("ck", "cover", "w1", "w2") else pa.array(c, pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        d, t, data, spans = (c.to_pylist() for c in b.columns)
-        rows = [(i, j, s["lo"], s["hi"], s["at"], s["gram"], s["n"], x[s["lo"] : s["hi"] + LENGTH]) for i, j, x, own in zip(d, t, data, spans, strict=True) for s in own]
-        kinds = [pa.int64()] * 7 + [pa.binary()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "t", "lo", "hi", "at", "gram", "n", "bytes"])
+        rows = []
+        for k, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for s in spans:
+                lo, width = s["place"] >> 20, s["place"] & 1023
+                rows.append((k, s["place"], s["gram"], s["n"], data[lo : lo + width + LENGTH]))
+        yield _batch(zip(*rows, strict=True), ["k", "place", "gram", "n", "bytes"], "bytes")
 
 
 def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of ``RUN`` offsets of each span: names of what their windows share and of what they cover together."""
-    names = ["d", "t", "lo", "gram", "n", "run", "first", "last", "core", "c1", "c2"]
-    digest64, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
         rows = []
-        for d, t, lo, hi, at, gram, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            # A window that starts at w has offset at - w; offsets run from at - hi to at - lo.
-            for run in range((at - hi) // RUN, (at - lo) // RUN + 1):
-                first, last = max(run * RUN, at - hi), min(run * RUN + RUN - 1, at - lo)
-                core = digest64(data[at - run * RUN - lo : at - run * RUN - RUN + 1 + LENGTH - lo])
-                cover = digest(data[at - last - lo : at - first + LENGTH - lo])
-                rows.append((d, t, lo, gram, n, run, first, last, core, cover >> 64, cover & (2**64 - 1)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 11
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:8]), *map(_signed, columns[8:])], names)
+        for k, place, gram, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, width = place >> 10 & 1023, place & 1023  # both from the span's first window
+            # A window that starts at w has offset at - w; the span's offsets run from at - width to at.
+            for run in range((at - width) // RUN, at // RUN + 1):
+                first, last = max(run * RUN, at - width), min(run * RUN + RUN - 1, at)
+                core = digest(data[at - run * RUN : at - run * RUN - RUN + 1 + LENGTH], (gram ^ run) & (2**64 - 1))
+                cover = digest(data[at - last : at - first + LENGTH], first << 16 | last)
+                rows.append((k, place, n, first << 16 | last, core, cover))
+        yield _batch(zip(*rows, strict=True), ["k", "place", "n", "offsets", "ck", "cover"])
 
 
 def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["w1", "w2", "weight", "d", "t", "start"]
     digest = xxhash.xxh3_128_intdigest
     for b in batches:
         rows = []
-        for d, t, lo, at, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for k, place, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lo, at = place >> 20, place >> 10 & 1023
             for r in runs:
-                for start in range(at - r["last"], at - r["first"] + 1):
-                    name = digest(data[start - lo : start - lo + LENGTH])
-                    rows.append((name >> 64, name & (2**64 - 1), r["weight"], d, t, start))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([*map(_signed, columns[:2]), *(pa.array(c, pa.int64()) for c in columns[2:])], names)
+                for start in range(at - (r["offsets"] & 65535), at - (r["offsets"] >> 16) + 1):
+                    name = digest(data[start : start + LENGTH])
+                    rows.append((name >> 64, name & (2**64 - 1), r["weight"], k, lo + start))
+        yield _batch(zip(*rows, strict=True), ["w1", "w2", "weight", "k", "start"])
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by name, those of weight one whose name another row has too."""
-    held = [np.zeros(0, dtype=np.int64)] * 6
+    held = [np.zeros(0, dtype=np.int64)] * 5
 
-    def settle(w1, w2, weight, d, t, start) -> pa.RecordBatch:
+    def settle(w1, w2, weight, k, start) -> pa.RecordBatch:
         if len(w1):
             new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
             total = np.repeat(np.add.reduceat(weight, new), np.diff(np.append(new, len(w1))))
             hit = (total > 1) & (weight == 1)
-            d, t, start = d[hit], t[hit], start[hit]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, t, start, start)], ["d", "t", "first", "last"])
+            k, start = k[hit], start[hit]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, start, start)], ["k", "first", "last"])
 
     for batch in batches:
         rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
         w1, w2 = rows[:2]
         other = np.flatnonzero((w1 != w1[-1]) | (w2 != w2[-1])) if len(w1) else []
-        cut = int(other[-1]) + 1 if len(other) else 0
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last name may go on
         if cut:
             yield settle(*(r[:cut] for r in rows))
         held = [r[cut:] for r in rows]
@@ -180,38 +183,38 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``d``, ``t`` and runs ``first`` to ``last`` of starts of windows that start elsewhere too."""
-    spans = materialize(find_spans(texts), "spans")
-    shape = (F.col("at") - F.col("lo")).alias("shape")
-    contents = spans.groupBy("gram", "s1", "s2", shape).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "hi", "at")).alias("one"))
-    contents = materialize(contents, "contents")
-    content_key = ["gram", "s1", "s2", "shape"]
-    whole = spans.withColumn("shape", shape).join(contents.where("n > 1").select(content_key), content_key, "left_semi")
-    whole = whole.select("d", "t", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    """``k`` and runs ``first`` to ``last`` of starts of windows that start elsewhere too.
+
+    Each step is a written table, so that the shuffle files of one can go before the next.
+    """
+    spark = texts.sparkSession
+    step = lambda df, name: (materialize(df, name), release(spark))[0]
+    one = lambda *names: [F.first(c).alias(c) for c in names]
+    spans = step(find_spans(texts), "spans")
+    contents = step(spans.groupBy("gram", "s").agg(F.count("*").alias("n"), *one("k", "place")), "contents")
+    lo = F.shiftright("place", 20)
+    whole = spans.join(contents.where("n > 1").select("gram", "s"), ["gram", "s"], "left_semi").select("k", lo.alias("first"), (lo + F.col("place").bitwiseAND(F.lit(1023))).alias("last"))
+    whole = step(whole, "whole")
 
     mixed = contents.groupBy("gram").count().where("count > 1").select("gram")
-    chosen = contents.join(mixed, "gram", "left_semi").select("one.*", "gram", "n")
-    per_text = chosen.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "n")).alias("spans"))  # spans of one text
-    cut = texts.join(per_text, ["d", "t"]).select("d", "t", "data", "spans")
-    bytes_of = materialize(cut.mapInArrow(_cut_out, "d bigint, t bigint, lo bigint, hi bigint, at bigint, gram bigint, n bigint, bytes binary"), "span-bytes")
-
-    runs = "d bigint, t bigint, lo bigint, gram bigint, n bigint, run bigint, first bigint, last bigint, core bigint, c1 bigint, c2 bigint"
-    named = materialize(bytes_of.mapInArrow(_name_runs, runs), "runs")
-    run_key = ["gram", "run", "core", "first", "last", "c1", "c2"]
-    covers = named.groupBy(run_key).agg(F.sum("n").alias("weight"), F.min(F.struct("d", "t", "lo")).alias("one"))
-    covers = materialize(covers, "covers")
-    repeated = named.where("n = 1").join(covers.where("weight > 1").select(run_key), run_key, "left_semi")
-    spans_of = bytes_of.select(F.col("d").alias("d"), "t", "lo", "at").distinct()
-    repeated = repeated.join(spans_of, ["d", "t", "lo"]).select("d", "t", (F.col("at") - F.col("last")).alias("f"), (F.col("at") - F.col("first")).alias("last")).withColumnRenamed("f", "first")
-
-    open_cores = covers.groupBy("gram", "run", "core").agg(F.count("*").alias("u"), F.min("weight").alias("least")).where("u > 1 and least = 1")
-    split = covers.join(open_cores.select("gram", "run", "core"), ["gram", "run", "core"], "left_semi")
-    per_span = split.groupBy("one").agg(F.collect_list(F.struct("first", "last", "weight")).alias("runs")).select("one.*", "runs")  # runs of one span
-    single = per_span.join(bytes_of.select("d", "t", "lo", "at", "bytes").dropDuplicates(["d", "t", "lo"]), ["d", "t", "lo"]).select("d", "t", "lo", "at", "bytes", "runs")
-    windows = single.mapInArrow(_name_windows, "w1 bigint, w2 bigint, weight bigint, d bigint, t bigint, start bigint")
-    ordered = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2")
-    settled = ordered.mapInArrow(_repeated_windows, "d bigint, t bigint, first bigint, last bigint")
-    return whole.unionByName(repeated).unionByName(settled)
+    chosen = contents.join(mixed, "gram", "left_semi")
+    per_text = step(chosen.groupBy("k").agg(F.collect_list(F.struct("place", "gram", "n")).alias("spans")), "chosen")  # spans of one text
+    bytes_of = step(texts.join(per_text, "k").select("k", "data", "spans").mapInArrow(_cut_out, "k bigint, place bigint, gram bigint, n bigint, bytes binary"), "span-bytes")
+
+    runs = step(bytes_of.mapInArrow(_name_runs, "k bigint, place bigint, n bigint, offsets bigint, ck bigint, cover bigint"), "runs")
+    covers = step(runs.groupBy("ck", "cover").agg(F.sum("n").alias("weight"), *one("k", "place", "offsets")), "covers")
+    anchor = lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+    repeated = runs.where("n = 1").join(covers.where("weight > 1").select("ck", "cover"), ["ck", "cover"], "left_semi")
+    repeated = repeated.select("k", (anchor - F.col("offsets").bitwiseAND(F.lit(65535))).alias("first"), (anchor - F.shiftright("offsets", 16)).alias("last"))
+    repeated = step(repeated, "repeated-runs")
+
+    open_cores = covers.groupBy("ck").agg(F.count("*").alias("u"), F.min("weight").alias("least")).where("u > 1 and least = 1")
+    split = covers.join(open_cores.select("ck"), "ck", "left_semi")
+    per_span = split.groupBy("k", "place").agg(F.collect_list(F.struct("offsets", "weight")).alias("runs"))  # runs of one span
+    windows = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs")
+    named = windows.mapInArrow(_name_windows, "w1 bigint, w2 bigint, weight bigint, k bigint, start bigint")
+    settled = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(_repeated_windows, "k bigint, first bigint, last bigint")
+    return whole.unionByName(repeated).unionByName(step(settled, "settled"))
 
 
 def merge_windows(firsts: list[int], lasts: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -226,12 +229,13 @@ def merge_windows(firsts: list[int], lasts: list[int], length: int = LENGTH) ->
 
 
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``d``, ``t``, the ``data`` of each text and the window ranges ``cuts`` that repeat (null if none)."""
+    """The id ``d`` and ``data`` of each text and the window ranges ``cuts`` that repeat (null if none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = documents.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("data"))
-    starts = repeated_starts(texts.where(F.length("data") >= LENGTH).withColumn("d", F.coalesce("d", F.lit(0))))
-    cuts = starts.groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("cuts")).withColumnRenamed("d", "k")  # ranges of one text
-    return texts.withColumn("k", F.coalesce("d", F.lit(0))).join(cuts, ["k", "t"], "left").select("d", "data", "cuts")
+    texts = documents.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(id_col, text).alias("k"), text.cast("binary").alias("data"))
+    starts = repeated_starts(texts.where(F.length("data") >= LENGTH))
+    cuts = materialize(starts.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
+    release(documents.sparkSession)
+    return texts.join(cuts, "k", "left").select("d", "data", "cuts")
 
 
 def dedup_digest(documents: DataFrame) -> DataFrame:
