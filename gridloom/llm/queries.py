@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, quality, sharding, simhash, substring_index, suffix_dedup
+from gridloom.llm import bpe, packing, quality, sharding, simhash, sketch, substring_index, suffix_dedup
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.sketch_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
@@ -42,6 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_document_sketch": op5_document_sketch,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
