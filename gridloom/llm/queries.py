@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, quality, sharding, simhash, sketch, substring_index, suffix_dedup
+from gridloom.llm import bpe, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_document_sketch": op5_document_sketch,
