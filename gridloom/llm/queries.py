@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
+from gridloom.llm import bpe, html_labeller, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.page_digest(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html_extraction": op2_html_extraction,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_document_sketch": op5_document_sketch,
