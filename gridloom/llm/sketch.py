@@ -8,6 +8,8 @@ hash is kept, so that only texts without words have an empty sketch; a text of f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,12 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 16)), 12, "0"))), "")
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, n_buckets: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, n_buckets: int | None = None) -> DataFrame:
     """``df`` with ``next``, a struct of ``carried`` of the row that follows in ascending id; the last has the first.
 
     Ids are cut into ranges at their quantiles. Inside a range the next row is found by a window; the last row of a
     range takes the first row of the next range, of which there is one for each range. Rows of equal ids follow each
-    other by ``ties``; a null id comes first.
+    other by ``ties``; a null id comes first. ``prepare`` adds columns to carry, before the only shuffle of whole rows.
     """
     spark = df.sparkSession
     n_buckets = n_buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -76,10 +78,12 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, n_bucke
     cuts = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
     keyed = df.withColumn("__place", place).withColumn("__range", F.size(F.filter(cuts, lambda e: e < F.col("__place"))))
     order = Window.partitionBy("__range").orderBy("__place", ties)
-    rows = keyed.withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    rows = prepare(keyed).withColumn("__next", F.lead(F.struct(*carried)).over(order))
 
+    # One head for each range, so at most ``n_buckets`` rows of three numbers are broadcast.
     heads = keyed.groupBy("__range").agg(F.min(F.struct("__place", ties)).alias("__head")).select("__range", F.col("__head.__place").alias("__place"), F.col(f"__head.{ties}").alias(ties))
-    firsts = keyed.join(heads, ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"]).select(F.col("__range").alias("__of"), F.struct(*carried).alias("__first"))
+    firsts = keyed.join(F.broadcast(heads), ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])
+    firsts = prepare(firsts).select(F.col("__range").alias("__of"), F.struct(*carried).alias("__first"))
     whole = Window.orderBy("__of")  # one row for each range
     firsts = firsts.select("__of", F.coalesce(F.lead("__first").over(whole), F.first("__first").over(whole)).alias("__first"))
     joined = rows.join(firsts, F.col("__range") == F.col("__of"))
@@ -89,8 +93,8 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, n_bucke
 def sketch_digest(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    given = with_sketch(documents.select("doc_id", text.alias("text")), F.col("text"), "own").withColumn("tie", F.xxhash64("text"))
-    paired = with_next(given, "doc_id", ["text", "own"], "tie").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    given = documents.select("doc_id", text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    paired = with_next(given, "doc_id", ["text", "own"], "tie", lambda rows: with_sketch(rows, F.col("text"), "own")).withColumn("n_chars", F.char_length("text").cast("bigint"))
     moved = F.floor(F.col("n_chars") / 4).cast("int")
     paired = paired.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - moved), F.substring("next.text", F.lit(1), moved)))
     both = with_sketch(paired, F.col("edited_text"), "edited")
