@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import materialize, release
@@ -136,70 +136,73 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4):
         self.spark, self.max_runs = spark, max_runs
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.prefix = f"gridloom_run_{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.made = 0
-
-    def _write_run(self, rows: DataFrame) -> str:
-        name = f"{self.prefix}_{self.made}"
-        self.made += 1
-        rows.repartition(self.buckets, "gram").sortWithinPartitions("gram", "s").write.bucketBy(self.buckets, "gram").sortBy("gram").format("parquet").saveAsTable(name)
+        self.name = f"gridloom_index_{uuid.uuid4().hex}"
+        self.made = self.live = 0
+
+    def _write_run(self, rows: DataFrame, name: str) -> None:
+        """A run is a partition of the index's table; the files of a bucket, of all runs, are read by one task."""
+        rows = rows.select("gram", "s", "d", "place", F.lit(self.made).alias("run")).repartition(self.buckets, "gram")
+        rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "gram").sortBy("gram").format("parquet").saveAsTable(name)
+        self.made, self.live = self.made + 1, self.live + 1
         release(self.spark)
-        return name
 
-    def add(self, batch: DataFrame, documents: DataFrame) -> DataFrame:
-        """Indexes ``batch``; gives its windows that start in an earlier document: ``d``, ``h``, ``first``, ``last``.
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Indexes ``batch`` (``d``, ``h``, ``data``) and merge-joins it with the live runs.
 
-        Both frames have ``d``, ``h`` and ``data``; ``documents`` holds the texts of all that has been added, the
-        batch too, and serves to verify.
+        Gives spans ``d``, ``place``: ``whole``, those of the batch whose content an earlier document has, and
+        ``verify``, one of each content of a gram of which the batch brings a content of its own; see :func:`verified`.
         """
         spans = batch.select("d", "h", "data").mapInArrow(find_spans, "gram bigint, s bigint, d bigint, place bigint")
-        run = self._write_run(spans)
-        rows = self.spark.table(run).withColumn("new", F.lit(True))
-        for old in self.runs:
-            rows = rows.union(self.spark.table(old).withColumn("new", F.lit(False)))
-        self.runs.append(run)
-        content, gram = Window.partitionBy("gram", "s"), Window.partitionBy("gram")
+        self._write_run(spans, self.name)
+        content = Window.partitionBy("gram", "s")
+        gram = Window.partitionBy("gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        new = F.col("run") == self.made - 1
         seen = (
-            rows.withColumn("first", F.min("d").over(content))
+            self.spark.table(self.name)
+            .withColumn("first", F.min("d").over(content))
             .withColumns({
                 "mixed": F.min("s").over(gram) != F.max("s").over(gram),
-                "fresh": F.max(F.col("new") & (F.col("d") == F.col("first"))).over(gram),
+                "fresh": F.max(new & (F.col("d") == F.col("first"))).over(gram),
             })
-            .select("d", "place", (F.col("new") & (F.col("d") > F.col("first"))).alias("whole"), (F.col("mixed") & F.col("fresh") & (F.col("d") == F.col("first"))).alias("verify"))
+            .select("d", "place", (new & (F.col("d") > F.col("first"))).alias("whole"), (F.col("mixed") & F.col("fresh") & (F.col("d") == F.col("first"))).alias("verify"))
             .where("whole or verify")
         )
         seen = materialize(seen, "seen")
-        lo, h = F.shiftright("place", 35), F.col("place").bitwiseAND(F.lit((1 << 27) - 1))
-        whole = seen.where("whole").select("d", h.alias("h"), lo.alias("first"), (lo + F.shiftright("place", 27).bitwiseAND(F.lit(15))).alias("last"))
-        # The spans of one document.
-        per_text = materialize(seen.where("verify").groupBy("d", h.alias("h")).agg(F.collect_list("place").alias("spans")), "verify")
-        named = documents.join(per_text, ["d", "h"]).select("d", "data", "spans").mapInArrow(_name_windows, "w1 bigint, w2 bigint, d bigint, h bigint, start bigint")
-        later = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "d").mapInArrow(_later_windows, "d bigint, h bigint, first bigint, last bigint")
-        later = materialize(later, "later")
-        release(self.spark)
-        added = batch.select("d", "h").distinct() if len(self.runs) > 1 else None
-        if added is not None:
-            later = later.join(added, ["d", "h"], "left_semi")
-        if len(self.runs) > self.max_runs:
+        if self.live > self.max_runs:
             self.compact()
-        return whole.unionByName(later)
+        return seen
 
     def compact(self) -> None:
-        """Merges all runs into one that keeps, of each content, the span of the first document."""
-        rows = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            rows = rows.union(self.spark.table(name))
-        order = Window.partitionBy("gram", "s").orderBy("d", "place")
-        kept = rows.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-        old, self.runs = self.runs, [self._write_run(kept)]
-        for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Merges all runs into one that keeps, of each content, the spans of the first document."""
+        first = F.min("d").over(Window.partitionBy("gram", "s"))
+        kept = self.spark.table(self.name).withColumn("first", first).where("d = first")
+        old, self.name, self.live = self.name, f"gridloom_index_{uuid.uuid4().hex}", 0
+        self._write_run(kept, self.name)
+        self.spark.sql(f"DROP TABLE {old}")
 
     def drop(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.runs = []
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _hash_bits() -> Column:
+    return F.col("place").bitwiseAND(F.lit((1 << 27) - 1))
+
+
+def verified(seen: DataFrame, texts: DataFrame) -> DataFrame:
+    """Windows that start in an earlier document too: ``d``, ``h``, ``first``, ``last``.
+
+    Spans to verify are cut from ``texts`` and their windows named by 128 bits of their words; sorted by name and
+    document, those after the first document of a name are repeats.
+    """
+    lo = F.shiftright("place", 35)
+    whole = seen.where("whole").select("d", _hash_bits().alias("h"), lo.alias("first"), (lo + F.shiftright("place", 27).bitwiseAND(F.lit(15))).alias("last"))
+    # The spans of one document.
+    per_text = materialize(seen.where("verify").groupBy("d", _hash_bits().alias("h")).agg(F.collect_set("place").alias("spans")), "verify")
+    named = texts.join(per_text, ["d", "h"]).select("d", "data", "spans").mapInArrow(_name_windows, "w1 bigint, w2 bigint, d bigint, h bigint, start bigint")
+    later = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "d").mapInArrow(_later_windows, "d bigint, h bigint, first bigint, last bigint")
+    later = materialize(later, "later")
+    release(seen.sparkSession)
+    return whole.unionByName(later)
 
 
 def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,15 +222,16 @@ def window_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = documents.sparkSession
     texts = _texts(documents, id_col, text_col)
     edges = sorted(set(texts.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
-    index, found = FingerprintIndex(spark), None
+    index, seen = FingerprintIndex(spark), None
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         batch = texts if low is None else texts.where(F.col("d") > low)
         batch = batch if high is None else batch.where(F.col("d") <= high)
-        so_far = texts if high is None else texts.where(F.col("d") <= high)
-        cuts = index.add(batch, so_far)
-        found = cuts if found is None else found.unionByName(cuts)
-    out = materialize(found.groupBy("d", "h").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
+        found = index.add(batch)
+        seen = found if seen is None else seen.unionByName(found)
     index.drop()
+    # Texts are read once to verify all batches; the first document of a content is the same in all of them.
+    cuts = verified(seen, texts).groupBy("d", "h").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))  # ranges of one text
+    out = materialize(cuts, "cuts")
     release(spark)
     return out
 
