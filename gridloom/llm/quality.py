@@ -171,12 +171,11 @@ def quality_digest(documents: DataFrame, labels: DataFrame, stratum: str = "lang
 def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents kept, with their own columns.
 
-    Cutoffs are certified on the labelled documents given; the texts then pass once more with their features beside
-    them, which spares a shuffle of texts.
+    Cutoffs are certified on the features of all documents, a narrow table; the texts then pass once more with their
+    features beside them, which spares a shuffle of texts.
     """
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    labelled = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cuts = cutoffs(materialize(with_base(with_features(labelled, ["doc_id", stratum])), "features"), labels, stratum)
-    carried = documents.select(F.struct(*columns).alias("__row"), F.col(stratum).alias("__stratum"), "text")
+    cuts = cutoffs(materialize(with_base(with_features(documents, ["doc_id", stratum])), "features"), labels, stratum)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    carried = documents.select(row.alias("__row"), F.col(stratum).alias("__stratum"), "text")
     found = with_base(with_features(carried, ["__row", "__stratum"]))
     return judge(found, cuts, "__stratum").where("kept").select("__row.*")
