@@ -8,8 +8,8 @@ bucket and without a shuffle: a span whose content an earlier document has goes
 the windows of one span of each content are verified by 128-bit names of their words. When runs grow many they are
 compacted into one that keeps the first document of each content.
 
-A gram occurs about once in a document, so even a passage that a third of all documents share is a small part of the
-rows of a bucket. A null text has no words; a null id counts as larger than any other; documents that repeat an id are
+Spans that repeat inside a document are one row with all their places before they are shuffled, so a gram has a row or
+two of a document, and even a passage that a third of all documents share is a small part of the rows of a bucket. A null text has no words; a null id counts as larger than any other; documents that repeat an id are
 never earlier than each other.
 """
 
@@ -31,6 +31,8 @@ from gridloom.llm.suffix_dedup import least_places, merge_windows
 WINDOW, GRAM = 13, 4
 #: Words whose grams are hashed at a time, and hashes of words that a worker remembers.
 CHUNK, REMEMBERED = 300_000, 1_000_000
+#: Rows after which a worker hands on what it has made.
+OUT_ROWS = 50_000
 _FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20250).integers(2**62, 2**63, GRAM)]
 _WORDS: dict[bytes, int] = {}
 LAST_ID = 2**63 - 1
@@ -93,16 +95,37 @@ def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, owner = at[new], owner[new]
             joined, places = word_places(words)
             view = memoryview(joined)
-            names = [digest(view[x:z], y) for x, y, z in zip(places[lo].tolist(), (at - lo).tolist(), (places[hi + WINDOW] - 1).tolist(), strict=True)]
+            names = np.array([digest(view[x:z], y) for x, y, z in zip(places[lo].tolist(), (at - lo).tolist(), (places[hi + WINDOW] - 1).tolist(), strict=True)], dtype=np.uint64)
             first = lo + (starts[owner] - (ends - np.diff(ends, prepend=0))[owner])
             place = first << 35 | (at - lo) << 31 | (hi - lo) << 27 | h[rows[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), _signed(names), pa.array(d[rows[owner]]), pa.array(place)], ["gram", "s", "d", "place"])
+            kept, more = _gathered(rows[owner], grams[at], names, place)
+            at, owner, names, place = at[kept], owner[kept], names[kept], place[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(names.view(np.int64)), pa.array(d[rows[owner]]), pa.array(place), more], ["gram", "s", "d", "place", "more"])
+
+
+def _gathered(row: np.ndarray, gram: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Spans that repeat inside a document become one row before the shuffle: which stay, and the places of the rest."""
+    order = np.lexsort((np.arange(len(row)), name, gram, row))
+    new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1]) | (name[order][1:] != name[order][:-1])])
+    if new.all():
+        return np.arange(len(row)), pa.nulls(len(row), pa.list_(pa.int64()))
+    rest = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+    offsets = pa.array(np.concatenate([[0], np.cumsum(rest)]), pa.int32())
+    return order[new], pa.ListArray.from_arrays(offsets, pa.array(place[order][~new]), mask=pa.array(rest == 0))
+
+
+SPANS = "gram bigint, s bigint, d bigint, place bigint, more array<bigint>"
 
 
 def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_intdigest
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([*map(_signed, columns[:2]), *(pa.array(c, pa.int64()) for c in columns[2:])], ["w1", "w2", "d", "h", "start"])
+
     for b in batches:
-        rows = []
+        rows: list[tuple] = []
         for d, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
             joined, places = word_places((data or b"").split())
             places = places.tolist()
@@ -111,8 +134,10 @@ def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for start in range(lo, lo + (place >> 27 & 15) + 1):
                     name = digest(joined[places[start] : places[start + WINDOW] - 1])
                     rows.append((name >> 64, name & (2**64 - 1), d, place & ((1 << 27) - 1), start))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([*map(_signed, columns[:2]), *(pa.array(c, pa.int64()) for c in columns[2:])], ["w1", "w2", "d", "h", "start"])
+                if len(rows) >= OUT_ROWS:
+                    yield batch(rows)
+                    rows = []
+        yield batch(rows)
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +166,7 @@ class FingerprintIndex:
 
     def _write_run(self, rows: DataFrame, name: str) -> None:
         """A run is a partition of the index's table; the files of a bucket, of all runs, are read by one task."""
-        rows = rows.select("gram", "s", "d", "place", F.lit(self.made).alias("run")).repartition(self.buckets, "gram")
+        rows = rows.select("gram", "s", "d", "place", "more", F.lit(self.made).alias("run")).repartition(self.buckets, "gram")
         rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "gram").sortBy("gram").format("parquet").saveAsTable(name)
         self.made, self.live = self.made + 1, self.live + 1
         release(self.spark)
@@ -152,7 +177,7 @@ class FingerprintIndex:
         Gives spans ``d``, ``place``: ``whole``, those of the batch whose content an earlier document has, and
         ``verify``, one of each content of a gram of which the batch brings a content of its own; see :func:`verified`.
         """
-        spans = batch.select("d", "h", "data").mapInArrow(find_spans, "gram bigint, s bigint, d bigint, place bigint")
+        spans = batch.select("d", "h", "data").mapInArrow(find_spans, SPANS)
         self._write_run(spans, self.name)
         content = Window.partitionBy("gram", "s")
         gram = Window.partitionBy("gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -164,8 +189,10 @@ class FingerprintIndex:
                 "mixed": F.min("s").over(gram) != F.max("s").over(gram),
                 "fresh": F.max(new & (F.col("d") == F.col("first"))).over(gram),
             })
-            .select("d", "place", (new & (F.col("d") > F.col("first"))).alias("whole"), (F.col("mixed") & F.col("fresh") & (F.col("d") == F.col("first"))).alias("verify"))
+            .select("d", "place", "more", (new & (F.col("d") > F.col("first"))).alias("whole"), (F.col("mixed") & F.col("fresh") & (F.col("d") == F.col("first"))).alias("verify"))
             .where("whole or verify")
+            .withColumn("place", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>")))))
+            .drop("more")
         )
         seen = materialize(seen, "seen")
         if self.live > self.max_runs:
