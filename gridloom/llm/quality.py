@@ -76,18 +76,24 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def with_features(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and the features of ``text_col``; a column of a feature's name is replaced."""
+    """Columns ``keep`` and the features of ``text_col``; a column of a feature's name is replaced.
+
+    ``text_col`` may be a field of a struct that is kept (``struct.field``), which spares a copy of the text.
+    """
     keep = [c for c in keep if c not in FEATURES]
+    struct, _, field = text_col.partition(".")
+    inside = keep.index(struct) if field else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [measure(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = b.column(len(keep)) if inside is None else b.column(inside).field(field)
+            found = [measure(t.as_py()) for t in texts]
             columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], *FEATURES])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], [*b.schema.names[: len(keep)], *FEATURES])
 
-    # The text comes last and under a name of its own, as it may also be among the columns kept.
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    # A text of its own comes last, under a name of its own.
+    given = df.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col).alias("__text")] if inside is None else []))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)])
     return given.mapInArrow(run, (kept + ", " if kept else "") + ", ".join(f"{c} bigint" for c in FEATURES))
 
 
@@ -176,6 +182,6 @@ def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     """
     cuts = cutoffs(materialize(with_base(with_features(documents, ["doc_id", stratum])), "features"), labels, stratum)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    carried = documents.select(row.alias("__row"), F.col(stratum).alias("__stratum"), "text")
-    found = with_base(with_features(carried, ["__row", "__stratum"]))
+    carried = documents.select(row.alias("__row"), F.col(stratum).alias("__stratum"))
+    found = with_base(with_features(carried, ["__row", "__stratum"], "__row.text"))
     return judge(found, cuts, "__stratum").where("kept").select("__row.*")

@@ -33,6 +33,8 @@ from gridloom.llm.scratch import materialize, release
 LENGTH, GRAM, RUN = 400, 32, 16
 #: Bytes of text whose grams are hashed at a time, and bits that hold a place in them.
 CHUNK, PLACE_BITS = 2_000_000, 27
+#: Rows after which a worker hands on what it has made.
+OUT_ROWS = 50_000
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _SEED = np.random.default_rng(20240)
 _BYTE_HASH = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
@@ -127,6 +129,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in spans:
                 lo, width = s["place"] >> 20, s["place"] & 1023
                 rows.append((k, s["place"], s["gram"], s["n"], data[lo : lo + width + LENGTH]))
+            if len(rows) >= OUT_ROWS:
+                yield _batch(zip(*rows, strict=True), ["k", "place", "gram", "n", "bytes"], "bytes")
+                rows = []
         yield _batch(zip(*rows, strict=True), ["k", "place", "gram", "n", "bytes"], "bytes")
 
 
@@ -143,6 +148,9 @@ def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 core = digest(data[at - run * RUN : at - run * RUN - RUN + 1 + LENGTH], (gram ^ run) & (2**64 - 1))
                 cover = digest(data[at - last : at - first + LENGTH], first << 16 | last)
                 rows.append((k, place, n, first << 16 | last, core, cover))
+            if len(rows) >= OUT_ROWS:
+                yield _batch(zip(*rows, strict=True), ["k", "place", "n", "offsets", "ck", "cover"])
+                rows = []
         yield _batch(zip(*rows, strict=True), ["k", "place", "n", "offsets", "ck", "cover"])
 
 
@@ -156,6 +164,9 @@ def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for start in range(at - (r["offsets"] & 65535), at - (r["offsets"] >> 16) + 1):
                     name = digest(data[start : start + LENGTH])
                     rows.append((name >> 64, name & (2**64 - 1), r["weight"], k, lo + start))
+            if len(rows) >= OUT_ROWS:
+                yield _batch(zip(*rows, strict=True), ["w1", "w2", "weight", "k", "start"])
+                rows = []
         yield _batch(zip(*rows, strict=True), ["w1", "w2", "weight", "k", "start"])
 
 
