@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -19,6 +20,10 @@ from gridloom.plans import guard, router
 from gridloom.sources import files
 
 
+# Words that ask for the columns of the last export.
+AS_BEFORE = r"\b(as per my requirement|like (i said|before)|same columns|as (mentioned|discussed) (before|earlier))\b"
+
+
 @dataclass
 class Answer:
     intent: str
@@ -112,9 +117,9 @@ class Engine:
             return Answer(intent, f"The query failed: {error}")
         if intent == "export":
             wanted, names = plan["columns"], plan["rename"]
-            if not wanted and not names:
+            if not wanted and not names and re.search(AS_BEFORE, prompt.lower()):
                 wanted, names = self.specs.get(session, (None, None))
-            else:
+            elif wanted or names:
                 self.specs[session] = (wanted, names)
             frames, verdict = prepared(self.catalog.of(targets), wanted, names)
             written = self._write(frames, plan, "export")
