@@ -71,7 +71,7 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare
     other by ``ties``; a null id comes first. ``prepare`` adds columns to carry, before the only shuffle of whole rows.
     """
     spark = df.sparkSession
-    n_buckets = n_buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = n_buckets or min(1024, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     place = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
     edges = df.agg(F.percentile_approx(place, [i / n_buckets for i in range(1, n_buckets)], 10_000)).first()[0] or []
     edges = sorted(set(edges))
