@@ -94,14 +94,14 @@ def record_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Table cleaning, over cells made from part: a sheet for each remainder of 7, three blank rows after every nine.
 
-CELLS = """c AS (SELECT 's' || (p_partkey % 7) AS sheet, CAST(p_partkey // 7 + 3 * (p_partkey // 7 // 9) AS INTEGER) AS row, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part WHERE p_partkey < 1500),
+CELLS = """c AS (SELECT 's' || (p_partkey % 7) AS sheet, CAST(p_partkey // 7 + 3 * (p_partkey // 7 // 9) AS INTEGER) AS row, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part),
 cells AS (SELECT sheet, row, 0 AS col, p_name AS value FROM c UNION ALL SELECT sheet, row, 1, p_brand FROM c UNION ALL SELECT sheet, row, 2, nullif(p_size, '7') FROM c UNION ALL SELECT sheet, row, 3, NULL FROM c)"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     line = F.floor(k / 7)
-    c = load(spark, sf_dir, "part").where("p_partkey < 1500").select(
+    c = load(spark, sf_dir, "part").select(
         F.concat(F.lit("s"), (k % 7).cast("string")).alias("sheet"), (line + 3 * F.floor(line / 9)).cast("int").alias("row"),
         F.posexplode(F.array("p_name", "p_brand", F.nullif(F.col("p_size").cast("string"), F.lit("7")), F.lit(None).cast("string"))).alias("col", "value"),
     )
@@ -174,13 +174,13 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber")
-    return load(spark, sf_dir, "lineitem").where("l_orderkey < 300").select(
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("text"), F.when(k == 3, -1.0).otherwise(F.col("l_quantity")).alias("conf"),
         (F.col("l_partkey") % 500).cast("int").alias("left"), F.lit(0).alias("top"), (F.col("l_suppkey") % 3).cast("int").alias("line_num"), F.lit(1).alias("block_num"),
     )
 
 
-WORDS = "w AS (SELECT l_orderkey AS page, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS text, CASE WHEN l_linenumber = 3 THEN -1.0 ELSE l_quantity END AS conf, CAST(l_partkey % 500 AS INTEGER) AS \"left\", CAST(l_suppkey % 3 AS INTEGER) AS line_num FROM lineitem WHERE l_orderkey < 300)"
+WORDS = "w AS (SELECT l_orderkey AS page, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS text, CASE WHEN l_linenumber = 3 THEN -1.0 ELSE l_quantity END AS conf, CAST(l_partkey % 500 AS INTEGER) AS \"left\", CAST(l_suppkey % 3 AS INTEGER) AS line_num FROM lineitem)"
 
 
 @query(f"WITH {WORDS}, l AS (SELECT page, line_num, string_agg(text, ' ' ORDER BY \"left\", text) AS line, sum(conf) FILTER (WHERE conf >= 0) AS s, count(*) FILTER (WHERE conf >= 0) AS c, count(*) AS n FROM w GROUP BY ALL) SELECT page, string_agg(line, chr(10) ORDER BY line_num) AS text, coalesce(round(sum(s) / sum(c), 1), 0) AS avg_conf, CAST(sum(n) AS BIGINT) AS n_words FROM l GROUP BY 1")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.export.sinks import lines_of
 from gridloom.functions import statistics as stats
 from gridloom.operators import relational as rel
 from gridloom.operators import reshape, windows
@@ -103,9 +104,9 @@ def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.merge(part.groupBy("key").agg(F.count("*").alias("n_parts")), part.groupBy("key").agg(F.count_distinct("p_type").alias("n_types")), ["key"], null_keys_match=True)
 
 
-@query("SELECT event_id, band FROM events JOIN (SELECT p_partkey AS band, p_partkey % 100 * 1.0 AS low, p_partkey % 100 + 0.5 AS high FROM part WHERE p_partkey < 150) b ON value BETWEEN low AND high")
+@query("SELECT event_id, band FROM events JOIN (SELECT s_suppkey AS band, s_suppkey % 100 * 1.0 AS low, s_suppkey % 100 + 0.5 AS high FROM supplier) b ON value BETWEEN low AND high")
 def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = load(spark, sf_dir, "part").where("p_partkey < 150").select(F.col("p_partkey").alias("band"), (F.col("p_partkey") % 100 * F.lit(1.0)).alias("low"), (F.col("p_partkey") % 100 + F.lit(0.5)).alias("high"))
+    bands = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("band"), (F.col("s_suppkey") % 100 * F.lit(1.0)).alias("low"), (F.col("s_suppkey") % 100 + F.lit(0.5)).alias("high"))
     return rel.band_join(load(spark, sf_dir, "events"), bands, "value", "low", "high", 1.0).select("event_id", "band")
 
 
@@ -251,9 +252,9 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.crosstab(load(spark, sf_dir, "events"), "user_id", "event_type", TYPES)
 
 
-@query("SELECT l_orderkey, l_linenumber, variable, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 500) UNPIVOT INCLUDE NULLS (value FOR variable IN (l_quantity, l_discount, l_tax))")
+@query("SELECT l_orderkey, l_linenumber, variable, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT INCLUDE NULLS (value FOR variable IN (l_quantity, l_discount, l_tax))")
 def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.melt(load(spark, sf_dir, "lineitem").where("l_orderkey < 500"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+    return reshape.melt(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("SELECT bin, count(*) AS n FROM (SELECT greatest(0, least(9, CAST(ceil((o_totalprice - lo) / ((hi - lo) / 10)) AS INTEGER) - 1)) AS bin FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)) GROUP BY 1")
@@ -277,16 +278,14 @@ def factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.factorize(e, "kind", ["event_id"]).select("event_id", F.col("code").cast("int").alias("code"))
 
 
-@query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 100")
+@query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def explode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.export.sinks import lines_of
+    return load(spark, sf_dir, "documents").select("doc_id", lines_of(F.col("text")).alias("line"))
 
-    return load(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", lines_of(F.col("text")).alias("line"))
 
-
-@query("SELECT d.day, coalesce(n, 0) AS n FROM (SELECT strftime(unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM events WHERE user_id < 20) d LEFT JOIN (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1) e USING (day)")
+@query("SELECT d.day, coalesce(n, 0) AS n FROM (SELECT strftime(unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM events) d LEFT JOIN (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) e USING (day)")
 def resample_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reshape.resample(load(spark, sf_dir, "events").where("user_id < 20").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "day", {"n": F.count("*")})
+    out = reshape.resample(load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "day", {"n": F.count("*")})
     return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from gridloom.plans import domain_queries, relational_queries  # noqa: F401
+from gridloom.plans import domain_queries, frame_queries, relational_queries  # noqa: F401
 from gridloom.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
