@@ -17,6 +17,7 @@ from gridloom.export.sinks import EXPORTERS, Written
 from gridloom.operators.cells import tables as cell_tables
 from gridloom.operators.cells import to_frame, unmerge
 from gridloom.plans import guard, router
+from gridloom.session import ship
 from gridloom.sources import files
 
 
@@ -45,6 +46,7 @@ class Engine:
     specs: dict[str, tuple[list[str] | None, dict | None]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        ship(self.spark)
         self.catalog = cat.Catalog(self.spark)
 
     def ingest(self, path: str, file_id: str, name: str | None = None) -> int:
