@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,20 @@ from gridloom.session import ship
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints/gridloom"
+_LOCAL: set[str] = set()
+#: Scratch tables made and not yet discarded; the frame is kept so that its id stays its own.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset a local one, which goes at exit."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    own = f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"
+    if own not in _LOCAL:
+        _LOCAL.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -27,13 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system, so any store works."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more, through Hadoop's file system, so any store works."""
+    for df in tables:
+        if found := _PATHS.pop(id(df), None):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(found[1])
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import materialize, release
+from gridloom.llm.scratch import discard, materialize, release
 
 LENGTH, GRAM, RUN = 400, 32, 16
 #: Bytes of text whose grams are hashed at a time, and bits that hold a place in them.
@@ -194,12 +194,19 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``k`` and runs ``first`` to ``last`` of starts of windows that start elsewhere too.
+    """``k`` and ``cuts``, the runs ``first`` to ``last`` of starts of windows that start elsewhere too.
 
-    Each step is a written table, so that the shuffle files of one can go before the next.
+    Each step is a written table, so that the shuffle files of one can go before the next; all but the last are
+    deleted.
     """
     spark = texts.sparkSession
-    step = lambda df, name: (materialize(df, name), release(spark))[0]
+    made: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        release(spark)
+        return made[-1]
+
     one = lambda *names: [F.first(c).alias(c) for c in names]
     spans = step(find_spans(texts), "spans")
     contents = step(spans.groupBy("gram", "s").agg(F.count("*").alias("n"), *one("k", "place")), "contents")
@@ -209,6 +216,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
 
     mixed = contents.groupBy("gram").count().where("count > 1").select("gram")
     chosen = contents.join(mixed, "gram", "left_semi")
+    discard(spans)
     per_text = step(chosen.groupBy("k").agg(F.collect_list(F.struct("place", "gram", "n")).alias("spans")), "chosen")  # spans of one text
     bytes_of = step(texts.join(per_text, "k").select("k", "data", "spans").mapInArrow(_cut_out, "k bigint, place bigint, gram bigint, n bigint, bytes binary"), "span-bytes")
 
@@ -225,7 +233,10 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     windows = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs")
     named = windows.mapInArrow(_name_windows, "w1 bigint, w2 bigint, weight bigint, k bigint, start bigint")
     settled = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(_repeated_windows, "k bigint, first bigint, last bigint")
-    return whole.unionByName(repeated).unionByName(step(settled, "settled"))
+    found = whole.unionByName(repeated).unionByName(step(settled, "settled"))
+    cuts = step(found.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
+    discard(*made[:-1])
+    return cuts
 
 
 def merge_windows(firsts: list[int], lasts: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -243,9 +254,7 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The id ``d`` and ``data`` of each text and the window ranges ``cuts`` that repeat (null if none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = documents.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(id_col, text).alias("k"), text.cast("binary").alias("data"))
-    starts = repeated_starts(texts.where(F.length("data") >= LENGTH))
-    cuts = materialize(starts.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
-    release(documents.sparkSession)
+    cuts = repeated_starts(texts.where(F.length("data") >= LENGTH))
     return texts.join(cuts, "k", "left").select("d", "data", "cuts")
 
 
