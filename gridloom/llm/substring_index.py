@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import materialize, release
+from gridloom.llm.scratch import discard, materialize, release
 from gridloom.llm.suffix_dedup import least_places, merge_windows
 
 WINDOW, GRAM = 13, 4
@@ -228,6 +229,7 @@ def verified(seen: DataFrame, texts: DataFrame) -> DataFrame:
     named = texts.join(per_text, ["d", "h"]).select("d", "data", "spans").mapInArrow(_name_windows, "w1 bigint, w2 bigint, d bigint, h bigint, start bigint")
     later = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "d").mapInArrow(_later_windows, "d bigint, h bigint, first bigint, last bigint")
     later = materialize(later, "later")
+    discard(per_text)
     release(seen.sparkSession)
     return whole.unionByName(later)
 
@@ -249,16 +251,17 @@ def window_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = documents.sparkSession
     texts = _texts(documents, id_col, text_col)
     edges = sorted(set(texts.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
-    index, seen = FingerprintIndex(spark), None
+    index, parts = FingerprintIndex(spark), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         batch = texts if low is None else texts.where(F.col("d") > low)
         batch = batch if high is None else batch.where(F.col("d") <= high)
-        found = index.add(batch)
-        seen = found if seen is None else seen.unionByName(found)
+        parts.append(index.add(batch))
     index.drop()
     # Texts are read once to verify all batches; the first document of a content is the same in all of them.
+    seen = reduce(DataFrame.unionByName, parts)
     cuts = verified(seen, texts).groupBy("d", "h").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))  # ranges of one text
     out = materialize(cuts, "cuts")
+    discard(*parts)
     release(spark)
     return out
 
