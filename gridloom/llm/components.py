@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import materialize
+from gridloom.llm.scratch import discard, materialize
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = _star(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "links")
+        before, edges = edges, materialize(small, "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == now:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import materialize
+from gridloom.llm.scratch import discard, materialize
 
 BITS, RADIUS, FANOUT = 64, 2, 16
 #: A node of more fingerprints is split by further bits.
@@ -195,6 +195,7 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("__least").alias("component_id"))
     classes = materialize(grouped.join(least, "root").select("fp", "component_id"), "classes")
+    discard(prints)
     return given.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
