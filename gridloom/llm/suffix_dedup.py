@@ -9,11 +9,12 @@ positions enter the rounds only where a repeat is possible:
 2. Spans of equal content repeat whole. One of each content goes on, with its number, if others share its gram.
 3. Rounds rank runs of window positions by pairs of names: the name of what all windows of the run share and the name
    of what they cover together. A shared part that is unique makes the whole run unique; a covered part that repeats
-   makes the whole run a repeat; otherwise the run is split into single positions, whose names of the full length
-   Spark sorts: equal neighbours are repeats. So ranks grow from the gram to the run to the threshold, and a position
-   leaves as soon as it is unique or past the threshold.
+   makes the whole run a repeat; otherwise the run is split into single positions.
+4. Single positions are ranked by pairs: the name at the position and the name half a length further on. Spark sorts
+   the pairs at 200 and then at 400 bytes; a position whose pair is unique leaves, and one whose pair at the threshold
+   has an equal neighbour is a repeat.
 
-Names are digests of the bytes themselves, 128 bits in all (gram and content, core and cover, or one of 128). Matches never cross documents. A null text is empty. Texts shorter
+Names are digests of the bytes themselves, 128 bits in all (gram and content, core and cover, or the two of a pair). Matches never cross documents. A null text is empty. Texts shorter
 than the threshold lose nothing. Rows that repeat an id are documents of their own (equal rows are copies).
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import discard, materialize, release
 
 LENGTH, GRAM, RUN = 400, 32, 16
+#: Lengths at which positions in doubt are ranked; the last is the threshold.
+DOUBLED = (LENGTH // 2, LENGTH)
 #: Bytes of text whose grams are hashed at a time, and bits that hold a place in them.
 CHUNK, PLACE_BITS = 2_000_000, 27
 #: Rows after which a worker hands on what it has made.
@@ -154,39 +157,51 @@ def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(zip(*rows, strict=True), ["k", "place", "n", "offsets", "ck", "cover"])
 
 
-def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_intdigest
-    for b in batches:
-        rows = []
-        for k, place, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            lo, at = place >> 20, place >> 10 & 1023
-            for r in runs:
-                for start in range(at - (r["offsets"] & 65535), at - (r["offsets"] >> 16) + 1):
-                    name = digest(data[start : start + LENGTH])
-                    rows.append((name >> 64, name & (2**64 - 1), r["weight"], k, lo + start))
-            if len(rows) >= OUT_ROWS:
-                yield _batch(zip(*rows, strict=True), ["w1", "w2", "weight", "k", "start"])
-                rows = []
-        yield _batch(zip(*rows, strict=True), ["w1", "w2", "weight", "k", "start"])
+def _name_pairs(length: int):
+    """For each position still in doubt the names of the two halves of its next ``length`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        half = length // 2
+        for b in batches:
+            rows = []
+            for k, place, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, named = place >> 10 & 1023, {}
+                for r in runs:
+                    for offset in range(r["offsets"] >> 16, (r["offsets"] & 65535) + 1):
+                        start = at - offset
+                        for x in (start, start + half):
+                            if x not in named:
+                                named[x] = digest(data[x : x + half])
+                        rows.append((named[start], named[start + half], k, place, offset << 1 | (r["weight"] > 1)))
+                if len(rows) >= OUT_ROWS:
+                    yield _batch(zip(*rows, strict=True), PAIRS)
+                    rows = []
+            yield _batch(zip(*rows, strict=True), PAIRS)
+
+    return run
+
+
+PAIRS = ["w1", "w2", "k", "place", "mark"]
 
 
-def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by name, those of weight one whose name another row has too."""
+def _repeated_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by pair, those whose pair another row has too, or that stand for several positions."""
     held = [np.zeros(0, dtype=np.int64)] * 5
 
-    def settle(w1, w2, weight, k, start) -> pa.RecordBatch:
+    def settle(w1, w2, k, place, mark) -> pa.RecordBatch:
         if len(w1):
             new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-            total = np.repeat(np.add.reduceat(weight, new), np.diff(np.append(new, len(w1))))
-            hit = (total > 1) & (weight == 1)
-            k, start = k[hit], start[hit]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, start, start)], ["k", "first", "last"])
+            stay = np.repeat(np.add.reduceat(1 + (mark & 1), new), np.diff(np.append(new, len(w1)))) > 1
+            k, place, mark = k[stay], place[stay], mark[stay]
+        offset = mark >> 1
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, place, offset << 16 | offset, 1 + (mark & 1))], ["k", "place", "offsets", "weight"])
 
     for batch in batches:
         rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
         w1, w2 = rows[:2]
         other = np.flatnonzero((w1 != w1[-1]) | (w2 != w2[-1])) if len(w1) else []
-        cut = int(other[-1]) + 1 if len(other) else 0  # the last name may go on
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last pair may go on
         if cut:
             yield settle(*(r[:cut] for r in rows))
         held = [r[cut:] for r in rows]
@@ -229,11 +244,16 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
 
     open_cores = covers.groupBy("ck").agg(F.count("*").alias("u"), F.min("weight").alias("least")).where("u > 1 and least = 1")
     split = covers.join(open_cores.select("ck"), "ck", "left_semi")
-    per_span = split.groupBy("k", "place").agg(F.collect_list(F.struct("offsets", "weight")).alias("runs"))  # runs of one span
-    windows = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs")
-    named = windows.mapInArrow(_name_windows, "w1 bigint, w2 bigint, weight bigint, k bigint, start bigint")
-    settled = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(_repeated_windows, "k bigint, first bigint, last bigint")
-    found = whole.unionByName(repeated).unionByName(step(settled, "settled"))
+    doubt = split.select("k", "place", "offsets", "weight")
+    # Each round sorts pairs of names at a doubled offset; positions whose pair is unique leave.
+    for length in DOUBLED:
+        per_span = doubt.groupBy("k", "place").agg(F.collect_list(F.struct("offsets", "weight")).alias("runs"))  # runs of one span
+        named = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs").mapInArrow(_name_pairs(length), ", ".join(f"{c} bigint" for c in PAIRS))
+        ordered = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2")
+        doubt = step(ordered.mapInArrow(_repeated_pairs, "k bigint, place bigint, offsets bigint, weight bigint"), f"positions-{length}")
+    start = anchor - F.shiftright("offsets", 16)
+    settled = doubt.where("weight = 1").select("k", start.alias("first"), start.alias("last"))
+    found = whole.unionByName(repeated).unionByName(settled)
     cuts = step(found.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
     discard(*made[:-1])
     return cuts
