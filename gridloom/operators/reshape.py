@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.relational import with_place
+
 
 def pivot_table(df: DataFrame, index: list[str], columns: str, values: list, agg: Column, names: list[str] | None = None) -> DataFrame:
     """Long to wide by an aggregate; the column values are given, so that no pass is needed to find them."""
@@ -56,11 +58,11 @@ def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataF
 def factorize(df: DataFrame, value: str, order: list[str], name: str = "code") -> DataFrame:
     """Codes from 0 by first appearance in ``order``; null has -1.
 
-    Only distinct values are ranked, and they are joined back by value.
+    Only distinct values are numbered, range by range, and they are joined back by value.
     """
     firsts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("__first"))
-    codes = firsts.select(F.col(value).alias("__value"), (F.dense_rank().over(Window.orderBy("__first")) - 1).alias(name))
-    return df.join(codes, F.col(value) == F.col("__value"), "left").withColumn(name, F.coalesce(name, F.lit(-1))).drop("__value")
+    places = with_place(firsts.select(F.col(value).alias("__value"), "__first.*"), order, name).select("__value", name)
+    return df.join(places, F.col(value) == F.col("__value"), "left").withColumn(name, F.coalesce(name, F.lit(-1))).drop("__value")
 
 
 def modes(df: DataFrame, value: str) -> DataFrame:

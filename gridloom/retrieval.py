@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,13 +62,30 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 6, id_col: str = "v
     return scored.orderBy("distance", id_col).limit(k)
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each of a stated set of queries its ``k`` nearest other vectors.
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """For each of a stated set of queries its ``k`` nearest other vectors: ``query_id``, id, ``rank``, ``distance``.
 
-    The set is broadcast when its size allows and meets the vectors where they lie; each partition keeps its own best
-    through the ranking's partial limit, so only a few rows of each query are shuffled.
+    Vectors and queries are dealt into blocks of about ``block`` rows, and each pair of blocks meets in one task that
+    keeps ``k`` rows of each query; those are ranked once more. Nothing is broadcast, and no block grows with the data.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__query"))
-    pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).withColumn("distance", distance(F.col(vector_col), F.col("__query")))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col)))
-    return ranked.where(F.col("rank") <= k).select("query_id", id_col, "rank", "distance")
+    v_blocks, q_blocks = (-(-df.count() // block) or 1 for df in (vectors, queries))
+    dealt = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), dealt(vectors, v_blocks).alias("a")).withColumn("b", each(q_blocks))
+    q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), dealt(queries, q_blocks).alias("b")).withColumn("a", each(v_blocks))
+
+    def best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(found):
+            ids, data = found["id"].to_numpy(), np.stack(found["v"].to_numpy()).astype(np.float64)
+            for query, x in zip(asked["id"], asked["v"], strict=True):
+                d = np.sqrt(((data - np.asarray(x, dtype=np.float64)) ** 2).sum(axis=1))
+                other = np.flatnonzero(ids != query)
+                for i in other[np.lexsort((ids[other], d[other]))[:k]]:
+                    out.append((query, ids[i], d[i]))
+        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
+
+    kind = dict(vectors.dtypes)[id_col]
+    near = v.groupBy("a", "b").cogroup(q.groupBy("a", "b")).applyInPandas(best, f"query_id {kind}, id {kind}, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "rank", "distance")
