@@ -92,12 +92,20 @@ def run(spark: SparkSession, sql: str, views: list[str]) -> DataFrame:
 
 def run_within(spark: SparkSession, sql: str, views: list[str], seconds: float = 5.0) -> list:
     """The rows of a checked query; its jobs are cancelled at the deadline."""
-    df, tag = run(spark, sql, views), f"gridloom-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
-    timer.start()
+    df, context, tag, done = run(spark, sql, views), spark.sparkContext, f"gridloom-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        wait = seconds
+        while not done.wait(wait):  # again and again, as the next job may not have begun
+            context.cancelJobsWithTag(tag)
+            wait = 0.3
+
+    watcher = threading.Thread(target=stop, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
     try:
         return df.collect()
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
