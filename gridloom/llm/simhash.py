@@ -204,6 +204,10 @@ def near_digest(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document of least id of each group of near duplicates; of rows that repeat that id, all stay."""
-    groups = near_groups(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(groups, "doc_id", "left_semi")
+    """The document of least id of each group of near duplicates; of rows that repeat that id, all stay.
+
+    Documents without an id count as repeating one: if one of them is the least of its group, all of them stay.
+    """
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = near_groups(documents).where(least).select(F.col("doc_id").alias("__kept")).distinct()
+    return documents.join(groups, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

@@ -183,6 +183,20 @@ def test_simhash_digest(docs, rows, empty):
     assert simhash.near_digest(empty).count() == 0
 
 
+def test_one_of_each_group_stays(docs):
+    odd = docs.withColumns({"fp": F.lit("mine"), "component_id": F.lit(1), "root": F.lit(2)})
+    out = simhash.keep_one(odd)
+    assert out.columns == odd.columns and out.where("fp <> 'mine'").count() == 0
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect() if r.doc_id is not None}
+    assert {r.doc_id for r in out.where("doc_id is not null").collect()} == set(groups.values())
+
+
+def test_a_document_without_an_id_stays_if_it_is_alone(spark):
+    df = spark.createDataFrame([(None, "alone here in the world", "", "", 0), (1, "two of a kind go together", "", "", 0), (None, "two of a kind go together", "", "", 0)], DOCS)
+    kept = [(r.doc_id, r.text[:5]) for r in simhash.keep_one(df).collect()]
+    assert (None, "alone") in kept and (1, "two o") in kept
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
