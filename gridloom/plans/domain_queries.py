@@ -81,6 +81,13 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("bigint").alias("n"), F.round(F.array_max(v), 5).alias("top"), F.round(squares, 4).alias("norm"), F.size(F.filter(v, lambda x: x > 0)).cast("bigint").alias("n_positive"))
 
 
+@query("SELECT event_id, map_keys(m)[1] AS k, map_values(m)[1] AS v, m['click'] AS clicked, s.a AS a FROM (SELECT event_id, map([event_type], [value]) AS m, {'a': user_id, 'b': value} AS s FROM events)")
+def map_struct_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, s = F.create_map("event_type", "value"), F.struct(F.col("user_id").alias("a"), F.col("value").alias("b"))
+    rows = load(spark, sf_dir, "events").select("event_id", m.alias("m"), s.alias("s"))
+    return rows.select("event_id", F.map_keys("m")[0].alias("k"), F.map_values("m")[0].alias("v"), F.try_element_at("m", F.lit("click")).alias("clicked"), F.col("s.a").alias("a"))
+
+
 @query("SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS kinds FROM orders GROUP BY 1")
 def array_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("kinds"))
