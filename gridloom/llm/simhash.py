@@ -1,10 +1,10 @@
 """Near duplicates by SimHash, linked through a Gray-order hierarchical index.
 
-Fingerprints that differ in two bits or fewer agree on one of any three parts of the bits. The upper nodes of the
+Fingerprints that differ in ``radius`` bits or fewer (two by default) agree on one of any ``radius + 1`` parts of the bits. The upper nodes of the
 index are such shared bit patterns under a mask: they are keys of a shuffle. A node that holds too many fingerprints is
-split by three further parts of its remaining bits, and so on, which loses no link. Below them, fingerprints are
+split by as many further parts of its remaining bits, and so on, which loses no link. Below them, fingerprints are
 sorted by Gray rank and runs of them form nodes that keep the bits all their members share; pairs of nodes are
-compared from the top, and a pair whose shared bits already differ in more than two places is dropped with all that
+compared from the top, and a pair whose shared bits already differ in more places is dropped with all that
 lies below it. A node gives links that span its local components, not all pairs.
 """
 
@@ -24,6 +24,10 @@ from gridloom.llm.scratch import discard, materialize
 BITS, RADIUS, FANOUT = 64, 2, 16
 #: A node of more fingerprints is split by further bits.
 NODE_LIMIT = 2_000
+#: Splitting ends at so many masks; the largest nodes are then searched whole, eight bytes a fingerprint.
+MOST_MASKS = 600
+#: Where copies are dropped, texts that share four of five five-word shingles should meet, which takes a wider radius.
+WIDE_RADIUS, WIDE_NODE_LIMIT = 4, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -81,6 +85,10 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def local_components(prints: np.ndarray, radius: int = RADIUS, block: int = 4096) -> np.ndarray:
     """For distinct fingerprints in Gray order the index of the first member of each one's component."""
+    if len(prints) <= 4 * FANOUT:  # one node: all its pairs at once
+        i, j = np.triu_indices(len(prints), 1)
+        near = np.bitwise_count(prints[i] ^ prints[j]) <= radius
+        return _join(np.arange(len(prints)), i[near], j[near])
     levels = [(prints, np.full(len(prints), 2**64 - 1, dtype=np.uint64))]  # value, bits that all members share
     while len(levels[-1][0]) > FANOUT:
         value, shared = levels[-1]
@@ -114,7 +122,7 @@ def local_components(prints: np.ndarray, radius: int = RADIUS, block: int = 4096
     return label
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of every node; rows of a node follow each other."""
     held = [np.zeros(0, dtype=np.int64)] * 3
 
@@ -127,12 +135,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = new[sizes == size]
             for a in range(size):
                 for b in range(a + 1, size):
-                    near = np.bitwise_count(prints[at + a] ^ prints[at + b]) <= RADIUS
+                    near = np.bitwise_count(prints[at + a] ^ prints[at + b]) <= radius
                     out.append((fp[at + a][near], fp[at + b][near]))
         for start, size in zip(new[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
             own = prints[start : start + size]
             own = own[np.argsort(gray_rank(own), kind="stable")]
-            label = local_components(own)
+            label = local_components(own, radius)
             linked = np.flatnonzero(label != np.arange(size))
             out.append((own[linked].view(np.int64), own[label[linked]].view(np.int64)))
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
@@ -149,10 +157,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield search(*held)
 
 
-def _parts(mask: int) -> list[int]:
-    """The mask with each of three parts of its remaining bits."""
+def _parts(mask: int, radius: int) -> list[int]:
+    """The mask with each of ``radius + 1`` parts of its remaining bits."""
     rest = [i for i in range(BITS) if not mask >> i & 1]
-    cuts = [len(rest) * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+    cuts = [len(rest) * k // (radius + 1) for k in range(radius + 2)]
     return [mask | sum(1 << b for b in rest[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -160,20 +168,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """Links ``a``, ``b`` that span the components of distinct fingerprints ``fp`` at two differing bits or fewer."""
+def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT, radius: int = RADIUS) -> DataFrame:
+    """Links ``a``, ``b`` that span the components of distinct fingerprints ``fp`` at ``radius`` differing bits or fewer."""
     masks, rows, found = [0], prints.select(F.lit(0).cast("bigint").alias("mask"), "fp"), []
     while True:
-        parts = {m: _parts(m) for m in masks}
+        parts = {m: _parts(m, radius) for m in masks}
         split = F.create_map(*[x for m, p in parts.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in p]))])
         rows = rows.select(F.explode(split[F.col("mask")]).alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").count().where("count > 1")
         sizes = materialize(sizes, "nodes")
         joined = rows.join(sizes, ["mask", "key"])
         masks = [m for p in parts.values() for m in p]
-        small = joined.where(F.col("count") <= node_limit) if bin(masks[0]).count("1") < BITS - 8 else joined
+        small = joined.where(F.col("count") <= node_limit) if bin(masks[0]).count("1") < BITS - 8 and len(masks) < MOST_MASKS else joined
         ordered = small.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-        found.append(ordered.mapInArrow(_links, "a bigint, b bigint"))
+        found.append(ordered.mapInArrow(lambda rows: _links(rows, radius), "a bigint, b bigint"))
         if small is joined or not sizes.where(F.col("count") > node_limit).limit(1).count():
             break
         rows = joined.where(F.col("count") > node_limit).select("mask", "fp")
@@ -183,15 +191,15 @@ def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT) -> DataFrame:
     return out
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id``, the least id reachable over links of two differing bits or fewer.
+def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """``id_col``, ``fp`` and ``component_id``, the least id reachable over links of ``radius`` differing bits or fewer.
 
     Texts without words (null and empty ones too) have fingerprint zero and link like any others; equal ids keep a row
     each; an empty table gives no rows.
     """
     given = materialize(with_fingerprints(documents.select(id_col, text_col), [id_col], text_col, words), "fingerprints")
     prints = materialize(given.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct")
-    linked = components(near_links(prints)).withColumnRenamed("node", "fp")
+    linked = components(near_links(prints, node_limit, radius)).withColumnRenamed("node", "fp")
     grouped = prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("__least").alias("component_id"))
     classes = materialize(grouped.join(least, "root").select("fp", "component_id"), "classes")
@@ -203,11 +211,11 @@ def near_digest(documents: DataFrame) -> DataFrame:
     return near_groups(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """The document of least id of each group of near duplicates; of rows that repeat that id, all stay.
 
     Documents without an id count as repeating one: if one of them is the least of its group, all of them stay.
     """
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    groups = near_groups(documents).where(least).select(F.col("doc_id").alias("__kept")).distinct()
+    groups = near_groups(documents, radius=radius, node_limit=WIDE_NODE_LIMIT).where(least).select(F.col("doc_id").alias("__kept")).distinct()
     return documents.join(groups, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

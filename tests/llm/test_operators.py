@@ -141,7 +141,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, radius=2):
     root = list(range(len(prints)))
 
     def find(i):
@@ -151,20 +151,20 @@ def brute_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("limit", [2, 2000])
-def test_near_links_lose_none(spark, limit):
+@pytest.mark.parametrize(("limit", "radius"), [(2, 2), (2000, 2), (2000, 4), (150, 4)])
+def test_near_links_lose_none(spark, limit, radius):
     rng = random.Random(limit)
     seeds = [rng.getrandbits(64) for _ in range(4)]
     prints = sorted({s ^ sum(1 << b for b in rng.sample(range(12), rng.randint(0, 5))) for s in seeds for _ in range(60)} | {rng.getrandbits(64) for _ in range(200)})
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint")
-    roots = {r.node & (2**64 - 1): r.root for r in components.components(simhash.near_links(df, limit)).collect()}
-    expected = brute_components(prints)
+    roots = {r.node & (2**64 - 1): r.root for r in components.components(simhash.near_links(df, limit, radius)).collect()}
+    expected = brute_components(prints, radius)
     groups = {}
     for p, e in zip(prints, expected, strict=True):
         groups.setdefault(e, set()).add(roots.get(p, p if p < 1 << 63 else p - (1 << 64)))
@@ -187,7 +187,7 @@ def test_one_of_each_group_stays(docs):
     odd = docs.withColumns({"fp": F.lit("mine"), "component_id": F.lit(1), "root": F.lit(2)})
     out = simhash.keep_one(odd)
     assert out.columns == odd.columns and out.where("fp <> 'mine'").count() == 0
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect() if r.doc_id is not None}
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs, radius=simhash.WIDE_RADIUS).collect() if r.doc_id is not None}
     assert {r.doc_id for r in out.where("doc_id is not null").collect()} == set(groups.values())
 
 
