@@ -292,6 +292,14 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, RANKS, PATTERN).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_file(rows):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    enc = packing.encoding(RANKS, PATTERN)
+    for text in [r[1] for r in rows if r[1]] + ["<|endoftext|> 12'll  \n\n x", "日本 ﬁ\u00a0\u2003é"]:
+        assert enc.encode_ordinary(text) == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_cover_every_piece_with_little_waste(seed):
     rng = np.random.default_rng(seed)
