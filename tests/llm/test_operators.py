@@ -197,6 +197,46 @@ def test_a_document_without_an_id_stays_if_it_is_alone(spark):
     assert (None, "alone") in kept and (1, "two o") in kept
 
 
+def test_kept_documents_against_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = [words(rng, 1) + str(i) for i in range(300)]
+    texts = []
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.02, 0.03, 0.06):  # words changed: likeness from 0.95 to 0.55
+            texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base))
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    expected = {find(i) for i in range(len(texts))}
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3))
+    assert {r.doc_id for r in kept.collect()} == expected and 60 < len(expected) < 250
+
+
+def test_likeness_of_sets_is_exact():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(30, 60))).astype(np.uint64) for _ in range(80)]
+    sets += [np.arange(100, 105, dtype=np.uint64), np.arange(101, 105, dtype=np.uint64), np.arange(102, 105, dtype=np.uint64)]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i in range(len(sets)):
+            for j in range(i):
+                if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert simhash.alike(sets).tolist() == root and root[81] == 80 != root[82] and len(simhash.alike([])) == 0
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
