@@ -24,9 +24,22 @@ TOKEN = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])(?:[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NUMBER = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+LOCAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+# What may follow an international number and isn't part of it: another value, or a year after ten digits.
+_DAY = r"(?:0[1-9]|[12][0-9]|3[01])"
+_DATES = rf"(?:1[89]|20)[0-9]{{2}}-(?:0[1-9]|1[0-2])-{_DAY}(?![0-9-])|{_DAY}[/.]{_DAY}[/.](?:1[89]|20)[0-9]{{2}}(?![0-9/])"
+_DIGIT = "[ .()-]{0,3}[0-9]"
+# From the plus sign to here at least 5 or 10 digits and at most 15; written out, as Java wants it when it looks behind.
+_FIVE, _TEN = (rf"\+{_DIGIT * n}{f'(?:{_DIGIT}' * (15 - n)}{')?' * (15 - n)}\)?" for n in (5, 10))
+_YEAR = rf"(?<={_TEN} )(?:19|20)[0-9]{{2}}(?![0-9])"
+_CARD = r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![ -]?[0-9])"
+NEXT = "|".join((ADDRESS, _DATES, SOCIAL, _CARD, rf"(?:{LOCAL})(?![0-9])", _YEAR))
+# '+1' and ten digits, or '(ddd) ddd-dddd' after any code; else groups of at most 15 digits with the code (E.164).
+PLAN = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+GROUPS = rf"\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,5}}\)?(?:(?: (?!{NEXT})|[.-]?)\(?[0-9]{{2,5}}\)?){{1,4}}(?<={_FIVE})"
+PHONE = rf"(?<![0-9A-Za-z])(?:{PLAN}|{GROUPS}|{LOCAL})(?![0-9])"
 ANY = "|".join((EMAIL, IBAN, TOKEN, ADDRESS, ISO_DATE, DAY_DATE, PHONE, SOCIAL, NUMBER))
 #: A Gregorian cycle has 146,097 days, 189 times 773; dates are permuted in the one from 1800 to 2199.
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)
@@ -142,6 +155,23 @@ def _date(value: Column, form: str, key: str) -> Column:
     return F.when(number.between(0, CYCLE[0] * CYCLE[1] - 1), F.transform(pair, written)[0]).otherwise(value)
 
 
+def _month_first(value: Column, key: str) -> Column:
+    """A date that is none day first: its day is over 12, and so is that of its pseudonym, which no day-first date has."""
+    start, form = F.lit(CYCLE_START).cast("date"), "MM/dd/yyyy"
+    on = lambda p: F.date_add(start, (p["x"] * CYCLE[1] + p["y"]).cast("int"))
+    turn = lambda x, y: permute_pair(x, CYCLE[0], y, CYCLE[1], key, "date")
+    number = F.datediff(F.try_to_date(value, form), start)
+    # Permuted until the day is over 12 again, which keeps it one to one; 64 turns in vain have a chance below 1e-25.
+    again = lambda p, _: F.when(F.dayofmonth(on(p)) > 12, p).otherwise(turn(p["x"], p["y"]))
+    image = F.aggregate(F.sequence(F.lit(1), F.lit(64)), turn(F.floor(number / CYCLE[1]), number % CYCLE[1]), again)
+    written = F.transform(F.array(image), lambda p: F.date_format(on(p), form))[0]
+    return F.when(number.between(0, CYCLE[0] * CYCLE[1] - 1), written).otherwise(value)
+
+
+def _slashed(value: Column, key: str) -> Column:
+    return F.when(F.try_to_date(value, "dd/MM/yyyy").isNotNull(), _date(value, "dd/MM/yyyy", key)).otherwise(_month_first(value, key))
+
+
 def _remainder(value: Column) -> Column:
     """A bank account number, its first four characters moved to the end and letters written as 10 to 35, modulo 97."""
     moved = F.concat(F.substr(value, F.lit(5), F.length(value)), F.substr(value, F.lit(1), F.lit(4)))
@@ -174,7 +204,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(_is(value, TOKEN), _token(value, key))
         .when(_is(value, ADDRESS), _address(value, key))
         .when(_is(value, ISO_DATE), _date(value, "yyyy-MM-dd", key))
-        .when(_is(value, DAY_DATE), F.when(value.contains("/"), _date(value, "dd/MM/yyyy", key)).otherwise(_date(value, "dd.MM.yyyy", key)))
+        .when(_is(value, DAY_DATE), F.when(value.contains("/"), _slashed(value, key)).otherwise(_date(value, "dd.MM.yyyy", key)))
         .when(_is(value, PHONE), _phone(value, key))
         .when(_is(value, SOCIAL), _social(value, key))
         .otherwise(_number(value, key))

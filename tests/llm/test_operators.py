@@ -93,6 +93,25 @@ def test_permutations_are_one_to_one(spark):
     assert t.distinct().count() == 10000 and t.where("t rlike '^[0-9]{4}$'").count() == 10000
 
 
+def test_what_follows_a_phone_is_not_eaten(spark):
+    phones = ["+1 (555) 123-4567", "+1 555 123 4567", "+49 30 1234567", "+44 20 7946 0958", "+44 (555) 123-4567"]
+    after = ["192.168.10.20", "2020 units", "2020-02-29", "31/12/1999", "123-45-6789", "4111 1111 1111 1111", "555-123-4567"]
+    texts = [*phones, *after, *[f"{p} {a}" for p in phones for a in after], "+62 812 3456 7890", "+49.30.12.34.56", "+49 170 1234 2020"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = dict(zip(texts, [r.text for r in pii.pseudonymize(df).orderBy("doc_id").collect()], strict=True))
+    assert got["2020 units"] == "2020 units" and all(got[x] != x for x in texts if x != "2020 units")
+    assert all(got[f"{p} {a}"] == f"{got[p]} {got[a]}" for p in phones for a in after)
+    assert got["+49 170 1234 2020"][-4:] != "2020" and got["+62 812 3456 7890"][-4:] != "7890" and got["+49.30.12.34.56"][-2:] != "56"
+
+
+def test_month_first_dates(spark):
+    days = [(i, f"{m:02}/{d:02}/20{y:02}") for i, (m, d, y) in enumerate((m, d, y) for m in range(1, 13) for d in range(13, 29) for y in range(10))]
+    df = spark.createDataFrame([*days, (9999, "13/13/2020")], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df).collect()}
+    assert got.pop(9999) == "13/13/2020" and len(set(got.values())) == len(days)
+    assert all(int(x[:2]) <= 12 < int(x[3:5]) for x in got.values()) and sum(got[i] != x for i, x in days) > 0.99 * len(days)
+
+
 # 2
 
 
