@@ -12,6 +12,8 @@ Ranks come from counts of sub-buckets, so a length that a third of all pieces sh
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +31,14 @@ _ENCODINGS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
-    """The worker's tokenizer; strings that look like special tokens are ordinary text."""
+    """The worker's tokenizer; the added tokens of the vocabulary's JSON file, beside the rank file, are found in text."""
     key = (rank_file, pattern)
     if key not in _ENCODINGS:
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(f"{os.path.splitext(rank_file)[0]}.json", "rb") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODINGS[key]
 
 
@@ -46,7 +50,7 @@ def cut_pieces(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(np.asarray(enc.encode_to_numpy(text or "", disallowed_special=()), dtype="<u4"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(np.asarray(enc.encode_to_numpy(text or "", allowed_special="all"), dtype="<u4"), np.uint32(END_ID)).astype("<u4")
                 n, raw = len(ids), ids.tobytes()
                 for start in range(0, n, SEQUENCE):
                     stop = min(n, start + SEQUENCE)

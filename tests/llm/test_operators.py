@@ -359,6 +359,16 @@ def test_ids_are_those_of_the_tokenizer_file(rows):
         assert enc.encode_ordinary(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_found_as_by_the_library(spark):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["ab <|endoftext|> c", "<|endoftext|>", "x<|endoftext|><|endoftext|>y ", "<|endoftext| >", "plain 12'll"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for t in texts]
+    assert 50256 in ids[0]
+    got = {(r.doc_id, r.ids_crc32, r.doc_tokens) for r in packing.cut_pieces(df, RANKS, PATTERN).collect()}
+    assert got == {(i, zlib.crc32(x.tobytes()), len(x)) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_cover_every_piece_with_little_waste(seed):
     rng = np.random.default_rng(seed)
