@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import packing, pii, quality, simhash, substring_index
-from gridloom.llm.scratch import materialize, ship, table
+from gridloom.llm import near_copies, packing, pii, quality, substring_index
+from gridloom.llm.scratch import discard, materialize, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group whose fingerprints link."""
+    """The document of least id of each group of near copies."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each but the last is written to the scratch folder."""
+    """All stages over the documents of ``sf_dir``; each but the last is written to the scratch folder.
+
+    A stage's table goes as soon as the next one is written, so there are two at most.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import discard, materialize
+from gridloom.llm.skew import join_hot
 
 
 def _star(links: DataFrame) -> DataFrame:
     """Each node's neighbours are linked to the least of node and neighbours; ``links`` run from ``a`` to ``b``."""
-    least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return links.join(least, "a")
+    least = materialize(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+    return join_hot(links, least, ["a"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node reachable, for every node of a link (``a``, ``b``).
 
     Large stars and small stars alternate until the links stand still, which takes about the logarithm of the number
-    of nodes in rounds. A hub's links are never gathered in one row; every round is a written table.
+    of nodes in rounds. A hub's links meet in no row and no task; every round is a written table.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
         large = _star(both(edges)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        large = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large-stars")
         small = _star(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         before, edges = edges, materialize(small, "links")
-        discard(before)
+        discard(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == now:
             break

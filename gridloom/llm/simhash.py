@@ -1,20 +1,17 @@
 """Near duplicates by SimHash, linked through a Gray-order hierarchical index.
 
-Fingerprints that differ in ``radius`` bits or fewer (two by default) agree on one of any ``radius + 1`` parts of the bits. The upper nodes of the
-index are such shared bit patterns under a mask: they are keys of a shuffle. A node that holds too many fingerprints is
-split by as many further parts of its remaining bits, and so on, which loses no link. Below them, fingerprints are
-sorted by Gray rank and runs of them form nodes that keep the bits all their members share; pairs of nodes are
-compared from the top, and a pair whose shared bits already differ in more places is dropped with all that
-lies below it. A node gives links that span its local components, not all pairs.
-
-Where copies are dropped (a radius wider than ``RADIUS``), links are candidates only. Texts that share four fifths of
-their five-word shingles mostly lie beyond any radius that an index of 64 bits can search, so equal bands of least
-hashes are candidates too, and all pairs of a group of candidates are then compared by their whole shingle sets.
+Fingerprints that differ in ``radius`` bits or fewer (two by default) agree on one of any ``radius + 1`` parts of the
+bits. The upper nodes of the index are such shared bit patterns under a mask: they are keys of a shuffle. A node that
+holds too many fingerprints is split by as many further parts of its remaining bits, and so on, which loses no link.
+Below them, fingerprints are sorted by Gray rank and runs of them form nodes that keep the bits all their members
+share; pairs of nodes are compared from the top, and a pair whose shared bits already differ in more places is dropped
+with all that lies below it. A node gives links that span its local components, not all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +21,39 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.scratch import discard, materialize
+from gridloom.llm.skew import join_hot
 
 BITS, RADIUS, FANOUT = 64, 2, 16
 #: A node of more fingerprints is split by further bits.
 NODE_LIMIT = 2_000
-#: Splitting ends at so many masks; the largest nodes are then searched whole, eight bytes a fingerprint.
-MOST_MASKS = 600
-#: Where copies are dropped, a wider radius gives candidates.
-WIDE_RADIUS, WIDE_NODE_LIMIT = 4, 20_000
-#: Near copies share at least 4 of 5 of the distinct shingles of SHINGLE words that either has.
-SHINGLE, SHARED, OF = 5, 4, 5
-#: Pairs at just that likeness share a band of ROWS least hashes of BANDS with a chance of 0.9996.
-BANDS, ROWS = 20, 5
-_TURNS = np.random.default_rng(5).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Splitting ends where a node's fingerprints share so many bits (at most 256 can), or at so many masks, which a radius
+#: of two or less doesn't reach; the nodes left are searched whole, eight bytes a fingerprint.
+SHARED_BITS, MOST_MASKS = 56, 600
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, words: int = 3, chunk: int = 1 << 16) -> int:
-    """SimHash of the shingles of ``words`` words; no words give zero, as does a null text."""
-    tokens = (text or "").encode().translate(_LOWER).split()
+def lower_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
+
+
+def shingle_hashes(tokens: list[bytes], words: int, digest: Callable[..., int], *seed: int, chunk: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Hashes of the space-joined shingles, repeats included, a chunk at a time; fewer words are one shingle."""
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)])
     n = max(1, len(tokens) - words + 1)
     firsts, lasts = starts[:n].tolist(), (starts[len(tokens) - n + 1 :] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, chunk):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(firsts[i : i + chunk], lasts[i : i + chunk], strict=True)], dtype="<u8")
+        yield np.array([digest(joined[a:b], *seed) for a, b in zip(firsts[i : i + chunk], lasts[i : i + chunk], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of the shingles of ``words`` words; no words give zero, as does a null text."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(lower_words(text), words, xxhash.xxh64_intdigest, 42):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -70,44 +70,6 @@ def with_fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", wo
     return given.mapInArrow(run, (kept + ", " if kept else "") + "fp bigint")
 
 
-def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
-    tokens = (text or "").encode().translate(_LOWER).split()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(b" ".join(tokens[i : i + words])) for i in range(max(1, len(tokens) - words + 1))], dtype=np.uint64))
-
-
-def content(text: str | None) -> int:
-    """A hash of the whole sequence of words, as a signed long."""
-    return _signed(xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().translate(_LOWER).split())))
-
-
-def bands(shingles: np.ndarray, chunk: int = 1 << 12) -> list[int]:
-    """A hash of each band of least hashes of the set."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(shingles), chunk):
-        np.minimum(least, (shingles[i : i + chunk, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
-    return [_signed(xxhash.xxh3_64_intdigest(row.tobytes())) for row in least.reshape(BANDS, ROWS)]
-
-
-def alike(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the index of the first member of its component over all pairs of near copies."""
-    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(s) for s in sets])[:-1]) if sets else []
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    label, mark = np.arange(len(sets)), np.zeros(int(max((x.max() for x in ids), default=-1)) + 1, dtype=bool)
-    for i in range(len(sets) - 1):
-        # Pairs of one component have nothing to add, nor have sets too unlike in size to be near copies.
-        fit = (label[i + 1 :] != label[i]) & (OF * np.minimum(sizes[i + 1 :], sizes[i]) >= SHARED * np.maximum(sizes[i + 1 :], sizes[i]))
-        rest = np.flatnonzero(fit) + i + 1
-        if len(rest):
-            mark[ids[i]] = True
-            common = np.add.reduceat(mark[np.concatenate([ids[j] for j in rest])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rest])[:-1]]))
-            mark[ids[i]] = False
-            near = rest[OF * common >= SHARED * (sizes[rest] + sizes[i] - common)]
-            label = _join(label, np.full(len(near), i), near)
-    return label
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of each word in the reflected Gray order."""
     out = x.copy()
@@ -216,113 +178,45 @@ def _signed(x: int) -> int:
 
 
 def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT, radius: int = RADIUS) -> DataFrame:
-    """Links ``a``, ``b`` that span the components of distinct fingerprints ``fp`` at ``radius`` differing bits or fewer."""
+    """Links ``a``, ``b`` that span the components of distinct fingerprints ``fp`` at ``radius`` differing bits or fewer.
+
+    Each level of nodes is written once, with the size of its nodes; the rows of a large node meet in no task.
+    """
     masks, rows, found = [0], prints.select(F.lit(0).cast("bigint").alias("mask"), "fp"), []
     while True:
         parts = {m: _parts(m, radius) for m in masks}
         split = F.create_map(*[x for m, p in parts.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in p]))])
         rows = rows.select(F.explode(split[F.col("mask")]).alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("mask", "key").count().where("count > 1")
-        sizes = materialize(sizes, "nodes")
-        joined = rows.join(sizes, ["mask", "key"])
+        sizes = materialize(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+        level = materialize(join_hot(rows, sizes, ["mask", "key"]), "level")
         masks = [m for p in parts.values() for m in p]
-        small = joined.where(F.col("count") <= node_limit) if bin(masks[0]).count("1") < BITS - 8 and len(masks) < MOST_MASKS else joined
+        last = bin(masks[0]).count("1") >= SHARED_BITS or len(masks) >= MOST_MASKS
+        large = level.where(F.col("n") > node_limit)
+        last = last or large.isEmpty()
+        small = level if last else level.where(F.col("n") <= node_limit)
         ordered = small.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-        found.append(ordered.mapInArrow(lambda rows: _links(rows, radius), "a bigint, b bigint"))
-        if small is joined or not sizes.where(F.col("count") > node_limit).limit(1).count():
-            break
-        rows = joined.where(F.col("count") > node_limit).select("mask", "fp")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
-
-
-def _with_contents(documents: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id_col``, ``fp``, ``content`` and ``bands``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            prints = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).astype(np.int64)
-            found = [pa.array(prints, pa.int64()), pa.array([content(t) for t in texts], pa.int64()), pa.array([bands(shingle_set(t)) for t in texts], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *found], [id_col, "fp", "content", "bands"])
-
-    given = documents.select(F.col(id_col), F.col(text_col))
-    return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, fp bigint, content bigint, bands array<bigint>")
-
-
-def _candidates(classes: DataFrame, node_limit: int, radius: int) -> DataFrame:
-    """Links ``a``, ``b`` of contents that span the components of the index's links and of equal bands."""
-    prints = materialize(classes.groupBy("fp").agg(F.min("content").alias("first")), "distinct")
-    ends = [prints.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in ("a", "b")]
-    links = near_links(prints, node_limit, radius).join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    same = classes.join(prints, "fp").where("content <> first").select(F.col("content").alias("a"), F.col("first").alias("b"))
-    banded = classes.select("content", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("content").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = banded.join(hubs, ["band", "hash"]).where("content <> b").select(F.col("content").alias("a"), "b")
-    return links.union(same).union(equal)
-
-
-def _verified(documents: DataFrame, text_col: str, classes: DataFrame, node_limit: int, radius: int) -> DataFrame:
-    """``content`` and ``root``, a content of the same component, for the contents that have a near copy."""
-    groups = materialize(components(_candidates(classes, node_limit, radius)).withColumnsRenamed({"node": "content", "root": "group"}), "candidates")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([content(t) for t in b.column(0).to_pylist()], pa.int64()), b.column(0)], ["content", "text"])
-
-    def compared(table: pa.Table) -> pa.Table:
-        own = table.column("content").to_numpy()
-        label = alike([shingle_set(t) for t in table.column("text").to_pylist()])
-        moved = np.bincount(label, minlength=len(label))[label] > 1
-        return pa.table({"content": own[moved], "root": own[label][moved]})
-
-    texts = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(hashed, "content bigint, text string")
-    texts = texts.join(groups, "content").dropDuplicates(["content"]).select("group", "content", "text")
-    return texts.groupBy("group").applyInArrow(compared, "content bigint, root bigint")
-
-
-def _near_copies(documents: DataFrame, id_col: str, text_col: str, words: int, radius: int, node_limit: int) -> DataFrame:
-    given = materialize(_with_contents(documents, id_col, text_col, words), "fingerprints")
-    by_content = given.groupBy("content").agg(F.min(id_col).alias("__least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = materialize(by_content, "contents")
-    verified = materialize(_verified(documents, text_col, classes, node_limit, radius), "near-copies")
-    grouped = classes.select("content", "__least").join(verified, "content", "left").withColumn("root", F.coalesce("root", "content"))
-    least = grouped.groupBy("root").agg(F.min("__least").alias("component_id"))
-    found = materialize(grouped.join(least, "root").select("content", "component_id"), "classes")
-    discard(classes, verified)
-    return given.join(found, "content").select(id_col, "fp", "component_id")
+        found.append(materialize(ordered.mapInArrow(lambda rows: _links(rows, radius), "a bigint, b bigint"), "level-links"))
+        discard(sizes)
+        if last:
+            return reduce(DataFrame.union, found)
+        rows = large.select("mask", "fp")
 
 
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, node_limit: int = NODE_LIMIT) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id``, the least id reachable over links of ``radius`` differing bits or fewer.
 
     Texts without words (null and empty ones too) have fingerprint zero and link like any others; equal ids keep a row
-    each; an empty table gives no rows. A radius over ``RADIUS`` gives groups of near copies instead: links, by the index
-    or by equal bands, count only between texts that share four fifths of their five-word shingles or all their words.
+    each; an empty table gives no rows.
     """
-    if radius > RADIUS:
-        return _near_copies(documents, id_col, text_col, words, radius, node_limit)
     given = materialize(with_fingerprints(documents.select(id_col, text_col), [id_col], text_col, words), "fingerprints")
-    prints = materialize(given.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct")
+    prints = materialize(given.groupBy("fp").agg(F.min(id_col).alias("__least"), F.count("*").alias("__rows")), "distinct")
     linked = components(near_links(prints, node_limit, radius)).withColumnRenamed("node", "fp")
-    grouped = prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("__least").alias("component_id"))
-    classes = materialize(grouped.join(least, "root").select("fp", "component_id"), "classes")
-    discard(prints)
-    return given.join(classes, "fp").select(id_col, "fp", "component_id")
+    grouped = materialize(prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
+    least = materialize(grouped.groupBy("root").agg(F.min("__least").alias("component_id"), F.count("*").alias("n")), "least")
+    classes = materialize(join_hot(grouped, least, ["root"]).select("fp", "component_id", "__rows"), "classes")
+    discard(prints, grouped, least)
+    return join_hot(given, classes, ["fp"], n="__rows").select(id_col, "fp", "component_id")
 
 
 def near_digest(documents: DataFrame) -> DataFrame:
     return near_groups(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The document of least id of each group of near duplicates; of rows that repeat that id, all stay.
-
-    Documents without an id count as repeating one: if one of them is the least of its group, all of them stay.
-    """
-    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    groups = near_groups(documents, radius=radius, node_limit=WIDE_NODE_LIMIT).where(least).select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(groups, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from gridloom.llm import bpe, components, html_blocks, html_labeller, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup  # noqa: E402
+from gridloom.llm import bpe, components, html_blocks, html_labeller, near_copies, packing, pii, quality, sharding, simhash, sketch, skew, substring_index, suffix_dedup  # noqa: E402
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -204,15 +204,15 @@ def test_simhash_digest(docs, rows, empty):
 
 def test_one_of_each_group_stays(docs):
     odd = docs.withColumns({"fp": F.lit("mine"), "component_id": F.lit(1), "root": F.lit(2)})
-    out = simhash.keep_one(odd)
+    out = near_copies.keep_one(odd)
     assert out.columns == odd.columns and out.where("fp <> 'mine'").count() == 0
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs, radius=simhash.WIDE_RADIUS).collect() if r.doc_id is not None}
+    groups = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect() if r.doc_id is not None}
     assert {r.doc_id for r in out.where("doc_id is not null").collect()} == set(groups.values())
 
 
 def test_a_document_without_an_id_stays_if_it_is_alone(spark):
     df = spark.createDataFrame([(None, "alone here in the world", "", "", 0), (1, "two of a kind go together", "", "", 0), (None, "two of a kind go together", "", "", 0)], DOCS)
-    kept = [(r.doc_id, r.text[:5]) for r in simhash.keep_one(df).collect()]
+    kept = [(r.doc_id, r.text[:5]) for r in near_copies.keep_one(df).collect()]
     assert (None, "alone") in kept and (1, "two o") in kept
 
 
@@ -239,21 +239,45 @@ def test_kept_documents_against_all_pairs(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     expected = {find(i) for i in range(len(texts))}
-    kept = simhash.keep_one(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3))
+    kept = near_copies.keep_one(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3))
     assert {r.doc_id for r in kept.collect()} == expected and 60 < len(expected) < 250
 
 
-def test_likeness_of_sets_is_exact():
-    rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(30, 60))).astype(np.uint64) for _ in range(80)]
-    sets += [np.arange(100, 105, dtype=np.uint64), np.arange(101, 105, dtype=np.uint64), np.arange(102, 105, dtype=np.uint64)]
-    root = list(range(len(sets)))
-    for _ in sets:
-        for i in range(len(sets)):
+def test_large_buckets_and_hot_keys_lose_no_link(spark, monkeypatch):
+    """Every join is split, and buckets of many texts, linked in chains or not at all, take several rounds."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    monkeypatch.setattr(skew, "HOT_KEYS", 2000)
+    monkeypatch.setattr(near_copies, "PART_ROWS", 7)
+    monkeypatch.setattr(near_copies, "HUBS", 2)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(300)]
+    texts = []
+    for i in range(90):  # all share 300 words; every tenth starts a chain of texts that are alike in turn
+        step = i % 10
+        own = [f"t{i // 10}w{j}" for j in range(step * 20, step * 20 + 150)]
+        texts.append(" ".join(common + own))
+    texts += [" ".join(common + [f"x{i}y{j}" for j in range(150)]) for i in range(40)] + [texts[3]] * 5
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(12):
+        for i in range(len(texts)):
             for j in range(i):
-                if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
-    assert simhash.alike(sets).tolist() == root and root[81] == 80 != root[82] and len(simhash.alike([])) == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_joins_with_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(500)] + [(None, 1)], "k int, v int")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3")
+    plain = Counter(map(tuple, rows.join(keyed, ["k"]).collect()))
+    for hot in (1, 75, 10_000):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        assert Counter(map(tuple, skew.join_hot(rows, keyed, ["k"]).collect())) == plain
+        assert skew.join_hot(rows, keyed, ["k"], "left_semi").count() == sum(plain.values())
 
 
 def test_components_of_a_chain_and_a_hub(spark):
