@@ -3,12 +3,13 @@
 Candidates meet in buckets: the nodes of the SimHash index (:mod:`gridloom.llm.simhash`), whose links alone find less
 than half of such texts, and equal bands of least hashes of the shingle sets. A bucket is never gathered. Its least
 member, the hub, is first compared with all others by their whole shingle sets. Members that are linked so far share a
-label; as long as a bucket holds several labels, the members outside its largest label are hubs in turn, few at first,
-and are compared with the members of other labels, dealt over as many tasks as the bucket needs. All pairs of a bucket
-but those already linked through others are compared in the end, so no link of a bucket is lost. Pairs at a likeness
-of just four fifths share a band with a chance of 0.999.
+label; as long as a bucket holds several labels, the members outside its largest label are hubs in turn, a bounded
+number in a round. The other members pass by the hubs, dealt over as many tasks as a bucket needs, and only links leave
+those tasks. All pairs of a bucket but those already linked through others are compared in the end, so no link of a
+bucket is lost. Pairs at a likeness of just four fifths share a band with a chance of 0.999.
 
-Texts are named by 64-bit hashes; equal texts are one class from the start.
+Equal texts are one class from the start, named by 64 bits; shingles are named by 32 bits, which changes a likeness
+by less than one shingle in texts of a hundred thousand words.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.components import components
 from gridloom.llm.scratch import discard, materialize
 from gridloom.llm.simhash import NODE_LIMIT, RADIUS, fingerprint, lower_words, near_links, shingle_hashes
-from gridloom.llm.skew import hot_keys, join_hot, only_keys
+from gridloom.llm.skew import join_hot, only_keys
 
 #: Near copies share at least SHARED of OF of the distinct shingles of SHINGLE words that either has.
 SHINGLE, SHARED, OF = 5, 4, 5
 BANDS, ROWS = 14, 4
-#: Rows that one task compares with a hub, and hubs of a bucket in the second round; each round has as many times more.
-PART_ROWS, HUBS = 500, 64
+#: Rows that one task compares with the hubs of a bucket, and its hubs in one round.
+PART_ROWS, HUBS = 500, 1024
 #: Hashes after which a worker hands on what it has made.
 OUT_HASHES = 1_000_000
 _TURNS = np.random.default_rng(5).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,15 +39,16 @@ _TURNS = np.random.default_rng(5).integers(0, 2**63, (2, BANDS * ROWS), dtype=np
 
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
-    found = list(shingle_hashes(lower_words(text), words, xxhash.xxh3_64_intdigest))
-    return np.unique(np.concatenate(found)) if found else np.zeros(1, dtype=np.uint64)
+    found = [(part >> np.uint64(32)).astype(np.uint32) for part in shingle_hashes(lower_words(text), words, xxhash.xxh3_64_intdigest)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, dtype=np.uint32)
 
 
 def bands(shingles: np.ndarray, chunk: int = 1 << 12) -> list[int]:
     """A hash of each band of least hashes of the set."""
+    shingles = shingles.astype(np.uint64)
     least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
     for i in range(0, len(shingles), chunk):
-        np.minimum(least, (shingles[i : i + chunk, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
+        np.minimum(least, ((shingles[i : i + chunk, None] + np.uint64(1)) * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
     return [xxhash.xxh3_64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)]
 
 
@@ -86,12 +88,12 @@ def _buckets(classes: DataFrame, node_limit: int, radius: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, text_col: str, involved: DataFrame) -> DataFrame:
-    """``content``, ``size`` and ``shingles`` of each content of ``involved``."""
+    """``content`` and ``shingles`` of each content of ``involved``."""
 
     def made(keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = [len(s) for s in sets]
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), pa.array(np.concatenate(sets).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["content", "size", "shingles"])
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), pa.array(np.concatenate(sets).view(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["content", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,36 +110,79 @@ def _sets(documents: DataFrame, text_col: str, involved: DataFrame) -> DataFrame
 
     texts = documents.select(_content(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
     one = only_keys(texts, involved, ["content"]).groupBy("content").agg(F.first("text").alias("text"))  # copies go before the shuffle
-    return materialize(one.mapInArrow(run, "content bigint, size bigint, shingles array<bigint>"), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` that are near copies; the rows of a hot ``b`` are dealt over several tasks."""
-    counts = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")), "pair-counts")
-    with_set = lambda side: sets.select(F.col("content").alias(side), F.col("size").alias(f"{side}_size"), F.col("shingles").alias(f"{side}_set"))
-    left, right = pairs.join(with_set("a"), "a"), counts.select("b", F.lit(0).alias("part"))
-    hot = hot_keys(counts)
-    if hot is None:
-        left = left.withColumn("part", F.lit(0))
-    else:
-        parts = hot.select("b", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-        left = left.join(F.broadcast(parts), "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        right = right.unionByName(parts.where("parts > 1").select("b", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part")))
-    joined = left.join(right.join(with_set("b"), "b"), ["b", "part"])
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    near = joined.where((OF * small >= SHARED * large) & (OF * common >= SHARED * (small + large - common))).select("a", "b")
-    out = materialize(near, "near")
-    discard(counts)
-    return out
+    return materialize(one.mapInArrow(run, "content bigint, shingles array<int>"), "sets")
+
+
+def near_pairs(hubs: list[np.ndarray], members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hubs and of the members that are near copies of each other."""
+    if len(hubs) * len(members) == 1:
+        n, both = len(hubs[0]) + len(members[0]), len(np.intersect1d(hubs[0], members[0], assume_unique=True))
+        found = np.zeros(int(OF * both >= SHARED * (n - both)), dtype=np.int64)
+        return found, found
+    sizes = np.array([len(s) for s in members], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, rest = np.unique(np.concatenate(members), return_inverse=True)
+    out = []
+    for hub in hubs:
+        mark = np.zeros(len(names), dtype=np.int64)
+        at = np.minimum(np.searchsorted(names, hub), len(names) - 1)
+        mark[at[names[at] == hub]] = 1
+        common = np.add.reduceat(mark[rest], starts)
+        out.append(np.flatnonzero(OF * common >= SHARED * (sizes + len(hub) - common)))
+    return np.repeat(np.arange(len(hubs)), [len(x) for x in out]), np.concatenate(out)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows ``bucket``, ``part``, ``hub``, ``content``, ``shingles``, sorted so that hubs come first."""
+    bucket, held = None, ([], [])  # the hubs of the bucket at hand: contents and sets
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)], axis=1)
+        is_hub, content = np.asarray(b.column(2)), np.asarray(b.column(3))
+        offsets, values = np.asarray(b.column(4).offsets), np.asarray(b.column(4).values)
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]).tolist()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if bucket != (now := tuple(key[start].tolist())):
+                bucket, held = now, ([], [])
+            own = [values[offsets[i] : offsets[i + 1]] for i in range(start, stop)]
+            n_hubs = int(is_hub[start:stop].sum())
+            held[0].extend(content[start : start + n_hubs].tolist())
+            held[1].extend(own[:n_hubs])
+            if held[0] and n_hubs < len(own):
+                i, j = near_pairs(held[1], own[n_hubs:])
+                left.append(content[start + n_hubs : stop][j])
+                right.append(np.array(held[0], dtype=np.int64)[i])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
+def _verified(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` of near copies between the ``hub`` rows and the others of each ``bucket`` and ``part``."""
+    joined = rows.join(sets, "content").select("bucket", "part", "hub", "content", "shingles")
+    ordered = joined.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("hub"))
+    return materialize(ordered.mapInArrow(_compare, "a bigint, b bigint").where("a <> b").distinct(), "near")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows ``bucket``, ``content``, ``n``, ``hub`` with ``part``: hubs are in all parts of their bucket."""
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    of_row = F.array(F.pmod(F.xxhash64("content"), parts).cast("int"))
+    # A hub is compared with the other hubs too: it passes by as a member of its own part.
+    placed = rows.select("bucket", "content", "hub", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(of_row)).alias("part"))
+    return placed.unionByName(rows.where("hub").select("bucket", "content", F.lit(False).alias("hub"), F.explode(of_row).alias("part")))
 
 
 def _linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``node`` and ``root`` of the contents that have a near copy, over the links of all buckets."""
-    tried = materialize(members.where("content <> hub").select(F.col("content").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = _verified(tried, sets)
+    # First round: each hub with all that it is the hub of, once however many buckets they share.
+    pairs = materialize(members.where("content <> hub").select("content", F.col("hub").alias("bucket")).distinct(), "pairs")
+    counts = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("n")), "pair-counts")
+    stars = join_hot(pairs, counts, ["bucket"]).withColumn("hub", F.lit(False))
+    hubs = counts.select("bucket", F.col("bucket").alias("content"), "n", F.lit(True).alias("hub"))
+    links = _verified(_dealt(stars.unionByName(hubs)), sets)
     labels = materialize(components(links), "labels")
-    rest, hubs_of_bucket = members.where("content <> hub").select("bucket", "content"), HUBS
+    rest = members.where("content <> hub").select("bucket", "content")
     while True:
         labelled = rest.join(labels, rest["content"] == labels["node"], "left").select("bucket", "content", F.coalesce("root", "content").alias("label"))
         labelled = materialize(labelled, "labelled")
@@ -145,18 +190,13 @@ def _linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         mixed = by_label.groupBy("bucket").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
         mixed = materialize(mixed, "mixed")
         if mixed.isEmpty():
-            discard(labelled, mixed)
+            discard(labelled, mixed, pairs, counts)
             return labels
-        turn = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("content", "bucket"), F.col("others")) < hubs_of_bucket)
-        rows = materialize(join_hot(labelled, mixed, ["bucket"]).withColumns({"turn": turn, "parts": F.ceil(F.col("n") / PART_ROWS).cast("int")}), "open")
-        hubs = rows.where("turn").select("bucket", F.col("content").alias("hub"), F.col("label").alias("hub_label"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        met = rows.withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")).join(hubs, ["bucket", "part"]).where("label <> hub_label")
-        pairs = met.select(F.greatest("content", "hub").alias("a"), F.least("content", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = links.union(_verified(pairs, sets))
+        turn = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("content", "bucket"), F.col("others")) < HUBS)
+        rows = materialize(join_hot(labelled, mixed, ["bucket"]).withColumn("hub", turn), "open")
+        links = links.union(_verified(_dealt(rows), sets))
         labels = materialize(components(links), "labels")
-        tried = tried.union(pairs)
-        rest, hubs_of_bucket = rows.where("not turn").select("bucket", "content"), hubs_of_bucket * HUBS
+        rest = rows.where("not hub").select("bucket", "content")
         discard(labelled, mixed)
 
 

@@ -11,25 +11,17 @@ HOT_KEYS, HOT_ROWS = 5_000, 100
 BROADCAST_KEYS = 1_000_000
 
 
-def hot_keys(keyed: DataFrame, n: str = "n") -> DataFrame | None:
-    """The rows of the hot keys of ``keyed`` (fewer than ``HOT_KEYS``), or None if there are none.
-
-    ``keyed`` is a written table with ``n``, the rows of each key.
-    """
-    total, most = keyed.agg(F.sum(n), F.max(n)).first()
-    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    return keyed.where(F.col(n) > limit) if (most or 0) > limit else None
-
-
 def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", n: str = "n") -> DataFrame:
     """``rows`` joined (``inner`` or ``left_semi``) with ``keyed``, which has a row for each key and its count ``n``.
 
     Hot keys, whose number is bounded, are broadcast and joined where the rows are; the others are joined by shuffle.
-    Both inputs are read more than once, so give written tables or cheap expressions on them.
+    Both inputs are read more than once, so ``keyed`` must be a written table and ``rows`` cheap.
     """
-    hot = hot_keys(keyed, n)
-    if hot is None:
+    total, most = keyed.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
         return rows.join(keyed, on, how)
+    hot = keyed.where(F.col(n) > limit)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     cold = keyed.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))

@@ -248,7 +248,7 @@ def test_large_buckets_and_hot_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_KEYS", 2000)
     monkeypatch.setattr(near_copies, "PART_ROWS", 7)
-    monkeypatch.setattr(near_copies, "HUBS", 2)
+    monkeypatch.setattr(near_copies, "HUBS", 60)
     rng = random.Random(5)
     common = [f"c{i}" for i in range(300)]
     texts = []
