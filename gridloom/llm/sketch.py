@@ -2,8 +2,10 @@
 
 A sketch keeps every hash of a five-word shingle that lies below 1/``scale`` of the hash range, so its size follows the
 document and the sketches of very unequal documents can be compared: the share of the smaller sketch that is in the
-larger one estimates containment. Sketches merge by union. If no hash of a text lies below the threshold, its least
-hash is kept, so that only texts without words have an empty sketch; a text of fewer than five words is one shingle.
+larger one estimates containment. A text of fewer than five words is one shingle. If no hash of a text lies below the
+threshold, its least hash stands in, so that only texts without words have an empty sketch. Sketches merge by union;
+a stand-in stays only if it is the least of both and nothing lies below the threshold, so the merged sketch is that of
+both texts' shingles together.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ def shingle_hashes(tokens: Column) -> Column:
 
 
 def threshold(hashes: Column, scale: int = SCALE) -> Column:
+    """The sketch of the hashes: sorted and distinct, those below the threshold, or the least (unsigned) as a stand-in."""
     below = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: (h >= 0) & (h < 2**64 // scale))))
     least = F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_FLIP)))).bitwiseXOR(F.lit(_FLIP))
     return F.when((F.size(below) == 0) & (F.size(hashes) > 0), F.array(least)).otherwise(below)
@@ -47,9 +50,9 @@ def with_sketch(df: DataFrame, text: Column, name: str, scale: int = SCALE) -> D
     )
 
 
-def merge(a: Column, b: Column) -> Column:
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return threshold(F.array_union(a, b), scale)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -80,12 +83,12 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare
     order = Window.partitionBy("__range").orderBy("__place", ties)
     rows = prepare(keyed).withColumn("__next", F.lead(F.struct(*carried)).over(order))
 
-    # One head for each range, so at most ``n_buckets`` rows of three numbers are broadcast.
+    # One head for each range. Only their ranges are ordered in one task; the heads' texts are joined to them afterwards.
     heads = keyed.groupBy("__range").agg(F.min(F.struct("__place", ties)).alias("__head")).select("__range", F.col("__head.__place").alias("__place"), F.col(f"__head.{ties}").alias(ties))
+    whole = Window.orderBy("__range")  # at most ``n_buckets`` rows of a number
+    follows = heads.select(F.col("__range").alias("__of"), F.coalesce(F.lead("__range").over(whole), F.first("__range").over(whole)).alias("__range"))
     firsts = keyed.join(F.broadcast(heads), ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])
-    firsts = prepare(firsts).select(F.col("__range").alias("__of"), F.struct(*carried).alias("__first"))
-    whole = Window.orderBy("__of")  # one row for each range
-    firsts = firsts.select("__of", F.coalesce(F.lead("__first").over(whole), F.first("__first").over(whole)).alias("__first"))
+    firsts = prepare(firsts).select("__range", F.struct(*carried).alias("__first")).join(F.broadcast(follows), "__range").drop("__range")
     joined = rows.join(firsts, F.col("__range") == F.col("__of"))
     return joined.withColumn("next", F.coalesce("__next", "__first")).drop("__place", "__range", "__next", "__of", "__first")
 
