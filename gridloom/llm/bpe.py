@@ -1,16 +1,17 @@
 """Byte-level BPE over padded numpy matrices.
 
-Every match of the splitting pattern is a piece. Pieces are bucketed by length into padded matrices of token ids; in
-each round every row merges its leftmost pair of least rank, found by hashed pair lookup, and rows that are done leave
-the matrix (compaction). Pieces longer than the widest bucket are merged by a heap in the same order of merges.
-Workers keep the ids of pieces they have met, up to a bounded number.
+Every match of the splitting pattern is a piece. Pieces are bucketed by length into padded matrices of token ids, the
+buckets doubling in width as far as the longest piece needs; in each round every row merges its leftmost pair of least
+rank, found by hashed pair lookup, and rows that are done leave the matrix (compaction). In wide matrices a round takes
+every place of a row at which the pair of least rank stands, from the left and without overlaps, as those are the
+merges that follow each other anyway, unless one of them makes a pair of lesser rank. Workers keep the ids of pieces
+they have met, up to a bounded number.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 NONE = np.int32(2**31 - 1)
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-#: Pieces that a worker remembers, and rows of one matrix.
-REMEMBERED, MATRIX_ROWS = 400_000, 65_536
+#: Pieces that a worker remembers, rows of one matrix, and cells of one wider than the widest of these.
+REMEMBERED, MATRIX_ROWS, MATRIX_CELLS = 400_000, 65_536, 1_000_000
 
 
 class PairTable:
@@ -115,31 +116,53 @@ class Codec:
             rank[rows, at] = np.where(at + 1 < n, self.pairs.ranks(ids[rows, at], ids[rows, after]), NONE)
         return out
 
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.of_byte[np.frombuffer(piece, dtype=np.uint8)]
-        first = self.pairs.ranks(ids[:-1], ids[1:])
-        ids, n = ids.tolist(), len(piece)
-        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE).tolist()]
-        heapq.heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def push(i: int, j: int) -> None:
-            rank = self.token_ranks.get(self.bytes_of[ids[i]] + self.bytes_of[ids[j]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
-
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+    def _merge_wide(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+        """As :meth:`_merge_matrix`, with all merges of a row's least rank in one round."""
+        n = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < n[:, None], self.of_byte[raw], np.int32(-1))
+        rank = np.full(ids.shape, NONE, dtype=np.int32)
+        rank[:, :-1] = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
+        where, out = np.arange(len(pieces)), [()] * len(pieces)
+        while len(where):
+            least = rank.min(axis=1)
+            if (done := least == NONE).any():
+                for k, row, length in zip(where[done].tolist(), ids[done], n[done].tolist(), strict=True):
+                    out[k] = tuple(row[:length].tolist())
+                where, ids, rank, n, least = (x[~done] for x in (where, ids, rank, n, least))
                 continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                push(i, after[j])
-            if before[i] >= 0:
-                push(before[i], i)
-        return tuple(x for x in ids if x >= 0)
+            # In a run of such pairs every second one goes, as the others lose their left half.
+            columns, at = np.arange(ids.shape[1]), rank == least[:, None]
+            begins = at & ~np.pad(at[:, :-1], ((0, 0), (1, 0)))
+            run = np.maximum.accumulate(np.where(begins, columns, 0), axis=1)
+            row, column = np.nonzero(at & ((columns - run) % 2 == 0))
+            # A merge whose new pairs have a lesser rank ends the round of its row, as that pair is next.
+            padded = np.pad(ids, ((0, 0), (1, 2)), constant_values=-1)
+            after_merge = np.concatenate([[False], (row[1:] == row[:-1]) & (column[1:] == column[:-1] + 2)])
+            before = np.where(after_merge, least[row], padded[row, column])
+            lesser = (self.pairs.ranks(before, least[row]) < least[row]) | (self.pairs.ranks(least[row], padded[row, column + 3]) < least[row])
+            if lesser.any():
+                last = np.full(len(where), ids.shape[1])
+                np.minimum.at(last, row[lesser], column[lesser])
+                row, column = row[column <= last[row]], column[column <= last[row]]
+            ids[row, column] = least[row]
+            merged, keep = np.zeros(ids.shape, dtype=bool), columns < n[:, None]
+            merged[row, column] = True
+            keep[row, column + 1] = False
+            # What is kept moves left; only pairs beside a merge get new ranks.
+            place, n = np.cumsum(keep, axis=1) - 1, keep.sum(axis=1)
+            shape = (len(where), int(n.max()))
+            old_row, old_column = np.nonzero(keep)
+            new_column = place[old_row, old_column]
+            kept = []
+            for values, fill in ((ids, -1), (rank, NONE), (merged, False)):
+                moved = np.full(shape, fill, dtype=values.dtype)
+                moved[old_row, new_column] = values[old_row, old_column]
+                kept.append(moved)
+            ids, rank, merged = kept
+            row, column = np.nonzero(merged | np.pad(merged[:, 1:], ((0, 0), (0, 1))))
+            rank[row, column] = self.pairs.ranks(ids[row, column], np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)[row, column + 1])
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of all ``pieces`` where :meth:`encode_all` finds them."""
@@ -150,14 +173,14 @@ class Codec:
             raw = piece.encode("utf-8", "surrogatepass")
             if (whole := self.token_ranks.get(raw)) is not None:
                 self.known[piece] = (whole,)
-            elif len(raw) > WIDTHS[-1]:
-                self.known[piece] = self._merge_long(raw)
             else:
-                buckets.setdefault(next(w for w in WIDTHS if len(raw) <= w), []).append(piece)
+                width = next((w for w in WIDTHS if len(raw) <= w), 1 << (len(raw) - 1).bit_length())
+                buckets.setdefault(width, []).append(piece)
         for width, group in buckets.items():
-            for i in range(0, len(group), MATRIX_ROWS):
-                part = group[i : i + MATRIX_ROWS]
-                self.known.update(zip(part, self._merge_matrix([p.encode("utf-8", "surrogatepass") for p in part], width), strict=True))
+            merge, rows = (self._merge_matrix, MATRIX_ROWS) if width <= WIDTHS[-1] else (self._merge_wide, max(1, MATRIX_CELLS // width))
+            for i in range(0, len(group), rows):
+                part = group[i : i + rows]
+                self.known.update(zip(part, merge([p.encode("utf-8", "surrogatepass") for p in part], width), strict=True))
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; pieces are learnt over runs of texts of a bounded length."""

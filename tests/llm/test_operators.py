@@ -351,6 +351,30 @@ def test_sketches_merge_and_contain(spark):
     assert row.inside > 0.98 and row.apart < 0.05 and row.merged > 0.98 and 250 < row.n < 500
 
 
+def test_merged_sketches_are_those_of_both_shingle_sets(spark):
+    rng = random.Random(9)
+    texts = [words(rng, n) for n in (5, 5, 6, 7, 9, 12, 30, 500)] + ["", "one two"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    hashes = lambda c: sketch.shingle_hashes(sketch.words(F.col(c)))
+    both = sketch.threshold(F.concat(hashes("a"), hashes("b")))
+    merged = sketch.merge(sketch.threshold(hashes("a")), sketch.threshold(hashes("b")))
+    assert df.select(both.alias("x"), merged.alias("y")).where("not x <=> y").count() == 0
+
+
+def test_sketches_against_python(spark):
+    """The likeness of sketches is that of the hashes below the threshold, found in plain Python."""
+    rng = random.Random(10)
+    texts = [words(rng, n) for n in (40, 400, 1500, 3000)]
+    df = spark.createDataFrame([(i, t, h) for i, t in enumerate(texts) for h in [None]], "doc_id bigint, text string, h string")
+    out = {r.doc_id: r for r in sketch.sketch_digest(df.withColumns({"tie": F.lit(1), "own": F.lit(1), "next": F.lit(1), "__words": F.lit(1)})).collect()}
+    hashed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", sketch.shingle_hashes(sketch.words(F.col("text"))).alias("h")).collect()
+    low = {r.i: sorted({h for h in r.h if 0 <= h < 2**64 // sketch.SCALE}) or [min(r.h, key=lambda h: h % 2**64)] for r in hashed}
+    for i in range(4):
+        a, b = set(low[i]), set(low[(i + 1) % 4])
+        assert out[i].near_next == pytest.approx(len(a & b) / min(len(a), len(b)))
+        assert out[i].fingerprint == "".join(f"{(h % 2**64) >> 16:012x}" for h in low[i])
+
+
 # 6
 
 
@@ -525,6 +549,14 @@ def test_communication_matrix():
     assert 297 < np.mean(draws) < 303 and all(0 <= d <= 400 for d in draws)
 
 
+def test_a_large_matrix_is_drawn_in_bounded_time():
+    import time
+
+    start = time.time()
+    m = sharding.communication_matrix([10**10 // 4096] * 4096, sharding._even(10**10 // 4096 * 4096, 16), 3)
+    assert time.time() - start < 30 and m.shape == (4096, 16) and len(set(m.sum(axis=0).tolist())) <= 2 and m.min() > 0
+
+
 def test_shards_are_uniform(spark):
     ids = sharding.uniform_shards(spark.range(20_000), "id", 4, seed=2, n_blocks=64)
     for shard, low in ids.groupBy("shard").agg(F.avg((F.col("id") < 10_000).cast("double"))).collect():
@@ -552,5 +584,6 @@ def test_bpe_on_odd_pieces():
     enc, own = packing.encoding(RANKS, PATTERN), bpe.Codec(RANKS, PATTERN)
     rng = random.Random(2)
     texts = ["a" * 1000, "ab" * 700, "日本語" * 200, " " * 300 + "x", "\n\n \t", "'s't're", "<|endoftext|>", "".join(chr(rng.randint(1, 0x2FFF)) for _ in range(2000)), "".join(rng.choice("etaoinshr") for _ in range(3000))]
+    texts += ["a" * 7001, "x" * 40_000, "".join(rng.choice("abc") for _ in range(20_000)), "".join(rng.choice("日本語のテキスト") for _ in range(900)), "th" * 300 + "e" * 301, "=" * 999, "aaab" * 333]
     for t, ids in zip(texts, own.encode_all(texts), strict=True):
         assert ids == enc.encode_ordinary(t) and own.decode(ids) == t.encode()
