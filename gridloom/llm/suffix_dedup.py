@@ -10,12 +10,16 @@ positions enter the rounds only where a repeat is possible:
 3. Rounds rank runs of window positions by pairs of names: the name of what all windows of the run share and the name
    of what they cover together. A shared part that is unique makes the whole run unique; a covered part that repeats
    makes the whole run a repeat; otherwise the run is split into single positions.
-4. Single positions are ranked by pairs: the name at the position and the name half a length further on. Spark sorts
-   the pairs at 200 and then at 400 bytes; a position whose pair is unique leaves, and one whose pair at the threshold
-   has an equal neighbour is a repeat.
-
-Names are digests of the bytes themselves, 128 bits in all (gram and content, core and cover, or the two of a pair). Matches never cross documents. A null text is empty. Texts shorter
-than the threshold lose nothing. Rows that repeat an id are documents of their own (equal rows are copies).
+4. Single positions in doubt are ranked by prefix doubling: their first ranks are of the next 50 bytes; each round pairs
+   the rank of a position with the rank one offset further on (50, 100, 200 bytes), sorts the pairs and numbers the
+   distinct ones, which gives the ranks of twice the length. A position whose pair no other one in doubt has is unique
+   and leaves; one whose pair at the threshold is not its own is a repeat. Ranks at offsets that a position in doubt
+   needs later are carried along.
+
+Rows of a hot gram, content or pair are counted first and joined where they are, so they meet in no task. Names of the
+first three steps are digests of the bytes themselves, 128 bits in all (gram and content, core and cover, or the two
+first ranks). Matches never cross documents. A null text is empty. Texts shorter than the threshold lose nothing. Rows
+that repeat an id are documents of their own (equal rows are copies). A document is named by 76 bits of its id and text.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import discard, materialize, release
+from gridloom.llm.skew import join_hot
 
 LENGTH, GRAM, RUN = 400, 32, 16
-#: Lengths at which positions in doubt are ranked; the last is the threshold.
-DOUBLED = (LENGTH // 2, LENGTH)
+#: Offsets at which ranks are paired; twice the last one is the threshold.
+OFFSETS = (LENGTH // 8, LENGTH // 4, LENGTH // 2)
+#: Bits of a place: the document's check, the first window, and twice ten for anchor and last window.
+CHECK_BITS, LO_BITS = 12, 31
 #: Bytes of text whose grams are hashed at a time, and bits that hold a place in them.
 CHUNK, PLACE_BITS = 2_000_000, 27
 #: Rows after which a worker hands on what it has made.
@@ -87,22 +94,26 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
 
-def pack_place(lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """First window, anchor and last window of a span in one long."""
-    return lo << 20 | (at - lo) << 10 | (hi - lo)
+def pack_place(check: np.ndarray, lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The document's check and the first window, anchor and last window of a span in one long."""
+    return check << (LO_BITS + 20) | lo << 20 | (at - lo) << 10 | (hi - lo)
+
+
+def _first_window(place: int) -> int:
+    return place >> 20 & ((1 << LO_BITS) - 1)
 
 
 def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans of each text: its key ``k``, the packed ``place``, the anchor's ``gram`` and a name of the content.
 
-    ``texts`` has ``k`` and ``data`` (bytes). The name is seeded with the anchor's place in the span.
+    ``texts`` has ``k``, ``check`` and ``data`` (bytes). The name is seeded with the anchor's place in the span.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            k = np.asarray(b.column(0))
-            for rows, starts, data, ends in _pieces([x or b"" for x in b.column(1).to_pylist()], length):
+            k, check = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for rows, starts, data, ends in _pieces([x or b"" for x in b.column(2).to_pylist()], length):
                 grams = gram_hashes(data, gram)
                 at = least_places(grams, length - gram + 1)
                 part = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
@@ -114,10 +125,10 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 view = memoryview(data)
                 names = [digest(view[x : z + length], y - x) for x, y, z in zip(lo.tolist(), at.tolist(), hi.tolist(), strict=True)]
                 shift = starts[owner] - (ends - np.diff(ends, prepend=0))[owner]
-                place = pack_place(lo + shift, at + shift, hi + shift)
+                place = pack_place(check[rows[owner]], lo + shift, at + shift, hi + shift)
                 yield pa.RecordBatch.from_arrays([pa.array(k[rows[owner]]), pa.array(place), pa.array(grams[at].view(np.int64)), _signed(names)], ["k", "place", "gram", "s"])
 
-    return texts.select("k", "data").mapInArrow(run, "k bigint, place bigint, gram bigint, s bigint")
+    return texts.select("k", "check", "data").mapInArrow(run, "k bigint, place bigint, gram bigint, s bigint")
 
 
 def _batch(columns: list, names: list[str], binary: str = "") -> pa.RecordBatch:
@@ -130,7 +141,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for s in spans:
-                lo, width = s["place"] >> 20, s["place"] & 1023
+                lo, width = _first_window(s["place"]), s["place"] & 1023
                 rows.append((k, s["place"], s["gram"], s["n"], data[lo : lo + width + LENGTH]))
             if len(rows) >= OUT_ROWS:
                 yield _batch(zip(*rows, strict=True), ["k", "place", "gram", "n", "bytes"], "bytes")
@@ -157,59 +168,61 @@ def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(zip(*rows, strict=True), ["k", "place", "n", "offsets", "ck", "cover"])
 
 
-def _name_pairs(length: int):
-    """For each position still in doubt the names of the two halves of its next ``length`` bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        half = length // 2
-        for b in batches:
-            rows = []
-            for k, place, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, named = place >> 10 & 1023, {}
-                for r in runs:
-                    for offset in range(r["offsets"] >> 16, (r["offsets"] & 65535) + 1):
-                        start = at - offset
-                        for x in (start, start + half):
-                            if x not in named:
-                                named[x] = digest(data[x : x + half])
-                        rows.append((named[start], named[start + half], k, place, offset << 1 | (r["weight"] > 1)))
-                if len(rows) >= OUT_ROWS:
-                    yield _batch(zip(*rows, strict=True), PAIRS)
-                    rows = []
-            yield _batch(zip(*rows, strict=True), PAIRS)
+PAIRS = ["w1", "w2", "k", "place", "mark"]  # mark: position in the span, in doubt, stands for several
 
-    return run
 
+def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of digests at the first offset, for each position in doubt and those whose ranks it needs later."""
+    digest, half = xxhash.xxh3_64_intdigest, OFFSETS[0]
+    for b in batches:
+        rows = []
+        for k, place, data, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, flags, named = place >> 10 & 1023, {}, {}
+            for r in runs:
+                for offset in range(r["offsets"] >> 16, (r["offsets"] & 65535) + 1):
+                    flags[at - offset] = 2 | (r["weight"] > 1)
+            for start in list(flags):
+                for x in range(start + 2 * half, start + LENGTH, 2 * half):
+                    flags.setdefault(x, 0)
+            for x, flag in flags.items():
+                for y in (x, x + half):
+                    if y not in named:
+                        named[y] = digest(data[y : y + half])
+                rows.append((named[x], named[x + half], k, place, x << 2 | flag))
+            if len(rows) >= OUT_ROWS:
+                yield _batch(zip(*rows, strict=True), PAIRS)
+                rows = []
+        yield _batch(zip(*rows, strict=True), PAIRS)
 
-PAIRS = ["w1", "w2", "k", "place", "mark"]
 
+def _pair_ranks(half: int):
+    """Pairs of ranks ``half`` apart, from rows ``k``, ``place``, ``mark``, ``rank`` sorted by span and position."""
 
-def _repeated_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by pair, those whose pair another row has too, or that stand for several positions."""
-    held = [np.zeros(0, dtype=np.int64)] * 5
+    def pairs(k: np.ndarray, place: np.ndarray, mark: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        span = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (place[1:] != place[:-1])])[: len(k)])
+        key = span << 12 | mark >> 2
+        doubt = key[mark & 2 > 0]
+        wanted = np.unique(np.concatenate([doubt + x for x in range(0, LENGTH, 2 * half)]))
+        i, j = np.searchsorted(key, wanted), np.searchsorted(key, wanted + half)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rank[i], rank[j], k[i], place[i], mark[i])], PAIRS)
 
-    def settle(w1, w2, k, place, mark) -> pa.RecordBatch:
-        if len(w1):
-            new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-            stay = np.repeat(np.add.reduceat(1 + (mark & 1), new), np.diff(np.append(new, len(w1)))) > 1
-            k, place, mark = k[stay], place[stay], mark[stay]
-        offset = mark >> 1
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, place, offset << 16 | offset, 1 + (mark & 1))], ["k", "place", "offsets", "weight"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for b in batches:
+            rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, b.columns, strict=True)]
+            k, place = rows[:2]
+            other = np.flatnonzero((k != k[-1]) | (place != place[-1])) if len(k) else []
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last span may go on
+            if cut:
+                yield pairs(*(r[:cut] for r in rows))
+            held = [r[cut:] for r in rows]
+        yield pairs(*held)
 
-    for batch in batches:
-        rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
-        w1, w2 = rows[:2]
-        other = np.flatnonzero((w1 != w1[-1]) | (w2 != w2[-1])) if len(w1) else []
-        cut = int(other[-1]) + 1 if len(other) else 0  # the last pair may go on
-        if cut:
-            yield settle(*(r[:cut] for r in rows))
-        held = [r[cut:] for r in rows]
-    yield settle(*held)
+    return run
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``k`` and ``cuts``, the runs ``first`` to ``last`` of starts of windows that start elsewhere too.
+    """``k``, ``check`` and ``cuts``, the runs ``first`` to ``last`` of starts of windows that start elsewhere too.
 
     Each step is a written table, so that the shuffle files of one can go before the next; all but the last are
     deleted.
@@ -225,36 +238,50 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     one = lambda *names: [F.first(c).alias(c) for c in names]
     spans = step(find_spans(texts), "spans")
     contents = step(spans.groupBy("gram", "s").agg(F.count("*").alias("n"), *one("k", "place")), "contents")
-    lo = F.shiftright("place", 20)
-    whole = spans.join(contents.where("n > 1").select("gram", "s"), ["gram", "s"], "left_semi").select("k", lo.alias("first"), (lo + F.col("place").bitwiseAND(F.lit(1023))).alias("last"))
-    whole = step(whole, "whole")
+    check, lo = F.shiftright("place", LO_BITS + 20).alias("check"), F.shiftright("place", 20).bitwiseAND(F.lit((1 << LO_BITS) - 1))
+    whole = join_hot(spans, contents.where("n > 1").select("gram", "s", "n"), ["gram", "s"], "left_semi")
+    whole = step(whole.select("k", check, lo.alias("first"), (lo + F.col("place").bitwiseAND(F.lit(1023))).alias("last")), "whole")
 
-    mixed = contents.groupBy("gram").count().where("count > 1").select("gram")
-    chosen = contents.join(mixed, "gram", "left_semi")
+    mixed = step(contents.groupBy("gram").agg(F.count("*").alias("u")).where("u > 1"), "mixed")
+    chosen = join_hot(contents, mixed, ["gram"], "left_semi", n="u")
     discard(spans)
-    per_text = step(chosen.groupBy("k").agg(F.collect_list(F.struct("place", "gram", "n")).alias("spans")), "chosen")  # spans of one text
-    bytes_of = step(texts.join(per_text, "k").select("k", "data", "spans").mapInArrow(_cut_out, "k bigint, place bigint, gram bigint, n bigint, bytes binary"), "span-bytes")
+    per_text = step(chosen.groupBy("k", check).agg(F.collect_list(F.struct("place", "gram", "n")).alias("spans")), "chosen")  # spans of one text
+    bytes_of = step(texts.join(per_text, ["k", "check"]).select("k", "data", "spans").mapInArrow(_cut_out, "k bigint, place bigint, gram bigint, n bigint, bytes binary"), "span-bytes")
+    discard(contents, mixed, per_text)
 
     runs = step(bytes_of.mapInArrow(_name_runs, "k bigint, place bigint, n bigint, offsets bigint, ck bigint, cover bigint"), "runs")
-    covers = step(runs.groupBy("ck", "cover").agg(F.sum("n").alias("weight"), *one("k", "place", "offsets")), "covers")
+    covers = step(runs.groupBy("ck", "cover").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"), *one("k", "place", "offsets")), "covers")
     anchor = lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    repeated = runs.where("n = 1").join(covers.where("weight > 1").select("ck", "cover"), ["ck", "cover"], "left_semi")
-    repeated = repeated.select("k", (anchor - F.col("offsets").bitwiseAND(F.lit(65535))).alias("first"), (anchor - F.shiftright("offsets", 16)).alias("last"))
+    repeated = join_hot(runs.where("n = 1"), covers.where("weight > 1").select("ck", "cover", "rows"), ["ck", "cover"], "left_semi", n="rows")
+    repeated = repeated.select("k", check, (anchor - F.col("offsets").bitwiseAND(F.lit(65535))).alias("first"), (anchor - F.shiftright("offsets", 16)).alias("last"))
     repeated = step(repeated, "repeated-runs")
-
-    open_cores = covers.groupBy("ck").agg(F.count("*").alias("u"), F.min("weight").alias("least")).where("u > 1 and least = 1")
-    split = covers.join(open_cores.select("ck"), "ck", "left_semi")
-    doubt = split.select("k", "place", "offsets", "weight")
-    # Each round sorts pairs of names at a doubled offset; positions whose pair is unique leave.
-    for length in DOUBLED:
-        per_span = doubt.groupBy("k", "place").agg(F.collect_list(F.struct("offsets", "weight")).alias("runs"))  # runs of one span
-        named = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs").mapInArrow(_name_pairs(length), ", ".join(f"{c} bigint" for c in PAIRS))
-        ordered = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2")
-        doubt = step(ordered.mapInArrow(_repeated_pairs, "k bigint, place bigint, offsets bigint, weight bigint"), f"positions-{length}")
-    start = anchor - F.shiftright("offsets", 16)
-    settled = doubt.where("weight = 1").select("k", start.alias("first"), start.alias("last"))
+    discard(runs)
+
+    open_cores = step(covers.groupBy("ck").agg(F.count("*").alias("u"), F.min("weight").alias("least")).where("u > 1 and least = 1").select("ck", "u"), "open-cores")
+    doubt = join_hot(covers, open_cores, ["ck"], "left_semi", n="u")
+    per_span = doubt.groupBy("k", "place").agg(F.collect_list(F.struct("offsets", "weight")).alias("runs"))  # runs of one span
+    named = per_span.join(bytes_of.select("k", "place", "bytes"), ["k", "place"]).select("k", "place", "bytes", "runs")
+    pairs = step(named.mapInArrow(_first_ranks, ", ".join(f"{c} bigint" for c in PAIRS)), "pairs")
+    discard(covers, open_cores, bytes_of)
+    in_doubt = F.col("mark").bitwiseAND(F.lit(2)) > 0
+    for half in OFFSETS:
+        # Equal pairs get one rank: the pairs are counted, sorted and numbered. Positions whose pair is their own leave.
+        several = F.when(in_doubt, 1 + F.col("mark").bitwiseAND(F.lit(1))).otherwise(0)
+        counted = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.sum(several).alias("weight"))
+        ranks = step(counted.sortWithinPartitions("w1", "w2").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+        ranked = join_hot(pairs, ranks, ["w1", "w2"])
+        if 2 * half == LENGTH:
+            doubt = step(ranked.where(in_doubt & (F.col("weight") > 1)).select("k", "place", "mark"), "repeated-positions")
+            discard(pairs, ranks)
+            break
+        mark = F.when(in_doubt & (F.col("weight") > 1), F.col("mark")).otherwise(F.col("mark").bitwiseAND(F.lit(-4)))
+        by_span = ranked.select("k", "place", mark.alias("mark"), "rank").repartition("k", "place").sortWithinPartitions("k", "place", "mark")
+        before, pairs = pairs, step(by_span.mapInArrow(_pair_ranks(2 * half), ", ".join(f"{c} bigint" for c in PAIRS)), "pairs")
+        discard(before, ranks)
+    start = lo + F.shiftright("mark", 2)
+    settled = doubt.where("mark & 1 = 0").select("k", check, start.alias("first"), start.alias("last"))
     found = whole.unionByName(repeated).unionByName(settled)
-    cuts = step(found.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
+    cuts = step(found.groupBy("k", "check").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")  # ranges of one text
     discard(*made[:-1])
     return cuts
 
@@ -273,9 +300,9 @@ def merge_windows(firsts: list[int], lasts: list[int], length: int = LENGTH) ->
 def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id ``d`` and ``data`` of each text and the window ranges ``cuts`` that repeat (null if none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = documents.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(id_col, text).alias("k"), text.cast("binary").alias("data"))
+    texts = documents.select(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(id_col, text).alias("k"), F.pmod(F.xxhash64(text, F.lit(1), id_col), F.lit(1 << CHECK_BITS)).alias("check"), text.cast("binary").alias("data"))
     cuts = repeated_starts(texts.where(F.length("data") >= LENGTH))
-    return texts.join(cuts, "k", "left").select("d", "data", "cuts")
+    return texts.join(cuts, ["k", "check"], "left").select("d", "data", "cuts")
 
 
 def dedup_digest(documents: DataFrame) -> DataFrame:
