@@ -130,6 +130,8 @@ def test_validation(spark):
 CASES = [
     ("remind me of our last chat", "chat_history"), ("export the last message to csv", "export"), ("why did you fail", "ai_meta"), ("which files are there", "list_files"), ("what is 25*4", "general"),
     ("how many rows are there", "data_query"), ("list all columns", "data_query"), ("generate 10 rows of dummy data", "generate"), ("summarize this document", "overview"), ("chapters of the report", "table_of_contents"),
+    ("remind the last", "chat_history"), ("what did we discuss", "chat_history"), ("recap", "chat_history"), ("it doesn't work", "ai_meta"), ("what files have I uploaded", "list_files"), ("list my documents", "list_files"),
+    ("tell me a joke", "general"), ("save the report as csv and then email the file", "complex"), ("download it as a pdf file", "export"), ("what does page no. 12 say", "page_lookup"), ("what is this document about", "overview"),
     ("export document, columns: a, b, c, d", "export"), ("page 3 of the pdf", "page_lookup"), ("explain the document", "qa"),
 ]
 
