@@ -21,8 +21,10 @@ from gridloom.session import ship
 from gridloom.sources import files
 
 
-# Words that ask for the columns of the last export.
-AS_BEFORE = r"\b(as per my requirement|like (i said|before)|same columns|as (mentioned|discussed) (before|earlier))\b"
+#: Phrases that ask for the columns of the last export.
+AS_BEFORE = re.compile(r"\bsame (columns?|fields?|layout|format)\b|\bas\b.{0,20}\b(before|last time|usual|earlier)\b|\b(i|we) (asked|wanted|agreed|specified)\b")
+#: Headings, characters of text and rows that an answer shows, and rows that a query must give within the deadline.
+HEADINGS, CHARACTERS, SAMPLE, PREVIEW = 60, 2000, 3, 1000
 
 
 @dataclass
@@ -41,8 +43,10 @@ class Engine:
     spark: SparkSession
     output: str = "exports"
     write_sql: Callable[[str, str, str | None], str] | None = None
+    deadline: float = 30.0  # seconds in which a query must give its first rows
     catalog: cat.Catalog = field(init=False)
     history: dict[str, list[dict]] = field(default_factory=dict)
+    outlines: dict[str, DataFrame] = field(default_factory=dict)  # headings of the files that have any
     specs: dict[str, tuple[list[str] | None, dict | None]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -61,6 +65,10 @@ class Engine:
             found = cell_tables(unmerge(cells, merges))
             for (label,) in found.select("table").distinct().orderBy("table").collect():
                 self.catalog.add_table(file_id, label, files.inferred(to_frame(found, label)))
+        elif extension in ("html", "htm"):
+            page = files.read_text(self.spark, path)
+            self.outlines[file_id] = files.headings(page.select(F.lit(1).alias("page_id"), F.col("text").alias("html")))
+            self.catalog.add_table(file_id, "text", page.select(F.lit(1).alias("page"), files.visible_text(F.col("text")).alias("text"), "content_key"))
         elif extension in ("txt", "md"):
             self.catalog.add_table(file_id, "text", files.read_text(self.spark, path))
         else:
@@ -100,7 +108,18 @@ class Engine:
             return Answer(intent, "\n".join(f"{f['pos'] + 1}. {f['name']} ({f['kind']}, {f['file_id']})" for f in self.catalog.files.values()), rows)
         if intent == "list_columns":
             views = self.catalog.register(targets)
-            return Answer(intent, self.catalog.schema_text(views))
+            samples = [f"{name}:\n" + "\n".join(str(tuple(r)) for r in t.df.limit(SAMPLE).collect()) for name, t in views.items()]
+            return Answer(intent, "\n\n".join([self.catalog.schema_text(views), *samples]))
+        if intent == "table_of_contents":
+            found = [self.outlines[f] for f in targets if f in self.outlines]
+            lines = [f"{'  ' * (r.level - 1)}{r.text}" for df in found for r in df.orderBy("place").limit(HEADINGS).collect()]
+            return Answer(intent, "\n".join(lines) or "No headings are stored.")
+        if intent in ("overview", "page_lookup"):
+            texts = [t.df for t in self.catalog.of(targets) if "text" in t.df.columns]
+            if intent == "page_lookup":
+                texts = [df.where(F.col("page") == plan["page"]) for df in texts if "page" in df.columns]
+            found = [r.text for df in texts for r in df.select(F.substring("text", 1, CHARACTERS).alias("text")).limit(1).collect() if r.text]
+            return Answer(intent, "\n\n".join(found) or "No text is stored for that.")
         if intent == "data_query":
             views = self.catalog.register(targets)
             schema, error = self.catalog.schema_text(views), None
@@ -110,7 +129,7 @@ class Engine:
                     return Answer(intent, f"Tables to query:\n{schema}")
                 try:
                     df = guard.run(self.spark, text, list(views))
-                    df.schema  # noqa: B018  resolves the names
+                    guard.rows_within(df.limit(PREVIEW), self.deadline)  # finds errors at run time, and queries that never end
                 except Exception as e:  # noqa: BLE001  the next attempt is told
                     error = str(e).splitlines()[0]
                     continue
@@ -119,7 +138,7 @@ class Engine:
             return Answer(intent, f"The query failed: {error}")
         if intent == "export":
             wanted, names = plan["columns"], plan["rename"]
-            if not wanted and not names and re.search(AS_BEFORE, prompt.lower()):
+            if not wanted and not names and AS_BEFORE.search(prompt.lower()):
                 wanted, names = self.specs.get(session, (None, None))
             elif wanted or names:
                 self.specs[session] = (wanted, names)

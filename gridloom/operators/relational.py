@@ -90,14 +90,22 @@ def beside(left: DataFrame, right: DataFrame, left_order: list[str], right_order
     return a.join(b, "__place", "full").drop("__place")
 
 
+#: Values of a text column that are sampled for each range.
+SAMPLED = 200
+
+
 def with_place(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
     """Rows numbered from 0 in a total order, without passing all rows through one task.
 
-    Ranges of the first column are numbered inside, and the counts of the ranges, at most ``parts``, set their starts.
+    Ranges of the first column, between quantiles (of a bounded sample for texts), are numbered inside, and the counts
+    of the ranges, at most ``parts``, set their starts. Rows of one value of that column are in one range.
     """
     first = F.col(order[0])
     if df.schema[order[0]].dataType.typeName() in ("string", "boolean"):
-        edges = sorted({r[0] for r in df.select(first.alias("x")).where("x is not null").sample(0.1, 1).groupBy("x").count().orderBy("x").limit(parts).collect()})
+        known = df.select(first.alias("x")).where("x is not null")
+        share = min(1.0, parts * SAMPLED / max(1, known.count()))
+        sample = sorted(r[0] for r in known.sample(share, 1).collect())  # about ``parts * SAMPLED`` values
+        edges = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     else:
         edges = sorted(set(df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
     part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < first)) if edges else F.lit(0)

@@ -92,7 +92,12 @@ def run(spark: SparkSession, sql: str, views: list[str]) -> DataFrame:
 
 def run_within(spark: SparkSession, sql: str, views: list[str], seconds: float = 5.0) -> list:
     """The rows of a checked query; its jobs are cancelled at the deadline."""
-    df, context, tag, done = run(spark, sql, views), spark.sparkContext, f"gridloom-{uuid.uuid4().hex}", threading.Event()
+    return rows_within(run(spark, sql, views), seconds)
+
+
+def rows_within(df: DataFrame, seconds: float) -> list:
+    """The rows of ``df``; its jobs are cancelled at the deadline."""
+    context, tag, done = df.sparkSession.sparkContext, f"gridloom-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         wait = seconds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -61,11 +62,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_text(spark: SparkSession, text: str) -> DataFrame:
     """A table from CSV text, such as generated output."""
-    lines = text.splitlines()
-    parsed = spark.createDataFrame([(i, x) for i, x in enumerate(lines[1:])], "at int, line string")
-    names = unique_names(next(iter(pd.read_csv(io.StringIO(lines[0]), header=None, dtype=str).fillna("").values.tolist()), [])) if lines else ["empty"]
-    kind = ", ".join(f"`{n}` string" for n in names)
-    return inferred(parsed.select("at", F.from_csv("line", kind).alias("r")).orderBy("at").select("r.*"))
+    rows = [r for r in csv.reader(io.StringIO(text)) if r]  # quoted fields may hold line breaks
+    names = unique_names(rows[0]) if rows else ["empty"]
+    fitted = [tuple((r[k] if k < len(r) else "") or None for k in range(len(names))) for r in rows[1:]]
+    return inferred(spark.createDataFrame(fitted, ", ".join(f"`{n}` string" for n in names)))
 
 
 # Spreadsheets -------------------------------------------------------------------------------------------------------

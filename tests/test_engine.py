@@ -136,6 +136,48 @@ CASES = [
 ]
 
 
+def test_pages_are_answered_from_what_is_stored(spark, tmp_path):
+    from gridloom.engine import Engine
+
+    (tmp_path / "guide.html").write_text("<h1>Start</h1><p>Plug it in.</p><h2>Care</h2><script>x</script><p>Keep dry.</p>")
+    e = Engine(spark, output=str(tmp_path))
+    assert e.ingest(str(tmp_path / "guide.html"), "g") == 1
+    assert e.ask("which chapters are in the document").text == "Start\n  Care"
+    assert e.ask("summarize this document").text == "Start Plug it in. Care Keep dry." == e.ask("what does page 1 of the document say").text
+    assert "No text" in e.ask("what does page 7 of the document say").text
+
+
+def test_errors_at_run_time_go_to_the_next_attempt(spark, tmp_path):
+    from gridloom.engine import Engine
+
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    told = []
+
+    def write(prompt, schema, error):
+        told.append(error)
+        return "SELECT cast(v AS int) AS n FROM data" if error is None else "SELECT count(*) AS n FROM data"
+
+    e = Engine(spark, output=str(tmp_path), write_sql=write)
+    e.ingest(str(tmp_path / "a.csv"), "a")
+    answer = e.ask("how many rows are in the table")
+    assert answer.table.first().n == 2 and told[0] is None and "CAST" in told[1].upper()
+
+
+def test_csv_text_with_line_breaks(spark):
+    rows = files.csv_text(spark, 'a,b\n"x\ny",1\n"z, ""q""",\n').orderBy("b").collect()
+    assert sorted((r.a, r.b) for r in rows if r.b is not None) == [("x\ny", 1)] and len(rows) == 2 and 'z, "q"' in {r.a for r in rows}
+
+
+def test_places_of_text_keys_are_even(spark):
+    from gridloom.operators.relational import with_place
+
+    df = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    placed = with_place(df, ["k"], "at")
+    assert [r.at for r in placed.orderBy("k").collect()] == list(range(20_000))
+    sizes = [r["count"] for r in placed.groupBy(F.expr("at div 1000"), F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 1000
+
+
 def test_intents(spark):
     df = spark.createDataFrame([(p,) for p, _ in CASES], "prompt string")
     got = {r.prompt: r.intent for r in df.select("prompt", router.intent(F.col("prompt"), F.lit(True)).alias("intent")).collect()}
