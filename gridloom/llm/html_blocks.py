@@ -21,7 +21,8 @@ CLOSES = {
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote figure".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag ends at the first > outside a quoted value; quotes count only after an equals sign.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>=]|=)*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -198,18 +199,21 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
     for _ in range(rng.randint(0, 2)):
         boxes(rng.choice(("ad", "ad", "notice", "aside")))
     outer = rng.choice(("article", "article", "article", "main", "named", "main+article"))
-    parts.append({"article": "<article>", "main": "<main>", "named": f'<div class="{rng.choice(BODY_NAMES)}">', "main+article": "<main><article>"}[outer])
+    parts.append({"article": "<article>", "main": "<main>", "named": f'<div {rng.choice(("class", "class", "id"))}="{rng.choice(BODY_NAMES)}">', "main+article": "<main><article>"}[outer])
     inner_header = rng.random() < 0.15
     if inner_header:
         parts.append("<header>")
     put("h1", say(None, 9), 1)
     if inner_header:
         parts.append("</header>")
+    plain = rng.choice((("p",) * 6, ("p",) * 6, ("p",) * 6, ("div",) * 6, ("p", "p", "p", "div", "div", "div")))
     for _ in range(rng.choice((1, 2, 3, 5, 8, 12, 20))):
-        tag = rng.choice(("p", "p", "p", "p", "p", "p", "h2", "h3", "li", "blockquote", "pre", "td", "figcaption"))
+        tag = rng.choice((*plain, "h2", "h3", "li", "blockquote", "pre", "td", "figcaption"))
         text = say(None, rng.choice((1, 2, 4, 10, 25, 60, 120)))
         if rng.random() < 0.15:
             text = f'<b>{text}</b> <a href="#">{say(None, 3)}</a>'
+        elif rng.random() < 0.05:
+            text = f"{text}<br>{say(None, 20)}"
         around = {"li": "ul", "td": "table", "figcaption": "figure"}.get(tag)
         if around:
             parts.append(f"<{around}>")
