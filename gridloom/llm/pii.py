@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "gridloom"
+#: A key for tests and examples, known to all. Set KEY_SETTING in the session to a secret of your own.
+TEST_KEY, KEY_SETTING = "a public key for tests", "spark.gridloom.pii.key"
 
 # How each kind of value is written.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -211,8 +212,14 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
-    """``df`` with pseudonyms in ``text_col``, and how many values were found as ``count_col`` if that is named."""
+def pseudonymize(df: DataFrame, text_col: str = "text", key: str | None = None, count_col: str | None = None) -> DataFrame:
+    """``df`` with pseudonyms in ``text_col``, and how many values were found as ``count_col`` if that is named.
+
+    Without ``key`` the session's ``spark.gridloom.pii.key`` is taken; only where that is unset, the public test key,
+    whose pseudonyms anyone can undo. Of a mail address the local part is permuted, letter case and all; the domain
+    stays.
+    """
+    key = key or df.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
     text = F.col(text_col)
     pattern = F.lit(ANY)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -226,6 +233,6 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY,
     return out.drop("__found")
 
 
-def pii_digest(documents: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pii_digest(documents: DataFrame, key: str | None = None) -> DataFrame:
     """Each document's pseudonymized text and how many values were found in it."""
     return pseudonymize(documents.select("doc_id", "text"), "text", key, "n_found")
