@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import near_copies, packing, pii, quality, substring_index
-from gridloom.llm.scratch import discard, materialize, ship, table
+from gridloom.llm.scratch import discard_all_but, materialize, scratch_tables, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,11 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each but the last is written to the scratch folder.
 
-    A stage's table goes as soon as the next one is written, so there are two at most.
+    What a stage wrote on its way, and the table it read, go as soon as its own is written.
     """
+    before = scratch_tables()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
-        discard(before)
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        discard_all_but(docs, *before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -132,14 +132,17 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str, limit: float =
     """A row for each stratum with labels: its cutoffs, and how many good documents they were certified on.
 
     ``features`` has doc_id, the stratum and base_failed; ``labels`` has doc_id and quality (1: good). Base failures
-    are no part of the test, as no cutoff changes their fate; rows without a quality label count nowhere.
+    are no part of the test, as no cutoff changes their fate; rows without a quality label count nowhere. A document
+    counts once in its stratum, by the least of its labels and the largest of its features if rows repeat its id, so
+    that the test stays exact.
     """
     fails = [_fails(*step) for step in PATH]
     sums = lambda quality: F.array(*[F.sum((f & (F.col("quality") == quality)).cast("bigint")) for f in fails])
     seen = (
         features.where(~F.col("base_failed"))
-        .select("doc_id", F.col(stratum).alias("stratum"), *FEATURES)
-        .join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+        .groupBy("doc_id", F.col(stratum).alias("stratum"))
+        .agg(*[F.max(c).alias(c) for c in FEATURES])
+        .join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
         .groupBy("stratum")
         .agg(F.sum((F.col("quality") == 1).cast("bigint")).alias("n"), sums(1).alias("good"), sums(0).alias("bad"))
     )
@@ -177,11 +180,11 @@ def quality_digest(documents: DataFrame, labels: DataFrame, stratum: str = "lang
 def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents kept, with their own columns.
 
-    Cutoffs are certified on the features of all documents, a narrow table; the texts then pass once more with their
-    features beside them, which spares a shuffle of texts.
+    Texts are measured once and written beside their features, which cutoffs are then certified on; that spares a
+    shuffle of texts.
     """
-    cuts = cutoffs(materialize(with_base(with_features(documents, ["doc_id", stratum])), "features"), labels, stratum)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     carried = documents.select(row.alias("__row"), F.col(stratum).alias("__stratum"))
-    found = with_base(with_features(carried, ["__row", "__stratum"], "__row.text"))
-    return judge(found, cuts, "__stratum").where("kept").select("__row.*")
+    found = materialize(with_base(with_features(carried, ["__row", "__stratum"], "__row.text")), "measured")
+    features = found.select(F.col("__row.doc_id").alias("doc_id"), "__stratum", "base_failed", *FEATURES)
+    return judge(found, cutoffs(features, labels, "__stratum"), "__stratum").where("kept").select("__row.*")

@@ -52,6 +52,16 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_tables() -> list[DataFrame]:
+    return [df for df, _ in _PATHS.values()]
+
+
+def discard_all_but(*kept: DataFrame) -> None:
+    """Deletes every scratch table but these, once a stage's result is written and reads no other."""
+    names = {id(df) for df in kept}
+    discard(*[df for key, (df, _) in list(_PATHS.items()) if key not in names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -121,6 +121,22 @@ def test_blocks_of_html():
     assert html_blocks.blocks("") == [] and [b.text for b in html_blocks.blocks("plain &lt;text&gt;")] == ["plain <text>"]
 
 
+def test_a_tag_ends_where_html_ends_it():
+    page = "<article><p class=it's>one</p><p>two</p><p title='a > b'>don't stop</p><p data-x=\"it's > that\">x</p></article>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["one", "two", "don't stop", "x"]
+    assert [b.text for b in html_blocks.blocks("<p>a</p><p class='open>b</p><p>c</p>")][0] == "a"
+    assert html_blocks.blocks("<p " + "a='b' c=\"d\" " * 5000) is not None  # no end: in time that grows with the page
+
+
+def test_articles_of_div_paragraphs(spark):
+    rng = random.Random(12)
+    texts = [words(rng, 60).replace("\n", " ") for _ in range(5)]
+    menu = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    page = f"<html><body>{menu}<div id=main><h1>Ein Titel hier</h1>" + "".join(f"<div>{t}</div>" for t in texts) + "</div><footer><p>copyright terms</p></footer></body></html>"
+    row = html_labeller.page_digest(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")).first()
+    assert row.text.split("\n")[-5:] == texts and "Home" not in row.text and "copyright" not in row.text
+
+
 def test_labeller_on_held_out_pages(spark, data):
     model = html_labeller.Labeller.load(html_labeller.trained(spark))
     xs, ys = html_labeller.practice(50_000, 200)
@@ -466,6 +482,12 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(r.kept for r in out if r.doc_id < 20 and not r.base_failed)  # too few labels to certify anything
 
 
+def test_a_document_counts_once_however_often_it_is_labelled(docs, labels, empty):
+    features = quality.with_base(quality.with_features(docs, ["doc_id", "lang"]))
+    once = Counter(map(tuple, quality.cutoffs(features, labels, "lang").collect()))
+    assert Counter(map(tuple, quality.cutoffs(features, labels.union(labels), "lang").collect())) == once
+
+
 def test_exact_binomial():
     assert abs(quality.binomial_at_most(2, 10, 0.3) - 0.3827827864) < 1e-9
     assert quality.certified_step(1000, [0] * len(quality.PATH), [5] * len(quality.PATH), 0.05, 0.01) == 0
