@@ -159,7 +159,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` of near copies between the ``hub`` rows and the others of each ``bucket`` and ``part``."""
-    joined = rows.join(sets, "content").select("bucket", "part", "hub", "content", "shingles")
+    # Sets join by shuffle at every size, so that the costs of a small run are those of a large one.
+    joined = rows.join(sets.hint("merge"), "content").select("bucket", "part", "hub", "content", "shingles")
     ordered = joined.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("hub"))
     return materialize(ordered.mapInArrow(_compare, "a bigint, b bigint").where("a <> b").distinct(), "near")
 
@@ -233,7 +234,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """
     _, classes = near_classes(documents, "doc_id", "text")
     kept = classes.select(F.col("component_id").alias("__kept")).distinct()
-    found = documents.join(kept, documents["doc_id"] == F.col("__kept"), "left_semi")
+    found = documents.join(kept.hint("merge"), documents["doc_id"] == F.col("__kept"), "left_semi")
     if kept.where(F.col("__kept").isNull()).isEmpty():
         return found
     return found.unionByName(documents.where(F.col("doc_id").isNull()))
