@@ -18,6 +18,21 @@ def crosstab(df: DataFrame, index: str, columns: str, values: list, names: list[
     return pivot_table(df, [index], columns, values, F.count(F.lit(1)), names).na.fill(0)
 
 
+def unstack(df: DataFrame, index: list[str], columns: str, value: str, values: list, names: list[str] | None = None) -> DataFrame:
+    """Long to wide with one row a cell; a second row of a cell is an error, not a choice."""
+    again = F.raise_error(F.concat(F.lit("More than one row for a cell of "), F.lit(columns)))
+    return pivot_table(df, index, columns, values, F.when(F.count(F.lit(1)) > 1, again).otherwise(F.first(value)), names)
+
+
+def transpose(df: DataFrame, label: str, labels: list, name: str = "column") -> DataFrame:
+    """Columns as rows and rows as columns: ``name``, then a column for each given value of ``label``.
+
+    Labels are given, as they become columns; a label of two rows is an error. Values take their common type.
+    """
+    long = df.withColumnRenamed(label, "__label").unpivot(["__label"], [c for c in df.columns if c != label], name, "__value")
+    return unstack(long, [name], "__label", "__value", labels)
+
+
 def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "variable", value: str = "value") -> DataFrame:
     return df.unpivot(ids, values, name, value)
 

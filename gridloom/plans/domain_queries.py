@@ -141,19 +141,28 @@ def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_ops.blocks(_cells(spark, sf_dir))
 
 
-@query(
-    f"""WITH {BLOCKS}, v AS (SELECT b.sheet, b.block, b.first, cells.row, trim(value) AS v FROM blocks b JOIN cells ON cells.sheet = b.sheet AND row BETWEEN first AND past - 1 WHERE value IS NOT NULL AND row - first < 16),
+HEADERS = f"""{BLOCKS}, v AS (SELECT b.sheet, b.block, b.first, cells.row, trim(value) AS v FROM blocks b JOIN cells ON cells.sheet = b.sheet AND row BETWEEN first AND past - 1 WHERE value IS NOT NULL AND row - first < 16),
     t AS (SELECT sheet, block, first, row, count(*) AS n, avg(CAST(NOT regexp_full_match(v, '[0-9]+') AS INTEGER)) AS text, count(DISTINCT v) AS kinds, avg(length(v)) AS len FROM v GROUP BY ALL),
     x AS (SELECT *, n / 4 AS fill, lead(n / 4) OVER (PARTITION BY sheet, block ORDER BY row) AS next FROM t),
-    y AS (SELECT sheet, block, row, fill * 0.4 + text * 0.3 + kinds / n * 0.2 + CASE WHEN len < 40 THEN 0.1 ELSE 0.0 END + CASE WHEN next > fill * 0.5 THEN 0.15 ELSE 0.0 END AS score FROM x WHERE n >= 2 AND row - first < 15)
-    SELECT sheet, block, row AS header FROM y QUALIFY row_number() OVER (PARTITION BY sheet, block ORDER BY round(score, 9) DESC, row) = 1"""
-)
+    y AS (SELECT sheet, block, row, fill * 0.4 + text * 0.3 + kinds / n * 0.2 + CASE WHEN len < 40 THEN 0.1 ELSE 0.0 END + CASE WHEN next > fill * 0.5 THEN 0.15 ELSE 0.0 END AS score FROM x WHERE n >= 2 AND row - first < 15),
+    h AS (SELECT sheet, block, row AS header FROM y QUALIFY row_number() OVER (PARTITION BY sheet, block ORDER BY round(score, 9) DESC, row) = 1)"""
+
+
+@query(f"WITH {HEADERS} SELECT * FROM h")
 def header_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cells(spark, sf_dir)
     return cell_ops.headers(c, cell_ops.blocks(c)).select("sheet", "block", "header")
 
 
-@query()
+@query(
+    f"""WITH {HEADERS}, l AS (SELECT sheet, first, past, header, CASE WHEN count(*) OVER (PARTITION BY sheet) > 1 THEN sheet || ' (block ' || block || ')' ELSE sheet END AS "table" FROM blocks JOIN h USING (sheet, block)),
+    i AS (SELECT "table", header, row, col, value FROM l JOIN cells ON cells.sheet = l.sheet AND row BETWEEN first AND past - 1 WHERE value IS NOT NULL),
+    k AS (SELECT "table", col, coalesce(nullif(t, ''), 'col_' || col) AS raw, row_number() OVER (PARTITION BY "table" ORDER BY col) - 1 AS place, count(*) OVER (PARTITION BY "table") AS width
+        FROM (SELECT DISTINCT "table", col FROM i WHERE row > header) LEFT JOIN (SELECT "table", col, trim(value) AS t FROM i WHERE row = header) USING ("table", col)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY "table", lower(raw) ORDER BY place) - 1 AS again FROM k WHERE width >= 2),
+    r AS (SELECT "table", row, row_number() OVER (PARTITION BY "table" ORDER BY row) - 1 AS line FROM (SELECT DISTINCT "table", row FROM i WHERE row > header))
+    SELECT "table", CAST(line AS INTEGER) AS row, CAST(place AS INTEGER) AS col, CASE WHEN again = 0 THEN raw ELSE raw || '_' || again END AS name, value FROM i JOIN u USING ("table", col) JOIN r USING ("table", row)"""
+)
 def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_ops.tables(_cells(spark, sf_dir))
 
@@ -195,7 +204,12 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.page_text(_words(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WORDS}, b(page, edge) AS (SELECT page, min("left") FROM w GROUP BY 1 UNION ALL SELECT b.page, min(w."left") FROM b JOIN w ON w.page = b.page AND w."left" > edge + 40 GROUP BY b.page, edge),
+    p AS (SELECT w.page, line_num, text, "left", (SELECT count(*) FROM b WHERE b.page = w.page AND edge <= "left") - 1 AS col FROM w),
+    c AS (SELECT page, line_num, col, string_agg(text, ' ' ORDER BY "left", text) AS value FROM p GROUP BY ALL)
+    SELECT page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY line_num) - 1 AS INTEGER) AS row, CAST(col AS INTEGER) AS col, value FROM c QUALIFY min(line_num) OVER (PARTITION BY page) < max(line_num) OVER (PARTITION BY page)"""
+)
 def ocr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.word_tables(_words(spark, sf_dir))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.export import match
-from gridloom.operators import frames, windows
+from gridloom.operators import frames, reshape, windows
 from gridloom.plans.registry import load, query
 
 GAPS = "SELECT p_partkey, nullif(p_type, 'SMALL') AS kind, nullif(p_size, 7) AS size, nullif(p_brand, 'Brand#1') AS brand FROM part"
@@ -81,7 +81,13 @@ def frame_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_regionkey AS regionkey, max(CASE WHEN place = 0 THEN n_name END) AS first, max(CASE WHEN place = 1 THEN n_name END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS place FROM nation) GROUP BY 1")
 def frame_unstack(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = load(spark, sf_dir, "nation").withColumn("place", frames.place_in_group(["n_regionkey"], ["n_nationkey"]))
-    return placed.groupBy(F.col("n_regionkey").alias("regionkey")).pivot("place", [0, 1]).agg(F.first("n_name")).toDF("regionkey", "first", "second")
+    return reshape.unstack(placed, ["n_regionkey"], "place", "n_name", [0, 1], ["first", "second"]).withColumnRenamed("n_regionkey", "regionkey")
+
+
+@query("WITH g AS (SELECT l_returnflag AS f, sum(l_quantity) AS q, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) SELECT 'quantity' AS measure, max(q) FILTER (f = 'A') AS \"A\", max(q) FILTER (f = 'N') AS \"N\", max(q) FILTER (f = 'R') AS \"R\" FROM g UNION ALL SELECT 'lines', max(n) FILTER (f = 'A'), max(n) FILTER (f = 'N'), max(n) FILTER (f = 'R') FROM g")
+def frame_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_flag = load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
+    return reshape.transpose(by_flag, "l_returnflag", ["A", "N", "R"], "measure")
 
 
 @query("SELECT event_id, greatest(value, max(value) OVER w) AS top, min(value) OVER w AS low, round(value / first_value(value) OVER w, 6) AS indexed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")

@@ -365,9 +365,19 @@ def win_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.first("value").over(w).alias("f"), F.last("value").over(w).alias("l"), F.nth_value("value", 2).over(w).alias("second"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+    SELECT a.user_id, a.event_id, a.value, round(sum(b.value * pow(0.7, a.n - b.n)) / sum(pow(0.7, a.n - b.n)) FILTER (b.value IS NOT NULL), 6) AS ewm FROM e a JOIN e b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.n <= a.n GROUP BY ALL"""
+)
 def win_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.exponential_mean(load(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 0.3)
+    mean = windows.exponential_mean(load(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 0.3)
+    return mean.withColumn("ewm", F.round("ewm", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, max(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS top FROM lineitem")
+def win_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return windows.over_groups(lines, ["l_suppkey"], ["l_quantity"], 2, 1, F.max("l_extendedprice"), "top").drop("l_quantity", "l_extendedprice")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate) <= 3")
