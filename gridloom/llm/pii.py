@@ -217,20 +217,24 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: str | None = None,
 
     Without ``key`` the session's ``spark.gridloom.pii.key`` is taken; only where that is unset, the public test key,
     whose pseudonyms anyone can undo. Of a mail address the local part is permuted, letter case and all; the domain
-    stays.
+    stays. All other columns stay as they are, whatever their names.
     """
     key = key or df.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
     text = F.col(text_col)
     pattern = F.lit(ANY)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("__found", found)
-    images = F.transform("__found", lambda v: pseudonym(v, key))
+    own = {c.lower() for c in df.columns}
+    values = "__found"
+    while values in own:
+        values += "_"
+    out = df.withColumn(values, found)
+    images = F.transform(values, lambda v: pseudonym(v, key))
     # The text between the values, each followed by the pseudonym of the value after it.
     woven = F.zip_with(F.split(text, ANY, -1), images, lambda gap, image: F.concat(gap, F.coalesce(image, F.lit(""))))
-    out = out.withColumn(text_col, F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(text))
+    out = out.withColumn(text_col, F.when(F.size(values) > 0, F.array_join(woven, "")).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.size("__found").cast("bigint"))
-    return out.drop("__found")
+        out = out.withColumn(count_col, F.size(values).cast("bigint"))
+    return out.drop(values)
 
 
 def pii_digest(documents: DataFrame, key: str | None = None) -> DataFrame:
