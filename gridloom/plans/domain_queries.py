@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -377,7 +378,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, df: DataFrame) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="gridloom-stream-") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared.rstrip('/')}/gridloom-stream-{spark.sparkContext.applicationId}-{id(df)}"
+    folder = tempfile.mkdtemp(prefix="gridloom-stream-") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared.rstrip('/')}/gridloom-stream-{uuid.uuid4().hex}"
     query = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
