@@ -2,15 +2,19 @@
 
 A window is ``WINDOW`` consecutive words. Its anchor is the least hashed gram of ``GRAM`` words in it (the leftmost of
 equals), so equal windows have equal anchors at equal places; consecutive windows of one anchor form a span. The index
-consists of immutable runs, tables bucketed and sorted by gram: one row per span, with its gram, a name of its words
-and its document. A batch of documents becomes a run of its own and is merge-joined with the live runs, bucket by
-bucket and without a shuffle: a span whose content an earlier document has goes whole; where only the gram is shared,
+consists of immutable runs, bucketed and sorted by part, which is the gram: one row per span, with its gram, a name of
+its words and its document. A batch of documents becomes a run of its own and is merge-joined with the live runs, bucket
+by bucket and without a shuffle: a span whose content an earlier document has goes whole; where only the gram is shared,
 the windows of one span of each content are verified by 128-bit names of their words. When runs grow many they are
 compacted into one that keeps the first document of each content.
 
-Spans that repeat inside a document are one row with all their places before they are shuffled, so a gram has a row or
-two of a document, and even a passage that a third of all documents share is a small part of the rows of a bucket. A null text has no words; a null id counts as larger than any other; documents that repeat an id are
-never earlier than each other.
+No passage or gram fills a bucket, however many documents share it. Spans that repeat inside a document are one row with
+all their places. A content that a task has seen in an earlier document is known to repeat: its rows go to any part, so
+of a passage that a third of all documents share about one row a task meets the others. A gram that many contents share
+is dealt by content, and what its contents have in common is counted beside (``hot_grams``).
+
+A null text has no words; a null id counts as larger than any other; documents that repeat an id are never earlier than
+each other.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm import skew
 from gridloom.llm.scratch import discard, materialize, release
 from gridloom.llm.suffix_dedup import least_places, merge_windows
 
@@ -34,6 +39,10 @@ WINDOW, GRAM = 13, 4
 CHUNK, REMEMBERED = 300_000, 1_000_000
 #: Rows after which a worker hands on what it has made.
 OUT_ROWS = 50_000
+#: Share of the texts in which hot grams are counted; they decide where rows go, never which.
+HOT_SAMPLE = 0.05
+#: Most contents of which a task remembers the first document; then it forgets them, and more rows meet.
+CONTENTS = 500_000
 _FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20250).integers(2**62, 2**63, GRAM)]
 _WORDS: dict[bytes, int] = {}
 LAST_ID = 2**63 - 1
@@ -78,8 +87,12 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of texts ``d``, ``h`` (27 bits of the text's hash), ``data``; place packs first word, anchor, length, h."""
+    """Spans of texts ``d``, ``h`` (27 bits of the text's hash), ``data``; place packs first word, anchor, length, h.
+
+    ``s`` is null where this task has seen the content in an earlier document.
+    """
     digest = xxhash.xxh3_64_intdigest
+    firsts: dict[int, tuple[int, int]] = {}
     for b in batches:
         d, h = np.asarray(b.column(0)), np.asarray(b.column(1))
         for rows, starts, words, ends in _chunks([x or b"" for x in b.column(2).to_pylist()]):
@@ -101,7 +114,8 @@ def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = first << 35 | (at - lo) << 31 | (hi - lo) << 27 | h[rows[owner]]
             kept, more = _gathered(rows[owner], grams[at], names, place)
             at, owner, names, place = at[kept], owner[kept], names[kept], place[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(names.view(np.int64)), pa.array(d[rows[owner]]), pa.array(place), more], ["gram", "s", "d", "place", "more"])
+            known = _seen_before(grams[at], names, d[rows[owner]], firsts)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(names.view(np.int64), mask=known), pa.array(d[rows[owner]]), pa.array(place), more], ["gram", "s", "d", "place", "more"])
 
 
 def _gathered(row: np.ndarray, gram: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -115,6 +129,29 @@ def _gathered(row: np.ndarray, gram: np.ndarray, name: np.ndarray, place: np.nda
     return order[new], pa.ListArray.from_arrays(offsets, pa.array(place[order][~new]), mask=pa.array(rest == 0))
 
 
+def _seen_before(gram: np.ndarray, name: np.ndarray, d: np.ndarray, firsts: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Which spans have a content that an earlier document has, here or in ``firsts``, which learns what repeats here."""
+    order = np.lexsort((d, gram, name))
+    g, n, own = gram[order], name[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (g[1:] != g[:-1])]))
+    sizes = np.diff(np.append(new, len(order)))
+    least = own[new].tolist()
+    for i, (key, anchor, size) in enumerate(zip(n[new].tolist(), g[new].tolist(), sizes.tolist(), strict=True)):
+        held = firsts.get(key)
+        if held and held[0] == anchor:
+            if held[1] <= least[i]:
+                least[i] = held[1]
+            else:
+                firsts[key] = (anchor, least[i])
+        elif size > 1:
+            if len(firsts) >= CONTENTS:
+                firsts.clear()
+            firsts[key] = (anchor, least[i])
+    out = np.empty(len(order), dtype=bool)
+    out[order] = own > np.repeat(np.array(least, dtype=np.int64), sizes)
+    return out
+
+
 SPANS = "gram bigint, s bigint, d bigint, place bigint, more array<bigint>"
 
 
@@ -156,54 +193,71 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (d, h, start, start)], ["d", "h", "first", "last"])
 
 
+def hot_grams(texts: DataFrame) -> list[int]:
+    """Grams of more than 1 in ``skew.HOT_KEYS`` of the spans of a sample of the texts; so their number is bounded."""
+    counts = materialize(texts.sample(HOT_SAMPLE, seed=8).select("d", "h", "data").mapInArrow(find_spans, SPANS).groupBy("gram").agg(F.count("*").alias("n")), "grams")
+    limit = max(skew.HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // skew.HOT_KEYS)
+    found = [r[0] for r in counts.where(F.col("n") > limit).select("gram").collect()]
+    discard(counts)
+    return found
+
+
 class FingerprintIndex:
-    """Runs of window fingerprints of the documents added so far."""
+    """Runs of window fingerprints of the documents added so far; ``hot`` are grams to be dealt by content."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4):
-        self.spark, self.max_runs = spark, max_runs
+    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4, hot: list[int] | None = None):
+        self.spark, self.max_runs, self.hot = spark, max_runs, hot or []
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"gridloom_index_{uuid.uuid4().hex}"
         self.made = self.live = 0
 
     def _write_run(self, rows: DataFrame, name: str) -> None:
         """A run is a partition of the index's table; the files of a bucket, of all runs, are read by one task."""
-        rows = rows.select("gram", "s", "d", "place", "more", F.lit(self.made).alias("run")).repartition(self.buckets, "gram")
-        rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "gram").sortBy("gram").format("parquet").saveAsTable(name)
+        part = F.when(F.col("s").isNull(), F.xxhash64("d", "place")).when(F.col("gram").isin(self.hot), F.xxhash64("gram", "s")).otherwise(F.col("gram"))
+        rows = rows.select(part.alias("part"), "gram", "s", "d", "place", "more", F.lit(self.made).alias("run")).repartition(self.buckets, "part")
+        rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "part").sortBy("part").format("parquet").saveAsTable(name)
         self.made, self.live = self.made + 1, self.live + 1
         release(self.spark)
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Indexes ``batch`` (``d``, ``h``, ``data``) and merge-joins it with the live runs.
 
+        After the ``last`` batch, before the index is dropped, runs are not compacted.
+
         Gives spans ``d``, ``place``: ``whole``, those of the batch whose content an earlier document has, and
         ``verify``, one of each content of a gram of which the batch brings a content of its own; see :func:`verified`.
         """
         spans = batch.select("d", "h", "data").mapInArrow(find_spans, SPANS)
         self._write_run(spans, self.name)
-        content = Window.partitionBy("gram", "s")
-        gram = Window.partitionBy("gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        new = F.col("run") == self.made - 1
-        seen = (
+        content = Window.partitionBy("part", "gram", "s")
+        gram = Window.partitionBy("part", "gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        new, known = F.col("run") == self.made - 1, F.col("s").isNull()
+        rows = (
             self.spark.table(self.name)
             .withColumn("first", F.min("d").over(content))
-            .withColumns({
-                "mixed": F.min("s").over(gram) != F.max("s").over(gram),
-                "fresh": F.max(new & (F.col("d") == F.col("first"))).over(gram),
-            })
-            .select("d", "place", "more", (new & (F.col("d") > F.col("first"))).alias("whole"), (F.col("mixed") & F.col("fresh") & (F.col("d") == F.col("first"))).alias("verify"))
+            .withColumn("leads", ~known & (F.col("d") == F.col("first")))
+            .withColumns({"mixed": F.min("s").over(gram) != F.max("s").over(gram), "fresh": F.max(new & F.col("leads")).over(gram)})
+        )
+        if self.hot:
+            contents = self.spark.table(self.name).where(~known & F.col("gram").isin(self.hot)).groupBy("gram", "s").agg(F.min("d").alias("first"), F.min(F.when(new, F.col("d"))).alias("own"))
+            of_hot = contents.groupBy("gram").agg((F.min("s") != F.max("s")).alias("hot_mixed"), F.max(F.col("own").eqNullSafe(F.col("first"))).alias("hot_fresh"))
+            # At most skew.HOT_KEYS rows.
+            rows = rows.join(F.broadcast(of_hot), "gram", "left").withColumns({"mixed": F.coalesce("hot_mixed", "mixed"), "fresh": F.coalesce("hot_fresh", "fresh")})
+        seen = (
+            rows.select("d", "place", "more", (new & (known | (F.col("d") > F.col("first")))).alias("whole"), (F.col("mixed") & F.col("fresh") & F.col("leads")).alias("verify"))
             .where("whole or verify")
             .withColumn("place", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>")))))
             .drop("more")
         )
         seen = materialize(seen, "seen")
-        if self.live > self.max_runs:
+        if self.live > self.max_runs and not last:
             self.compact()
         return seen
 
     def compact(self) -> None:
         """Merges all runs into one that keeps, of each content, the spans of the first document."""
-        first = F.min("d").over(Window.partitionBy("gram", "s"))
-        kept = self.spark.table(self.name).withColumn("first", first).where("d = first")
+        first = F.min("d").over(Window.partitionBy("part", "gram", "s"))
+        kept = self.spark.table(self.name).where("s is not null").withColumn("first", first).where("d = first")
         old, self.name, self.live = self.name, f"gridloom_index_{uuid.uuid4().hex}", 0
         self._write_run(kept, self.name)
         self.spark.sql(f"DROP TABLE {old}")
@@ -243,7 +297,7 @@ def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def window_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def window_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """``d``, ``h`` and ``cuts``, the ranges of windows of each text that start in an earlier document too.
 
     The documents are added in ``batches`` by ascending id; any number gives the same result.
@@ -251,11 +305,11 @@ def window_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = documents.sparkSession
     texts = _texts(documents, id_col, text_col)
     edges = sorted(set(texts.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
-    index, parts = FingerprintIndex(spark), []
+    index, parts = FingerprintIndex(spark, max_runs=1, hot=hot_grams(texts)), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         batch = texts if low is None else texts.where(F.col("d") > low)
         batch = batch if high is None else batch.where(F.col("d") <= high)
-        parts.append(index.add(batch))
+        parts.append(index.add(batch, last=high is None))
     index.drop()
     # Texts are read once to verify all batches; the first document of a content is the same in all of them.
     seen = reduce(DataFrame.unionByName, parts)
@@ -278,7 +332,7 @@ def kept_words(words: list[bytes], cuts: list[dict] | None) -> tuple[list[bytes]
     return out + words[at:], removed
 
 
-def dedup_digest(documents: DataFrame, batches: int = 2) -> DataFrame:
+def dedup_digest(documents: DataFrame, batches: int = 3) -> DataFrame:
     """Per document its words, the words removed, and the digest of the words kept, joined by one space."""
     cuts = window_cuts(documents, batches=batches)
 
@@ -297,7 +351,7 @@ def dedup_digest(documents: DataFrame, batches: int = 2) -> DataFrame:
     return texts.join(cuts, ["d", "h"], "left").select("id", "data", "cuts").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, batches: int = 2) -> DataFrame:
+def remove_repeats(documents: DataFrame, batches: int = 3) -> DataFrame:
     """The documents without the windows that start in an earlier one; ``n_chars`` follows the text.
 
     A text that loses words becomes its kept words joined by one space, others stay as they are, and a document of

@@ -540,6 +540,27 @@ def test_index_compacts_and_stays_right(spark, docs, rows):
     assert flagged == {(d if d is not None else 2**63 - 1) for d, _, n, _ in brute_windows(rows) if n}
 
 
+@pytest.mark.parametrize("contents", [2, 500_000])
+def test_hot_grams_and_contents_lose_no_window(spark, docs, rows, monkeypatch, contents):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(substring_index, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(substring_index, "CONTENTS", contents)
+    rng = random.Random(8)
+    line = words(rng, 14)
+    many = rows + [(1000 + i, f"{words(rng, 15)} {line} {words(rng, 15)} {line if i % 2 else ''}", "en", "s", 1) for i in range(60)]
+    table = spark.createDataFrame(many, DOCS).repartition(3)
+    assert substring_index.hot_grams(substring_index._texts(table, "doc_id", "text"))
+    for batches in (1, 3):
+        assert collected(substring_index.dedup_digest(table, batches), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(many)
+
+
+def test_contents_seen_before():
+    firsts, gram, name = {}, np.array([5, 5, 5, 6], dtype=np.uint64), np.array([1, 1, 2, 1], dtype=np.uint64)
+    assert substring_index._seen_before(gram, name, np.array([4, 3, 1, 9]), firsts).tolist() == [True, False, False, False]
+    assert substring_index._seen_before(gram, name, np.array([2, 3, 9, 9]), firsts).tolist() == [False, True, False, False]
+    assert substring_index._seen_before(gram[:1], name[:1], np.array([2]), firsts).tolist() == [False]
+
+
 def test_removed_passages_follow_in_the_text(docs):
     odd = docs.withColumn("cuts", F.lit(1))
     out = substring_index.remove_repeats(odd)
