@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, html_labeller, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
+from gridloom.llm import bpe, html_labeller, merkle, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -74,4 +79,34 @@ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t, count(gone.p) AS n FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+fields AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS run, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS own, [doc_id::VARCHAR, source, lang, (n_chars::HUGEINT + 1)::VARCHAR, text] AS more,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 0, false) AS hit
+  FROM documents, crc_table),
+hashed AS (
+  SELECT doc_id, run, sha256(array_to_string(list_transform(own, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS leaf,
+    CASE WHEN hit THEN sha256(array_to_string(list_transform(more, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) ELSE leaf END AS given FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY run) AS n FROM hashed),
+nodes(run, lvl, pos, n, h) AS (
+  SELECT run, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT run, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY run, lvl, n, pos // 2),
+subroots AS (SELECT run, h, row_number() OVER (ORDER BY run::BLOB) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, n, pos // 2),
+inner_levels AS (SELECT DISTINCT run, lvl FROM nodes WHERE n > 1),
+outer_levels AS (SELECT DISTINCT lvl FROM tops WHERE n > 1),
+steps AS (
+  SELECT l.run, l.pos, 0 AS part, v.lvl, coalesce(CASE WHEN l.pos >> v.lvl & 1 = 1 THEN '<' ELSE '>' END || o.h, '') AS s
+  FROM leaves l JOIN inner_levels v USING (run) LEFT JOIN nodes o ON o.run = l.run AND o.lvl = v.lvl AND o.pos = xor(l.pos >> v.lvl, 1)
+  UNION ALL SELECT l.run, l.pos, 1, v.lvl, coalesce(CASE WHEN r.pos >> v.lvl & 1 = 1 THEN '<' ELSE '>' END || o.h, '')
+  FROM leaves l JOIN subroots r USING (run) CROSS JOIN outer_levels v LEFT JOIN tops o ON o.lvl = v.lvl AND o.pos = xor(r.pos >> v.lvl, 1)),
+paths AS (SELECT run, pos, list(s ORDER BY part, lvl) AS path FROM steps GROUP BY 1, 2),
+proofs AS (
+  SELECT doc_id, leaf, r.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(path, []), lambda s: s[2:]), '')) AS proof_sha256,
+    list_reduce(list_prepend(given, coalesce(path, [])), lambda h, s: CASE WHEN s[1] = '<' THEN sha256(s[2:] || h) ELSE sha256(h || s[2:]) END) AS folded_root
+  FROM leaves l JOIN subroots r USING (run) LEFT JOIN paths p ON p.run = l.run AND p.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM proofs""",
 }
