@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, html_labeller, merkle, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
+from gridloom.llm import bpe, decontaminate, html_labeller, merkle, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digest(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_decontamination": op11_decontamination,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -79,6 +84,18 @@ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t, count(gone.p) AS n FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_decontamination": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS k FROM starts),
+lengths AS (SELECT DISTINCT m FROM windows),
+places AS (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d JOIN lengths ON len(w) >= m),
+hits AS (SELECT row, m, i, item FROM (SELECT row, m, i, array_to_string(w[i : i + m - 1], ' ') AS k FROM places) JOIN windows USING (m, k)),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT row, m, i FROM hits) h, range(10) r(j) WHERE j < m GROUP BY 1),
+items AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item::BLOB) AS ids FROM (SELECT DISTINCT row, item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c USING (row) LEFT JOIN items t USING (row)""",
     "op12_merkle_manifest": r"""
 WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 fields AS (
