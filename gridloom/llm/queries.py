@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontaminate, html_labeller, merkle, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup
+from gridloom.llm import bpe, decontaminate, html_labeller, merkle, packing, pii, quality, sharding, simhash, sketch, substring_index, suffix_dedup, whitening
 from gridloom.llm.scratch import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
@@ -72,6 +76,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_decontamination": op11_decontamination,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
