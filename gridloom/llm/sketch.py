@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE = 5, 4
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 _FLIP = -(2**63)
@@ -66,29 +66,56 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 16)), 12, "0"))), "")
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, n_buckets: int | None = None) -> DataFrame:
+#: Bytes of text in a range of ids: of a first-level range, of which there are at most ``MOST_RANGES``, and of a part of one.
+RANGE_BYTES, PART_BYTES, MOST_RANGES = 4 << 20, 64 << 20, 1024
+
+
+def _edges(place: Column, n: int) -> Column:
+    """The quantiles of ``place`` that bound ``n`` ranges, ascending and distinct."""
+    return F.array_distinct(F.percentile_approx(place, [i / n for i in range(1, n)], 10_000)) if n > 1 else F.array().cast("array<bigint>")
+
+
+def with_range(df: DataFrame, place: str, text: Column, name: str, n_ranges: int | None = None, n_parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the number of the range of ``place`` that a row lies in; the ranges' number follows the bytes of ``text``.
+
+    Ranges lie between quantiles. Where they would be too large, each is cut once more at quantiles of its own, so that a
+    row is compared with some thousand edges at most, however many ranges there are.
+    """
+    if n_ranges is None:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        n_ranges = min(MOST_RANGES, max(64, -(-size // RANGE_BYTES)))
+        n_parts = -(-size // (n_ranges * PART_BYTES))
+    n_parts = max(1, n_parts or 1)
+    edges = sorted(df.agg(_edges(F.col(place), n_ranges)).first()[0] or [])
+    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
+    below = lambda cuts: F.size(F.filter(cuts, lambda e: e < F.col(place)))
+    ranged = df.withColumn(name, below(cuts).cast("bigint"))
+    if n_parts == 1:
+        return ranged
+    inner = ranged.groupBy(F.col(name).alias("__outer")).agg(_edges(F.col(place), n_parts).alias("__cuts"))
+    # At most MOST_RANGES rows of some thousand numbers.
+    cut = ranged.join(F.broadcast(inner), F.col(name) == F.col("__outer"))
+    return cut.withColumn(name, F.col(name) * n_parts + below(F.col("__cuts"))).drop("__outer", "__cuts")
+
+
+def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, text: str = "text", n_ranges: int | None = None, n_parts: int | None = None) -> DataFrame:
     """``df`` with ``next``, a struct of ``carried`` of the row that follows in ascending id; the last has the first.
 
-    Ids are cut into ranges at their quantiles. Inside a range the next row is found by a window; the last row of a
-    range takes the first row of the next range, of which there is one for each range. Rows of equal ids follow each
-    other by ``ties``; a null id comes first. ``prepare`` adds columns to carry, before the only shuffle of whole rows.
+    Inside a range of ids the next row is found by a window; the last row of a range takes the first row of the next
+    range, of which there is one for each range. Rows of equal ids follow each other by ``ties``; a null id comes first.
+    ``prepare`` adds columns to carry, after the only shuffle of whole rows.
     """
-    spark = df.sparkSession
-    n_buckets = n_buckets or min(1024, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     place = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
-    edges = df.agg(F.percentile_approx(place, [i / n_buckets for i in range(1, n_buckets)], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
-    keyed = df.withColumn("__place", place).withColumn("__range", F.size(F.filter(cuts, lambda e: e < F.col("__place"))))
+    keyed = with_range(df.withColumn("__place", place), "__place", F.col(text), "__range", n_ranges, n_parts)
     order = Window.partitionBy("__range").orderBy("__place", ties)
-    rows = prepare(keyed).withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    rows = prepare(keyed.repartition("__range")).withColumn("__next", F.lead(F.struct(*carried)).over(order))
 
     # One head for each range. Only their ranges are ordered in one task; the heads' texts are joined to them afterwards.
     heads = keyed.groupBy("__range").agg(F.min(F.struct("__place", ties)).alias("__head")).select("__range", F.col("__head.__place").alias("__place"), F.col(f"__head.{ties}").alias(ties))
-    whole = Window.orderBy("__range")  # at most ``n_buckets`` rows of a number
+    whole = Window.orderBy("__range")  # one row of numbers for each range
     follows = heads.select(F.col("__range").alias("__of"), F.coalesce(F.lead("__range").over(whole), F.first("__range").over(whole)).alias("__range"))
-    firsts = keyed.join(F.broadcast(heads), ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])
-    firsts = prepare(firsts).select("__range", F.struct(*carried).alias("__first")).join(F.broadcast(follows), "__range").drop("__range")
+    firsts = keyed.join(heads, ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])
+    firsts = prepare(firsts).select("__range", F.struct(*carried).alias("__first")).join(follows, "__range").drop("__range")
     joined = rows.join(firsts, F.col("__range") == F.col("__of"))
     return joined.withColumn("next", F.coalesce("__next", "__first")).drop("__place", "__range", "__next", "__of", "__first")
 
