@@ -43,13 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system, so any store works."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more, through Hadoop's file system, so any store works."""
+    """Deletes scratch tables that nothing reads any more."""
     for df in tables:
         if found := _PATHS.pop(id(df), None):
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(found[1])
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(df.sparkSession, found[1])
 
 
 def scratch_tables() -> list[DataFrame]:

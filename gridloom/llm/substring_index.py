@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import skew
-from gridloom.llm.scratch import discard, materialize, release
+from gridloom.llm.scratch import delete, discard, materialize, release, scratch_path
 from gridloom.llm.suffix_dedup import least_places, merge_windows
 
 WINDOW, GRAM = 13, 4
@@ -203,19 +203,56 @@ def hot_grams(texts: DataFrame) -> list[int]:
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints of the documents added so far; ``hot`` are grams to be dealt by content."""
+    """Runs of window fingerprints of the documents added so far; ``hot`` are grams to be dealt by content.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4, hot: list[int] | None = None):
+    The runs lie below ``path``, a folder that driver and executors share (one of the scratch folder unless given), with
+    the index's state after every batch; :meth:`open` goes on from there in another application.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4, hot: list[int] | None = None, path: str | None = None):
         self.spark, self.max_runs, self.hot = spark, max_runs, hot or []
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.path = (path or scratch_path(spark, "index")).rstrip("/")
+        self.made = self.live = self.generation = self.steps = 0
+        self._name_table()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index below ``path`` as its last whole batch left it; what an ended batch had begun is deleted."""
+        at = spark.read.parquet(f"{path.rstrip('/')}/state").orderBy(F.desc("step")).first()
+        out = cls(spark, at.buckets, at.max_runs, list(at.hot), path)
+        out.made, out.live, out.generation, out.steps = at.made, at.live, at.generation, at.step + 1
+        known = {f"run={i}" for i in range(at.made)}
+        for folder in _children(spark, out.path):
+            if folder.startswith("runs-") and folder != f"runs-{at.generation}":
+                delete(spark, f"{out.path}/{folder}")
+        for folder in _children(spark, out._folder()):
+            if folder.startswith("run=") and folder not in known:
+                delete(spark, f"{out._folder()}/{folder}")
+        spark.sql(
+            f"CREATE TABLE {out.name} ({SPANS}, part bigint, run int) USING parquet PARTITIONED BY (run) "
+            f"CLUSTERED BY (part) SORTED BY (part) INTO {out.buckets} BUCKETS LOCATION '{out._folder()}'"
+        )
+        spark.sql(f"MSCK REPAIR TABLE {out.name}")
+        return out
+
+    def _name_table(self) -> None:
         self.name = f"gridloom_index_{uuid.uuid4().hex}"
-        self.made = self.live = 0
 
-    def _write_run(self, rows: DataFrame, name: str) -> None:
+    def _folder(self) -> str:
+        return f"{self.path}/runs-{self.generation}"
+
+    def _save(self) -> None:
+        state = [(self.buckets, self.max_runs, self.hot, self.made, self.live, self.generation)]
+        df = self.spark.createDataFrame(state, "buckets int, max_runs int, hot array<bigint>, made int, live int, generation int")
+        df.coalesce(1).write.parquet(f"{self.path}/state/step={self.steps}")
+        self.steps += 1
+
+    def _write_run(self, rows: DataFrame) -> None:
         """A run is a partition of the index's table; the files of a bucket, of all runs, are read by one task."""
         part = F.when(F.col("s").isNull(), F.xxhash64("d", "place")).when(F.col("gram").isin(self.hot), F.xxhash64("gram", "s")).otherwise(F.col("gram"))
-        rows = rows.select(part.alias("part"), "gram", "s", "d", "place", "more", F.lit(self.made).alias("run")).repartition(self.buckets, "part")
-        rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "part").sortBy("part").format("parquet").saveAsTable(name)
+        rows = rows.select("gram", "s", "d", "place", "more", part.alias("part"), F.lit(self.made).alias("run")).repartition(self.buckets, "part")
+        rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "part").sortBy("part").format("parquet").option("path", self._folder()).saveAsTable(self.name)
         self.made, self.live = self.made + 1, self.live + 1
         release(self.spark)
 
@@ -228,7 +265,7 @@ class FingerprintIndex:
         ``verify``, one of each content of a gram of which the batch brings a content of its own; see :func:`verified`.
         """
         spans = batch.select("d", "h", "data").mapInArrow(find_spans, SPANS)
-        self._write_run(spans, self.name)
+        self._write_run(spans)
         content = Window.partitionBy("part", "gram", "s")
         gram = Window.partitionBy("part", "gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         new, known = F.col("run") == self.made - 1, F.col("s").isNull()
@@ -252,20 +289,36 @@ class FingerprintIndex:
         seen = materialize(seen, "seen")
         if self.live > self.max_runs and not last:
             self.compact()
+        if not last:
+            self._save()
         return seen
 
     def compact(self) -> None:
         """Merges all runs into one that keeps, of each content, the spans of the first document."""
         first = F.min("d").over(Window.partitionBy("part", "gram", "s"))
         kept = self.spark.table(self.name).where("s is not null").withColumn("first", first).where("d = first")
-        old, self.name, self.live = self.name, f"gridloom_index_{uuid.uuid4().hex}", 0
-        self._write_run(kept, self.name)
+        old, folder = self.name, self._folder()
+        self.live, self.generation = 0, self.generation + 1
+        self._name_table()
+        self._write_run(kept)
+        self._save()
         self.spark.sql(f"DROP TABLE {old}")
+        delete(self.spark, folder)
 
     def drop(self) -> None:
+        """Deletes the index; :meth:`close` leaves it to be opened again."""
+        self.close()
+        delete(self.spark, self.path)
+
+    def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def _hash_bits() -> Column:
     return F.col("place").bitwiseAND(F.lit((1 << 27) - 1))
 
