@@ -10,6 +10,8 @@ both texts' shingles together.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,47 +68,49 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 16)), 12, "0"))), "")
 
 
-#: Bytes of text in a range of ids: of a first-level range, of which there are at most ``MOST_RANGES``, and of a part of one.
-RANGE_BYTES, PART_BYTES, MOST_RANGES = 4 << 20, 64 << 20, 1024
+#: Bytes of text in a range of ids; there are at most ``MOST_RANGES``, which then hold more.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 1 << 20, 64, 1 << 20
 
 
-def _edges(place: Column, n: int) -> Column:
-    """The quantiles of ``place`` that bound ``n`` ranges, ascending and distinct."""
-    return F.array_distinct(F.percentile_approx(place, [i / n for i in range(1, n)], 10_000)) if n > 1 else F.array().cast("array<bigint>")
+def _quantiles(value: Column, n: int) -> Column:
+    return F.percentile_approx(value, [i / n for i in range(1, n)], 10_000) if n > 1 else F.array().cast("array<bigint>")
 
 
-def with_range(df: DataFrame, place: str, text: Column, name: str, n_ranges: int | None = None, n_parts: int | None = None) -> DataFrame:
-    """``df`` with ``name``, the number of the range of ``place`` that a row lies in; the ranges' number follows the bytes of ``text``.
+def with_range(df: DataFrame, place: str, ties: str, text: Column, name: str, n_ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the number of the range of (``place``, ``ties``) that a row lies in; ranges follow the bytes of ``text``.
 
-    Ranges lie between quantiles. Where they would be too large, each is cut once more at quantiles of its own, so that a
-    row is compared with some thousand edges at most, however many ranges there are.
+    Ranges lie between quantiles and are cut once more at quantiles of their own, so that a row is compared with twice
+    the square root of their number. A value of ``place`` of many rows is a range of itself, which is cut by ``ties``.
     """
     if n_ranges is None:
         size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        n_ranges = min(MOST_RANGES, max(64, -(-size // RANGE_BYTES)))
-        n_parts = -(-size // (n_ranges * PART_BYTES))
-    n_parts = max(1, n_parts or 1)
-    edges = sorted(df.agg(_edges(F.col(place), n_ranges)).first()[0] or [])
-    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
-    below = lambda cuts: F.size(F.filter(cuts, lambda e: e < F.col(place)))
-    ranged = df.withColumn(name, below(cuts).cast("bigint"))
-    if n_parts == 1:
-        return ranged
-    inner = ranged.groupBy(F.col(name).alias("__outer")).agg(_edges(F.col(place), n_parts).alias("__cuts"))
-    # At most MOST_RANGES rows of some thousand numbers.
+        n_ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-size // RANGE_BYTES)))
+    n_outer = math.isqrt(n_ranges)
+    n_inner = -(-n_ranges // n_outer)
+    found = df.agg(_quantiles(F.col(place), n_outer)).first()[0] or []
+    edges = sorted({*found, *(e - 1 for e, times in Counter(found).items() if times > 1 and e > -(2**63))})
+    below = lambda cuts, x: F.size(F.filter(cuts, lambda e: e < F.col(x)))
+    ranged = df.withColumn(name, below(F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), place).cast("bigint"))
+    # Quantiles of few distinct values are those of the ties, which need as many parts as the value has shares of all rows.
+    parts = n_inner * (1 + max(Counter(found).values(), default=0))
+    inner = ranged.groupBy(F.col(name).alias("__outer")).agg(
+        (F.min(place) == F.max(place)).alias("__one"), F.array_distinct(_quantiles(F.col(place), n_inner)).alias("__cuts"), F.array_distinct(_quantiles(F.col(ties), parts)).alias("__tie_cuts"),
+    )
+    # A row for each of some thousand outer ranges at most.
     cut = ranged.join(F.broadcast(inner), F.col(name) == F.col("__outer"))
-    return cut.withColumn(name, F.col(name) * n_parts + below(F.col("__cuts"))).drop("__outer", "__cuts")
+    number = F.when(F.col("__one"), below(F.col("__tie_cuts"), ties)).otherwise(below(F.col("__cuts"), place))
+    return cut.withColumn(name, F.col(name) * parts + number).drop("__outer", "__one", "__cuts", "__tie_cuts")
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, text: str = "text", n_ranges: int | None = None, n_parts: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, text: str = "text", n_ranges: int | None = None) -> DataFrame:
     """``df`` with ``next``, a struct of ``carried`` of the row that follows in ascending id; the last has the first.
 
     Inside a range of ids the next row is found by a window; the last row of a range takes the first row of the next
-    range, of which there is one for each range. Rows of equal ids follow each other by ``ties``; a null id comes first.
-    ``prepare`` adds columns to carry, after the only shuffle of whole rows.
+    range, of which there is one for each range. Rows of equal ids follow each other by ``ties``, a long; a null id
+    comes first. ``prepare`` adds columns to carry, after the only shuffle of whole rows.
     """
     place = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
-    keyed = with_range(df.withColumn("__place", place), "__place", F.col(text), "__range", n_ranges, n_parts)
+    keyed = with_range(df.withColumn("__place", place), "__place", ties, F.col(text), "__range", n_ranges)
     order = Window.partitionBy("__range").orderBy("__place", ties)
     rows = prepare(keyed.repartition("__range")).withColumn("__next", F.lead(F.struct(*carried)).over(order))
 
@@ -114,8 +118,8 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ties: str, prepare
     heads = keyed.groupBy("__range").agg(F.min(F.struct("__place", ties)).alias("__head")).select("__range", F.col("__head.__place").alias("__place"), F.col(f"__head.{ties}").alias(ties))
     whole = Window.orderBy("__range")  # one row of numbers for each range
     follows = heads.select(F.col("__range").alias("__of"), F.coalesce(F.lead("__range").over(whole), F.first("__range").over(whole)).alias("__range"))
-    firsts = keyed.join(heads, ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])
-    firsts = prepare(firsts).select("__range", F.struct(*carried).alias("__first")).join(follows, "__range").drop("__range")
+    firsts = keyed.join(F.broadcast(heads), ["__range", "__place", ties], "left_semi").dropDuplicates(["__range"])  # three numbers for each range
+    firsts = prepare(firsts).select("__range", F.struct(*carried).alias("__first")).join(F.broadcast(follows), "__range").drop("__range")
     joined = rows.join(firsts, F.col("__range") == F.col("__of"))
     return joined.withColumn("next", F.coalesce("__next", "__first")).drop("__place", "__range", "__next", "__of", "__first")
 
