@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-from itertools import product
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +24,18 @@ def has_word(words: Column, cues: str) -> Column:
     return F.arrays_overlap(words, F.array(*[F.lit(_singular(c)) for c in cues.split()]))
 
 
-def has_phrase(words: Column, *parts: str) -> Column:
-    """Whether a choice of one of the ``|``-separated options of each part follows each other; an option may be empty."""
-    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    phrases = {" ".join(" ".join(_singular(w) for w in option.split()) for option in choice if option) for choice in product(*[p.split("|") for p in parts])}
-    return reduce(Column.__or__, [text.contains(f" {p} ") for p in sorted(phrases)])
+def joined(words: Column) -> Column:
+    """The words in one text, with a space before and after each."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def has_phrase(text: Column, *parts: str) -> Column:
+    """Whether a choice of one of the ``|``-separated options of each part follows each other in a :func:`joined` text;
+    an option may be empty."""
+    plain = lambda option: "".join(_singular(w) + " " for w in option.split())
+    return text.rlike(" " + "".join(f"(?:{'|'.join(plain(o) for o in p.split('|'))})" for p in parts))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

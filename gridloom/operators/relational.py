@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.scratch import materialize
+
 #: A side smaller than this, by the optimizer's own statistics, may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 
@@ -90,30 +92,41 @@ def beside(left: DataFrame, right: DataFrame, left_order: list[str], right_order
     return a.join(b, "__place", "full").drop("__place")
 
 
-#: Values of a text column that are sampled for each range.
-SAMPLED = 200
+def ranged(df: DataFrame, order: list[str | Column], name: str = "ranged") -> DataFrame:
+    """``df`` written in ranges of a total order, with ``__range`` and ``__no``, which ascend in that order.
+
+    There are as many ranges as shuffle partitions, cut by all columns of the order, so that a value of the first one may
+    fill many. The numbering is written, so that whatever reads it later sees the same.
+    """
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    out = df.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by).withColumn("__no", F.monotonically_increasing_id())
+    return materialize(out, "ranged").withColumn("__range", F.shiftright("__no", 33))
+
 
+def with_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in a total order, without passing all rows through one task: ranges are counted and summed up."""
+    rows = ranged(df, order)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__rows"), F.min("__no").alias("__first"))
+    before = F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = sizes.select(F.col("__range").alias("__of"), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = rows.join(F.broadcast(starts), F.col("__range") == F.col("__of"))
+    return joined.withColumn(name, F.col("__before") + F.col("__no") - F.col("__first")).drop("__no", "__range", "__of", "__first", "__before")
 
-def with_place(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Rows numbered from 0 in a total order, without passing all rows through one task.
 
-    Ranges of the first column, between quantiles (of a bounded sample for texts), are numbered inside, and the counts
-    of the ranges, at most ``parts``, set their starts. Rows of one value of that column are in one range.
+def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str, gram: int = 3) -> DataFrame:
+    """Rows of ``texts`` with each row of ``needles`` whose ``needle`` occurs in ``text``, by an equality join.
+
+    A needle is looked up by its first ``gram`` characters (all of a shorter one) among the runs of so many characters of
+    a text, and compared whole only where they meet. An empty needle is in every text, a null one in none.
     """
-    first = F.col(order[0])
-    if df.schema[order[0]].dataType.typeName() in ("string", "boolean"):
-        known = df.select(first.alias("x")).where("x is not null")
-        share = min(1.0, parts * SAMPLED / max(1, known.count()))
-        sample = sorted(r[0] for r in known.sample(share, 1).collect())  # about ``parts * SAMPLED`` values
-        edges = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    else:
-        edges = sorted(set(df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < first)) if edges else F.lit(0)
-    keyed = df.withColumn("__part", F.coalesce(part, F.lit(len(edges) + 1)))
-    counts = dict(keyed.groupBy("__part").count().collect())
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("__part")] if starts else F.lit(0)
-    within = Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return keyed.withColumn(name, (start + F.row_number().over(within) - 1).cast("bigint")).drop("__part")
+    sizes = [r[0] for r in needles.select(F.least(F.char_length(needle), F.lit(gram))).distinct().collect() if r[0] is not None]  # ``gram + 1`` at most
+
+    def runs(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.char_length(text) - size), lambda i: F.substring(F.col(text), i + 1, F.lit(size))) if size else F.array(F.lit(""))
+        return F.when(F.char_length(text) >= size, every).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<string>")
+    keyed = texts.withColumn("__gram", F.explode(F.array_distinct(every)))
+    asked = needles.where(F.col(needle).isNotNull()).withColumn("__first_gram", F.substring(F.col(needle), 1, gram))
+    return keyed.join(maybe_broadcast(asked), (F.col("__gram") == F.col("__first_gram")) & F.col(text).contains(F.col(needle))).drop("__gram", "__first_gram")
