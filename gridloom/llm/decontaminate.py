@@ -18,124 +18,35 @@ Extra columns are carried along and never read; of the result only the column na
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridloom.llm.scratch import materialize
 from gridloom.llm.skew import join_hot
+from gridloom.llm.words import Words, chunks
 
 WINDOW = 10
 #: A test set is broadcast up to so many pairs of window and item, and so many bytes of windows; beyond it is shuffled.
 BROADCAST_PAIRS, BROADCAST_BYTES = 500_000, 32 << 20
-#: Texts are handled together up to so many bytes; a longer one is handled alone.
-CHUNK = 1 << 20
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-_IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = np.where(_IS_WORD, _mix(np.arange(1, 257, dtype=np.uint64)), np.uint64(0))
-
-
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, as many as a chunk has bytes."""
-    out = np.full((2, CHUNK), 1, dtype=np.uint64)
-    out[0, 1:], out[1, 1:] = _BASE, pow(_BASE, -1, 2**64)
-    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
-
-
-class Words:
-    """The words of some texts: lowered bytes, where each word starts and ends, its hash, and the words of each text."""
-
-    def __init__(self, texts: pa.Array):
-        texts = texts.fill_null("").cast(pa.large_string())
-        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
-        self.data = _LOWER[data]
-        inside = np.concatenate([[False], _IS_WORD[self.data], [False]])
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[ends] = True
-        self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
-        self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-        self.firsts = np.searchsorted(self.starts, ends)  # of each text, and one more
-        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
-        up, down = _powers()
-        i = 0
-        while i < len(self.starts):
-            low = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, low + CHUNK, side="right")))
-            if self.ends[i] - low > CHUNK:  # one word of several pieces
-                pieces = range(low, int(self.ends[i]), CHUNK)
-                values = [(_BYTE[self.data[p : min(p + CHUNK, self.ends[i])]] * up[: min(CHUNK, self.ends[i] - p)]).sum() for p in pieces]
-                self.hashes[i] = sum(int(v) * pow(_BASE, p - low, 2**64) for v, p in zip(values, pieces, strict=True)) % 2**64
-            else:
-                high, at = self.ends[j - 1], self.starts[i:j] - low
-                self.hashes[i:j] = np.add.reduceat(_BYTE[self.data[low:high]] * up[: high - low], at) * down[at]
-            i = j
-        self.last = np.repeat(self.firsts[1:], np.diff(self.firsts))  # end of the text of each word
-
-    def text(self, first: int, n: int) -> bytes:
-        """``n`` words joined by one space."""
-        return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n], strict=True)])
-
-    def runs(self, low: int, high: int, n: int) -> np.ndarray:
-        """Hashes of the runs of ``n`` words that start from ``low`` to ``high``."""
-        return self._run([self.hashes[low + j : high + j] for j in range(n)])
-
-    def runs_at(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the runs of ``n`` words that start at the words ``at``."""
-        return self._run([self.hashes[at + j] for j in range(n)])
-
-    def _run(self, parts: list[np.ndarray]) -> np.ndarray:
-        odd = _powers()[0][1::2]
-        total = parts[0] * odd[0]
-        for h, x in zip(parts[1:], odd[1:], strict=False):
-            total = total + h * x
-        return _mix(total + np.uint64(len(parts)))
-
-    def winnowed(self, m: int, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, from ``low`` to ``high``, of the windows of ``m`` words inside a text, which run each keeps, and the
-        hashes of the runs from ``low`` on."""
-        k = (m + 1) // 2
-        high = len(self.hashes) - m + 1 if high is None else min(high, len(self.hashes) - m + 1)
-        if high <= low:
-            return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64),)
-        grams = self.runs(low, high + m - k, k)
-        least, place, size = grams, np.arange(len(grams)), 1
-        while size < m - k + 1:  # the least of twice as many runs, the leftmost of equals
-            step = min(size, m - k + 1 - size)
-            right = least[step:] < least[:-step]
-            least, place, size = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step]), size + step
-        whole = np.flatnonzero(self.last[low:high] - np.arange(low, high) >= m)
-        return whole + low, place[whole], grams
-
-    def segments(self) -> Iterator[tuple[int, int]]:
-        """Ranges of window starts, so that a long text needs no more memory for its windows."""
-        return ((i, i + CHUNK // 4) for i in range(0, len(self.hashes), CHUNK // 4))
-
-
-def chunks(texts: pa.Array) -> Iterator[Words]:
-    """The words of a column of texts, several texts at a time up to ``CHUNK`` bytes."""
-    sizes = np.cumsum(np.concatenate([[0], pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)]))
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + CHUNK, side="right")) - 1)
-        yield Words(texts.slice(i, j - i))
-        i = j
+def winnowed(words: Words, m: int, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, from ``low`` to ``high``, of the windows of ``m`` words inside a text, which run each keeps, and the
+    hashes of the runs from ``low`` on."""
+    k = (m + 1) // 2
+    high = len(words.hashes) - m + 1 if high is None else min(high, len(words.hashes) - m + 1)
+    if high <= low:
+        return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64),)
+    grams = words.runs(low, high + m - k, k)
+    least, place, size = grams, np.arange(len(grams)), 1
+    while size < m - k + 1:  # the least of twice as many runs, the leftmost of equals
+        step = min(size, m - k + 1 - size)
+        right = least[step:] < least[:-step]
+        least, place, size = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step]), size + step
+    whole = np.flatnonzero(words.last[low:high] - np.arange(low, high) >= m)
+    return whole + low, place[whole], grams
 
 
 class Members:
@@ -176,7 +87,7 @@ class Index:
 def _candidates(words: Words, m: int, grams: Members) -> Iterator[np.ndarray]:
     """Starts of the windows of ``m`` words whose kept run is among ``grams``."""
     for low, high in words.segments():
-        starts, kept, hashes = words.winnowed(m, low, high)
+        starts, kept, hashes = winnowed(words, m, low, high)
         if len(starts):
             once = kept[np.flatnonzero(np.diff(kept, prepend=-1))]  # kept runs never go back
             hit = np.zeros(len(hashes), dtype=bool)
@@ -226,7 +137,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
             for i in range(b.num_rows):
                 words = Words(b.column(1).slice(i, 1))
                 if m := min(window, len(words.hashes)):
-                    starts, kept, grams = words.winnowed(m)
+                    starts, kept, grams = winnowed(words, m)
                     texts = pa.array([words.text(s, m) for s in starts.tolist()], pa.binary()).cast(pa.string())
                     ids = pa.array([b.column(0)[i].as_py()] * len(starts), pa.string())
                     yield pa.RecordBatch.from_arrays([ids, texts, pa.array(np.full(len(starts), m, dtype=np.int32)), pa.array(grams[kept].view(np.int64)), pa.array(words.runs_at(starts, m).view(np.int64))], ["item", "window", "m", "gram", "whole"])
@@ -265,7 +176,7 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, text_col: str, name: s
                 runs: list[set] = [set() for _ in range(size)]
                 for m in lengths:
                     for low, high in words.segments():
-                        starts, kept, grams = words.winnowed(m, low, high)
+                        starts, kept, grams = winnowed(words, m, low, high)
                         for t, g in zip((np.searchsorted(words.firsts, starts, side="right") - 1).tolist(), grams[kept].view(np.int64).tolist(), strict=True):
                             runs[t].add((m, g))
                 kind = pa.list_(pa.struct([("m", pa.int32()), ("gram", pa.int64())]))

@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from gridloom.llm import skew
 from gridloom.llm.scratch import delete, discard, materialize, release, scratch_path
 from gridloom.llm.suffix_dedup import least_places, merge_windows
+from gridloom.llm.words import SPACED, Words, chunks, mix, powers
 
 WINDOW, GRAM = 13, 4
-#: Words whose grams are hashed at a time, and hashes of words that a worker remembers.
-CHUNK, REMEMBERED = 300_000, 1_000_000
+#: Words whose grams are hashed at a time.
+CHUNK = 300_000
 #: Rows after which a worker hands on what it has made.
 OUT_ROWS = 50_000
 #: Share of the texts in which hot grams are counted; they decide where rows go, never which.
@@ -44,44 +45,14 @@ HOT_SAMPLE = 0.05
 #: Most contents of which a task remembers the first document; then it forgets them, and more rows meet.
 CONTENTS = 500_000
 _FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(20250).integers(2**62, 2**63, GRAM)]
-_WORDS: dict[bytes, int] = {}
 LAST_ID = 2**63 - 1
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    get, digest = _WORDS.get, xxhash.xxh3_64_intdigest
-    found = [get(w) for w in words]
-    if None in found:
-        for i, (w, h) in enumerate(zip(words, found, strict=True)):
-            if h is None:
-                found[i] = _WORDS[w] = digest(w)
-    return np.array(found, dtype=np.uint64)
-
-
 def word_places(words: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The words joined by one space, and where each begins in that (with the end of the last, plus one)."""
     return b" ".join(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """Runs of whole texts, or of overlapping parts of long ones: row, place in the row, words, ends in the words."""
-    rows, starts, ends, words = [], [], [], []
-    for row, text in enumerate(texts):
-        own = text.split()
-        for start in range(0, len(own) - WINDOW + 1, CHUNK):
-            words += own[start : start + CHUNK + WINDOW - 1]
-            rows.append(row)
-            starts.append(start)
-            ends.append(len(words))
-            if len(words) >= CHUNK:
-                yield np.array(rows), np.array(starts), words, np.array(ends)
-                rows, starts, ends, words = [], [], [], []
-    if rows:
-        yield np.array(rows), np.array(starts), words, np.array(ends)
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
@@ -91,31 +62,46 @@ def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``s`` is null where this task has seen the content in an earlier document.
     """
-    digest = xxhash.xxh3_64_intdigest
     firsts: dict[int, tuple[int, int]] = {}
     for b in batches:
-        d, h = np.asarray(b.column(0)), np.asarray(b.column(1))
-        for rows, starts, words, ends in _chunks([x or b"" for x in b.column(2).to_pylist()]):
-            hashed = _hashes(words)
-            n = len(words) - GRAM + 1
-            grams = sum(hashed[i : n + i] * _FACTORS[i] for i in range(GRAM))
-            grams = grams ^ (grams >> np.uint64(32))
-            at = least_places(grams, WINDOW - GRAM + 1)
-            part = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
-            windows = np.flatnonzero(part[: len(at)] == part[WINDOW - 1 :])
-            at, owner = at[windows], part[windows]
-            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-            lo, hi = windows[new], windows[np.append(new[1:], len(windows)) - 1]
-            at, owner = at[new], owner[new]
-            joined, places = word_places(words)
-            view = memoryview(joined)
-            names = np.array([digest(view[x:z], y) for x, y, z in zip(places[lo].tolist(), (at - lo).tolist(), (places[hi + WINDOW] - 1).tolist(), strict=True)], dtype=np.uint64)
-            first = lo + (starts[owner] - (ends - np.diff(ends, prepend=0))[owner])
-            place = first << 35 | (at - lo) << 31 | (hi - lo) << 27 | h[rows[owner]]
-            kept, more = _gathered(rows[owner], grams[at], names, place)
-            at, owner, names, place = at[kept], owner[kept], names[kept], place[kept]
-            known = _seen_before(grams[at], names, d[rows[owner]], firsts)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(names.view(np.int64), mask=known), pa.array(d[rows[owner]]), pa.array(place), more], ["gram", "s", "d", "place", "more"])
+        d, h, row = np.asarray(b.column(0)), np.asarray(b.column(1)), 0
+        for words in chunks(b.column(2), SPACED, lower=False):
+            n_rows = len(words.firsts) - 1
+            for low, high in words.segments(CHUNK):
+                found = _spans_of(words, low, min(high, len(words.hashes)))
+                if found is None:
+                    continue
+                lo, at, hi, grams, names = found
+                owner = np.searchsorted(words.firsts, lo, side="right") - 1
+                rows = row + owner
+                place = (lo - words.firsts[owner]) << 35 | (at - lo) << 31 | (hi - lo) << 27 | h[rows]
+                kept, more = _gathered(rows, grams, names, place)
+                rows, grams, names, place = rows[kept], grams[kept], names[kept], place[kept]
+                known = _seen_before(grams, names, d[rows], firsts)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(names.view(np.int64), mask=known), pa.array(d[rows]), pa.array(place), more], ["gram", "s", "d", "place", "more"])
+            row += n_rows
+
+
+def _spans_of(words: Words, low: int, high: int) -> tuple[np.ndarray, ...] | None:
+    """First window, anchor and last window of the spans of windows that start from ``low`` to ``high``, with the hash of
+    the anchor's gram and a name of the words (and of the anchor's place in them); None without a window."""
+    hashed = words.hashes[low : high + WINDOW - 1]
+    n = len(hashed) - GRAM + 1
+    if n < WINDOW - GRAM + 1:
+        return None
+    grams = sum(hashed[i : n + i] * _FACTORS[i] for i in range(GRAM))
+    grams = grams ^ (grams >> np.uint64(32))
+    at = least_places(grams, WINDOW - GRAM + 1)
+    windows = np.flatnonzero(words.last[low : low + len(at)] - np.arange(low, low + len(at)) >= WINDOW)
+    if not len(windows):
+        return None
+    at, owner = at[windows], words.last[low + windows]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
+    lo, hi, at = windows[new], windows[np.append(new[1:], len(windows)) - 1], at[new]
+    up, down = powers()
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashed * up[: len(hashed)], dtype=np.uint64)])
+    names = mix(((sums[hi + WINDOW] - sums[lo]) * down[lo]) ^ mix(((hi - lo) << 4 | (at - lo)).astype(np.uint64) + np.uint64(1)))
+    return lo + low, at + low, hi + low, grams[at], names
 
 
 def _gathered(row: np.ndarray, gram: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:

@@ -12,6 +12,7 @@ pytest.importorskip("public_tokenizers")
 
 from gridloom.llm import decontaminate as d  # noqa: E402
 from gridloom.llm import queries  # noqa: E402
+from gridloom.llm import words as words_of  # noqa: E402
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -90,23 +91,23 @@ def test_extra_columns_and_empty_tables(spark, tables, path):
 
 
 def test_texts_longer_than_a_chunk():
-    long = "q" * (2 * d.CHUNK + 17)
+    long = "q" * (2 * words_of.CHUNK + 17)
     text = f"one {long} two " + "three four five six seven eight nine ten eleven " * 60_000 + long.upper()
-    w = d.Words(pa.array([text, None, "two three", ""]))
+    w = words_of.Words(pa.array([text, None, "two three", ""]))
     want = words(text)
     assert len(w.hashes) == len(want) + 2 and w.firsts.tolist() == [0, len(want), len(want), len(want) + 2, len(want) + 2]
     assert w.hashes[1] == w.hashes[len(want) - 1] and w.text(1, 2) == f"{long} two".encode()
     assert len(set(w.hashes.tolist())) == len(set(want))
-    kept = [int(k) + low for low, high in w.segments() for s, k, g in [w.winnowed(10, low, high)] for k in set(k.tolist())]
+    kept = [int(k) + low for low, high in w.segments() for s, k, g in [d.winnowed(w, 10, low, high)] for k in set(k.tolist())]
     assert max(kept) >= len(want) - 10 and len(list(w.segments())) > 1
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=40), st.lists(st.sampled_from("abc"), max_size=20), st.lists(st.sampled_from("abc"), max_size=20), st.integers(1, 10))
 def test_equal_windows_keep_equal_runs(shared, before, after, m):
-    a, b = d.Words(pa.array([" ".join(shared)])), d.Words(pa.array([" ".join(before), " ".join([*before, *shared, *after])]))
-    starts, kept, grams = a.winnowed(m)
-    b_starts, b_kept, b_grams = b.winnowed(m)
+    a, b = words_of.Words(pa.array([" ".join(shared)])), words_of.Words(pa.array([" ".join(before), " ".join([*before, *shared, *after])]))
+    starts, kept, grams = d.winnowed(a, m)
+    b_starts, b_kept, b_grams = d.winnowed(b, m)
     of = dict(zip(b_starts.tolist(), zip((b_kept - b_starts).tolist(), b_grams[b_kept].tolist(), strict=True), strict=True))
     assert len(starts) == max(0, len(shared) - m + 1) and len(b_starts) == max(0, len(before) - m + 1) + max(0, len(before) + len(shared) + len(after) - m + 1)
     for s, k in zip(starts.tolist(), kept.tolist(), strict=True):
