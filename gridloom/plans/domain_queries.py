@@ -12,6 +12,7 @@ from gridloom import oplog, retrieval
 from gridloom.catalog import scope
 from gridloom.export import match, validate
 from gridloom.functions import clauses, text
+from gridloom.neighbours import VectorIndex
 from gridloom.operators import cells as cell_ops
 from gridloom.operators import ocr
 from gridloom.plans import router
@@ -361,6 +362,14 @@ def nearest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest_each(vectors.where("vec_id % 20 = 0"), vectors).select("query_id", "vec_id")
 
 
+@query()
+def nearest_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by probing; tests hold the recall against all pairs."""
+    vectors = load(spark, sf_dir, "embeddings")
+    index = VectorIndex(vectors)
+    return index.nearest(vectors.where("vec_id % 20 = 0"), 6, index.probes_for(0.93)).select("query_id", "vec_id", "rank", F.round("distance", 5).alias("distance"), "compared")
+
+
 # Pages
 
 

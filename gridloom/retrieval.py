@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.neighbours import VectorIndex
+
 SIZE, OVERLAP = 1500, 200
 #: Where a chunk would rather end, best first.
 BREAKS = ("\n\n", "\n", " ")
@@ -62,8 +64,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 6, id_col: str = "v
     return scored.orderBy("distance", id_col).limit(k)
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """For each of a stated set of queries its ``k`` nearest other vectors: ``query_id``, id, ``rank``, ``distance``.
+def all_pairs_nearest(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """What :func:`nearest_each` gives, by comparing every query with every vector; the measure of the index.
 
     Vectors and queries are dealt into blocks of about ``block`` rows, and each pair of blocks meets in one task that
     keeps ``k`` rows of each query; those are ranked once more. Nothing is broadcast, and no block grows with the data.
@@ -89,3 +91,8 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str
     near = v.groupBy("a", "b").cogroup(q.groupBy("a", "b")).applyInPandas(best, f"query_id {kind}, id {kind}, distance double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "rank", "distance")
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """For each of a stated set of queries its ``k`` nearest other vectors: ``query_id``, id, ``rank``, ``distance``."""
+    return VectorIndex(vectors, id_col, vector_col).nearest(queries, k).drop("compared")
