@@ -54,23 +54,6 @@ def band_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str
     return left.join(right, reduce(Column.__and__, on), how).drop("__bin", "__r_bin", *[f"__r_{k}" for k in keys])
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], tie: str, tolerance: Column | None = None) -> DataFrame:
-    """Each left row with the ``take`` columns of the last right row of the same key at or before it.
-
-    Both sides are put in one order per key and the last right row is carried along: one shuffle, no join. Of right
-    rows of one time, the one of greatest ``tie`` counts. Left rows without a match keep nulls.
-    """
-    cells = F.struct(F.col(on).alias("__at"), *[F.col(c).alias(c) for c in take])
-    a = left.select(*by, F.col(on).alias("__on"), F.lit(1).alias("__side"), F.lit(None).cast(dict(right.dtypes)[tie]).alias("__tie"), F.struct(*left.columns).alias("__row"))
-    b = right.select(*by, F.col(on).alias("__on"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), cells.alias("__match"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("__on", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.withColumn("__last", F.last("__match", ignorenulls=True).over(order)).where("__side = 1")
-    if tolerance is not None:
-        carried = carried.withColumn("__last", F.when(F.col("__on") - F.col("__last.__at") <= tolerance, F.col("__last")))
-    return carried.select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in take])
-
-
 def reconciled(frames: list[DataFrame]) -> list[DataFrame]:
     """The frames with columns whose types clash cast to text in all of them."""
     kinds: dict[str, set[str]] = {}

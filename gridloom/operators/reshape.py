@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.relational import with_place
 
 
@@ -58,7 +59,7 @@ def equal_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFram
 
 def quantile_edges(df: DataFrame, value: str, n: int) -> list[float]:
     """Exact interpolated quantiles that bound ``n`` parts of equal count."""
-    return df.agg(F.percentile(value, [i / n for i in range(n + 1)])).first()[0] or []
+    return exact_quantiles(df, value, [i / n for i in range(n + 1)]).first()[0] or []
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:

@@ -11,6 +11,8 @@ from gridloom.export.sinks import lines_of
 from gridloom.functions import statistics as stats
 from gridloom.operators import relational as rel
 from gridloom.operators import reshape, windows
+from gridloom.operators.quantiles import exact_quantiles
+from gridloom.operators.scans import Scan, asof_join, scanned
 from gridloom.plans import guard
 from gridloom.plans.registry import load, query
 
@@ -137,7 +139,7 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("last_click"), F.round("value", 4).alias("last_value"))
     bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return rel.asof_join(bought, clicks, ["user_id"], "ts", ["last_click", "last_value"], tie="last_click").select("event_id", "last_click", "last_value")
+    return asof_join(bought, clicks, ["user_id"], "ts", ["last_click", "last_value"], tie="last_click").select("event_id", "last_click", "last_value")
 
 
 @query("SELECT p_partkey, kind FROM part JOIN (SELECT DISTINCT lower(p_type) AS kind FROM part) ON contains(p_name, kind)")
@@ -206,8 +208,8 @@ def agg_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS q10, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem GROUP BY 1")
 def agg_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("l_extendedprice", [0.1, 0.5, 0.9])
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    found = exact_quantiles(load(spark, sf_dir, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.9], ["l_returnflag"], "q")
+    return found.select("l_returnflag", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_quantity, l_discount), 8) AS cov FROM lineitem")
@@ -326,6 +328,24 @@ def win_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), F.max("value").over(w).alias("top"), F.count("*").over(w).alias("n"))
 
 
+@query("SELECT event_id, round(sum(value) OVER w, 3) AS total, max(value) OVER w AS top, count(*) OVER w AS n FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def scan_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running values over all events in one order, without a key."""
+    found = scanned(load(spark, sf_dir, "events"), ["ts", "event_id"], {"total": Scan("sum", F.col("value").cast("decimal(20,6)")), "top": Scan("max", F.col("value")), "n": Scan("count")})
+    return found.select("event_id", F.round(F.col("total").cast("double"), 3).alias("total"), "top", "n")
+
+
+@query(
+    """SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS forward, first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward,
+    last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS of_type FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN value END AS v FROM events)"""
+)
+def scan_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps filled from both sides over one order, and forward within the few event types."""
+    e = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.when(F.col("event_id") % 50 == 0, F.col("value")).alias("v"))
+    filled = scanned(e, ["ts", "event_id"], {"forward": Scan("last", F.col("v")), "backward": Scan("next", F.col("v"))})
+    return scanned(filled, ["ts", "event_id"], {"of_type": Scan("last", F.col("v"))}, ["event_type"]).select("event_id", "forward", "backward", "of_type")
+
+
 @query(f"SELECT event_id, CASE WHEN count(value) OVER w = 3 THEN round(avg(value) OVER w, 4) END AS rolling FROM events WINDOW w AS ({EVENTS_BY_USER} ROWS 2 PRECEDING)")
 def win_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _by_user().rowsBetween(-2, 0)
