@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.export.sinks import lines_of
 from gridloom.functions import statistics as stats
 from gridloom.operators import relational as rel
-from gridloom.operators import reshape, windows
+from gridloom.operators import reshape, sketches, windows
 from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.scans import Scan, asof_join, scanned
 from gridloom.plans import guard
@@ -217,9 +217,19 @@ def agg_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.covar_samp("l_quantity", "l_discount"), 8).alias("cov"))
 
 
-@query()
+# The SQL has the exact figures; the sketches of days, merged, must lie within their error bounds of them.
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close FROM events GROUP BY 1")
 def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("n_orders"), F.percentile_approx("l_quantity", 0.5).alias("med_qty"))
+    """Distinct users and the median of the values by type, read off merged sketches of days, beside the exact figures."""
+    e = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    by_day = sketches.sketched(e, ["day", "event_type"], ["user_id"], ["value"])
+    found = sketches.read_off(sketches.merged(by_day, ["event_type"])).select(F.col("event_type").alias("of_type"), "n", "sum_value", "distinct_user_id", F.get("quantiles_value", F.lit(0)).alias("median"))
+    joined = e.join(F.broadcast(found), F.col("event_type") == F.col("of_type"))  # a row for each type
+    exact = joined.groupBy("event_type", "n", "sum_value", "distinct_user_id").agg(
+        F.count_distinct("user_id").alias("users"), F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto")
+    )
+    close = F.abs(F.col("distinct_user_id") - F.col("users")) <= 1 + 0.07 * F.col("users")
+    return exact.select("event_type", "n", F.round("sum_value", 2).alias("total"), "users", close.alias("users_close"), ((F.col("below") <= 0.54) & (F.col("upto") >= 0.46)).alias("median_close"))
 
 
 @query("SELECT event_type, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
