@@ -120,7 +120,17 @@ FOOT = "copyright all rights reserved terms privacy imprint contact powered by".
 COMMENT = "reply comment says report thanks great post agree posted ago like".split()
 FORM = "name email address message send submit required phone password".split()
 BODY_NAMES = ("content", "main", "article body", "post content", "entry content", "story", "text", "page body")
+#: Names that tell nothing, as frameworks and page builders give them to any element.
+PLAIN_NAMES = ("row", "col", "container", "wrapper", "inner", "box", "block", "section", "group", "text", "lead", "body copy", "wp block", "flex", "p", "mb px", "item", "title", "css x y z", "t", "builder widget")
+AD_NAMES = ("ad", "ads", "advert", "banner ad", "sponsored", "promo")
+NOTICE_NAMES = ("cookie", "cookie notice", "notice", "banner", "consent", "alert", "newsletter", "popup")
+COMMENTS_NAMES = ("comments", "comment list", "responses", "discussion", "reader comments")
+COMMENT_NAMES = ("comment", "comment item", "reply", "comment body")
+MENU_NAMES = (("nav", ""), ("nav", ""), ("div", "menu"), ("div", "navbar nav"), ("nav", "breadcrumb"))
 SIDE_NAMES = ("sidebar", "widget", "related", "aside", "side column", "recommended", "trending", "tags")
+#: Names of elements and words of classes that may tell what a block is; any other name is not read.
+TELLING = frozenset(" ".join((*BODY_NAMES, *SIDE_NAMES, *AD_NAMES, *NOTICE_NAMES, *COMMENTS_NAMES, *COMMENT_NAMES, *(n for _, n in MENU_NAMES), "header footer")).split())
+READ = TELLING | ENDS_P | SCOPE | frozenset(CLOSES) | frozenset(("p", "tbody", "thead", "figcaption", "details", "summary", "hgroup", "search", "legend", "label", "caption"))
 
 
 def _invented(rng: random.Random, n: int, style: int) -> str:
@@ -136,32 +146,64 @@ def _invented(rng: random.Random, n: int, style: int) -> str:
     return " ".join(out)
 
 
+def _marks(rng: random.Random) -> str:
+    """A class that tells nothing: of a framework or made up."""
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 9)))
+    return rng.choice((*(rng.choice(PLAIN_NAMES),) * 2, made(), f"{made()}-{made()}", f"{made()} {rng.choice(PLAIN_NAMES)}", "it's"))
+
+
 def practice_page(seed: int) -> tuple[str, list[int]]:
-    """A page in one of many layouts, and for each of its blocks whether it is main text."""
+    """A page in one of many layouts, and for each of its blocks whether it is main text.
+
+    Names that tell nothing are given to main text and to all else alike, so that only names of a kind tell.
+    """
     rng = random.Random(seed)
     parts: list[str] = []
     labels: list[int] = []
     style = rng.choice((0, 0, 0, 0, 1, 2, 3))
+    named = rng.choice((0.0, 0.0, 0.1, 0.5, 1.0))  # share of elements with a name that tells nothing
+    form = rng.choice((*("usual",) * 8, *("nested",) * 3, *("unwrapped",) * 2, *("table",) * 2, *("broken",) * 4, *("bare",) * 2, "untagged"))
 
     def say(words: list[str] | None, n: int) -> str:
         known = " ".join(rng.choice(words) for _ in range(max(1, n // 2))) if words and rng.random() < 0.6 else ""
         return (known + " " + _invented(rng, rng.randint(1, max(1, n)), rng.choice((0, 0, style)))).strip()
 
+    def plain(marks: str = "") -> str:
+        marks = marks or (_marks(rng) if rng.random() < named else "")
+        return f' class="{marks}"' if marks else ""
+
     def put(tag: str, text: str, main: int, marks: str = "") -> None:
-        parts.append(f"<{tag}{f' class={chr(34)}{marks}{chr(34)}' if marks else ''}>{text}</{tag}>")
+        parts.append(f"<{tag}{plain(marks)}>{text}</{tag}>")
         labels.append(main)
 
+    def lines() -> str:
+        """Text whose paragraphs are only broken lines."""
+        return rng.choice(("<br>", "<br><br>", "<br/>\n<br/>")).join(say(None, rng.choice((10, 25, 60))) for _ in range(rng.randint(2, 8)))
+
+    def bare_links() -> None:
+        """A list of links in elements without a telling name."""
+        parts.append(f"<div{plain()}>")
+        if rng.random() < 0.6:
+            put(rng.choice(("h3", "h4", "p")), say(None, 3), 0)
+        parts.append("<ul>")
+        for _ in range(rng.randint(2, 6)):
+            put("li", f'<a href="/x">{say(None, 6)}</a>', 0)
+        parts.append("</ul></div>")
+
+    if form == "untagged":
+        return "\n".join(say(None, rng.choice((4, 25, 60))) for _ in range(rng.randint(1, 8))), [1]
+
     def menu(tag: str, marks: str = "") -> None:
-        parts.append(f"<{tag}{f' class={chr(34)}{marks}{chr(34)}' if marks else ''}><ul>")
+        parts.append(f"<{tag}{plain(marks)}><ul>")
         for _ in range(rng.randint(2, 9)):
             put("li", f'<a href="/x">{say(MENU, rng.choice((1, 1, 2)))}</a>', 0)
         parts.append(f"</ul></{tag}>")
 
     def boxes(kind: str) -> None:
         if kind == "ad":
-            put("div", say(ADVERT, 14), 0, rng.choice(("ad", "ads", "advert", "banner ad", "sponsored", "promo")))
+            put("div", say(ADVERT, 14), 0, rng.choice(AD_NAMES))
         elif kind == "notice":
-            put("div", say(NOTICE, 20), 0, rng.choice(("cookie", "cookie notice", "notice", "banner", "consent", "alert", "newsletter", "popup")))
+            put("div", say(NOTICE, 20), 0, rng.choice(NOTICE_NAMES))
         elif kind == "aside":
             tag, name = rng.choice((("aside", ""), ("div", rng.choice(SIDE_NAMES)), ("aside", rng.choice(SIDE_NAMES))))
             parts.append(f'<{tag} class="{name}">')
@@ -176,11 +218,11 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
             parts.append("</form>")
         elif kind == "comments":
             tag = rng.choice(("section", "div"))
-            parts.append(f'<{tag} {rng.choice(("class", "id"))}="{rng.choice(("comments", "comment list", "responses", "discussion", "reader comments"))}">')
+            parts.append(f'<{tag} {rng.choice(("class", "id"))}="{rng.choice(COMMENTS_NAMES)}">')
             put(rng.choice(("h2", "h3")), say(COMMENT, 3), 0)
             for _ in range(rng.randint(1, 6)):
                 inner = rng.choice(("article", "div", "li"))
-                parts.append(f'<{inner} class="{rng.choice(("comment", "comment item", "reply", "comment body"))}">')
+                parts.append(f'<{inner} class="{rng.choice(COMMENT_NAMES)}">')
                 for _ in range(rng.randint(1, 3)):
                     put("p", say(COMMENT if rng.random() < 0.3 else None, 40), 0)
                 parts.append(f"</{inner}>")
@@ -195,20 +237,47 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
             put(rng.choice(("div", "p", "h1", "h2")), say(None, 5), 0)
         parts.append("</header>" if "<header>" in parts[-3:] or "<header>" in parts else "</div>")
     if rng.random() < 0.9:
-        menu(*rng.choice((("nav", ""), ("nav", ""), ("div", "menu"), ("div", "navbar nav"), ("nav", "breadcrumb"))))
+        menu(*rng.choice(MENU_NAMES))
     for _ in range(rng.randint(0, 2)):
         boxes(rng.choice(("ad", "ad", "notice", "aside")))
-    outer = rng.choice(("article", "article", "article", "main", "named", "main+article"))
-    parts.append({"article": "<article>", "main": "<main>", "named": f'<div {rng.choice(("class", "class", "id"))}="{rng.choice(BODY_NAMES)}">', "main+article": "<main><article>"}[outer])
-    inner_header = rng.random() < 0.15
+    if rng.random() < 0.2:
+        bare_links()
+    usual = rng.choice(("article", "article", "article", "main", "named", "main+article"))
+    outer = {"usual": usual, "nested": rng.choice(("wrapped", "wrapped", usual))}.get(form, form)
+    opened = {
+        "article": f"<article{plain()}>", "main": f"<main{plain()}>", "named": f'<div {rng.choice(("class", "class", "id"))}="{rng.choice(BODY_NAMES)}">', "main+article": f"<main><article{plain()}>",
+        "wrapped": f"<div{plain()}>" * rng.randint(1, 3), "table": f"<td{plain()}>", "broken": f"<{rng.choice(('div', 'div', 'article', 'main'))}{plain()}>",
+    }.get(outer, "")
+    if form == "table":
+        parts.append("<table><tr>")
+        if rng.random() < 0.7:
+            parts.append("<td><ul>")
+            for _ in range(rng.randint(2, 6)):
+                put("li", f'<a href="/x">{say(MENU, 2)}</a>', 0)
+            parts.append("</ul></td>")
+    parts.append(opened)
+    inner_header = form == "usual" and rng.random() < 0.15
     if inner_header:
         parts.append("<header>")
-    put("h1", say(None, 9), 1)
+    if form == "broken":
+        put(rng.choice(("p", "div")), lines(), 1) if rng.random() < 0.3 else (parts.append(lines()), labels.append(1))
+    elif form == "bare":
+        put("h1", say(None, 9), 1)
+        for _ in range(rng.randint(1, 3)):
+            parts.append(lines() + rng.choice(("<hr>", "<h2>")))
+            labels.append(1)
+            if parts[-1].endswith("<h2>"):
+                parts[-1] = parts[-1][:-4]
+                put("h2", say(None, 5), 1)
+    else:
+        put(rng.choice(("h1", "h1", "h1", "h2")), say(None, 9), 1)
     if inner_header:
         parts.append("</header>")
-    plain = rng.choice((("p",) * 6, ("p",) * 6, ("p",) * 6, ("div",) * 6, ("p", "p", "p", "div", "div", "div")))
-    for _ in range(rng.choice((1, 2, 3, 5, 8, 12, 20))):
-        tag = rng.choice((*plain, "h2", "h3", "li", "blockquote", "pre", "td", "figcaption"))
+    if form == "nested":
+        parts.append(f"<div{plain()}>")
+    tags = rng.choice((("p",) * 6, ("p",) * 6, ("p",) * 6, ("div",) * 6, ("p", "p", "p", "div", "div", "div")))
+    for _ in range(0 if form in ("broken", "bare") else rng.choice((1, 2, 3, 5, 8, 12, 20))):
+        tag = rng.choice((*tags, *(tags[:5] if form != "usual" else ()), "h2", "h3", "li", "blockquote", "pre", "td", "figcaption"))
         text = say(None, rng.choice((1, 2, 4, 10, 25, 60, 120)))
         if rng.random() < 0.15:
             text = f'<b>{text}</b> <a href="#">{say(None, 3)}</a>'
@@ -220,12 +289,16 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
         put(tag, text, 1)
         if around:
             parts.append(f"</{around}>")
-        if rng.random() < 0.05:
+        if form == "usual" and rng.random() < 0.05:
             boxes(rng.choice(("ad", "aside", "notice", "form")))
-    inside = rng.random() < 0.3
-    if inside:
+    if form == "nested":
+        parts.append("</div>")
+    if form == "usual" and rng.random() < 0.3:
         boxes(rng.choice(("comments", "aside", "form")))
-    parts.append({"article": "</article>", "main": "</main>", "named": "</div>", "main+article": "</article></main>"}[outer])
+    ends = {"article": "</article>", "main": "</main>", "named": "</div>", "main+article": "</article></main>", "wrapped": "</div>" * opened.count("<div"), "table": "</td></tr></table>", "broken": f"</{opened[1:].split(' ')[0].rstrip('>')}>"}
+    parts.append(ends.get(outer, ""))
+    if rng.random() < 0.2:
+        bare_links()
     for kind in ("aside", "form", "comments", "ad", "notice"):
         if rng.random() < 0.25:
             boxes(kind)

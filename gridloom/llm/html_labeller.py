@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.html_blocks import Block, blocks, practice_page
+from gridloom.llm.html_blocks import READ, Block, blocks, practice_page
 
-PATH, WORDS, MEASURES, HIDDEN = 96, 32, 8, 20
-PRACTICE_PAGES, EPOCHS, GROUP = 900, 10, 64
+PATH, WORDS, MEASURES, HIDDEN = 128, 32, 8, 20
+PRACTICE_PAGES, EPOCHS, BATCH, GROUP = 1600, 8, 64, 64
 #: Words that a worker remembers the place of.
 REMEMBERED = 500_000
 _PLACES: dict[str, int] = {}
@@ -39,11 +39,12 @@ _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Each mark of the path sets two places; the last four elements set places of their own kind too."""
+    """Each name of the path that is read sets two places; the last four set places of their own kind too."""
     found = _PATHS.get(path)
     if found is None:
         found = np.zeros(PATH, dtype=np.float32)
-        for mark in set(path) | {f"<{m}" for m in path[-4:]}:
+        path_read = [m for m in path if m in READ]
+        for mark in {*path_read, *(f"<{m}" for m in path_read[-4:])}:
             h = zlib.crc32(mark.encode())
             found[h % PATH] = 1
             found[(h >> 12) % PATH] = 1
@@ -144,8 +145,8 @@ class Labeller:
         first, second, step = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
         for epoch in range(epochs):
             order = rng.permutation(len(pages))
-            for k in range(0, len(order), 32):
-                chosen = order[k : k + 32]
+            for k in range(0, len(order), BATCH):
+                chosen = order[k : k + BATCH]
                 x, live = _padded([pages[j] for j in chosen])
                 y = np.zeros(live.shape, np.float32)
                 for column, j in enumerate(chosen):
