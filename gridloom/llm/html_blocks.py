@@ -228,19 +228,20 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
                 parts.append(f"</{inner}>")
             parts.append(f"</{tag}>")
 
+    alone = rng.random() < 0.15  # nothing but main text
     parts.append("<html><head><title>t</title></head><body>")
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(0 if alone else rng.randint(0, 2)):
         boxes(rng.choice(("notice", "ad")))
-    if rng.random() < 0.5:
+    if not alone and rng.random() < 0.5:
         parts.append("<header>" if rng.random() < 0.6 else '<div class="header">')
         for _ in range(rng.randint(1, 2)):
             put(rng.choice(("div", "p", "h1", "h2")), say(None, 5), 0)
         parts.append("</header>" if "<header>" in parts[-3:] or "<header>" in parts else "</div>")
-    if rng.random() < 0.9:
+    if not alone and rng.random() < 0.9:
         menu(*rng.choice(MENU_NAMES))
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(0 if alone else rng.randint(0, 2)):
         boxes(rng.choice(("ad", "ad", "notice", "aside")))
-    if rng.random() < 0.2:
+    if not alone and rng.random() < 0.2:
         bare_links()
     usual = rng.choice(("article", "article", "article", "main", "named", "main+article"))
     outer = {"usual": usual, "nested": rng.choice(("wrapped", "wrapped", usual))}.get(form, form)
@@ -250,7 +251,7 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
     }.get(outer, "")
     if form == "table":
         parts.append("<table><tr>")
-        if rng.random() < 0.7:
+        if not alone and rng.random() < 0.7:
             parts.append("<td><ul>")
             for _ in range(rng.randint(2, 6)):
                 put("li", f'<a href="/x">{say(MENU, 2)}</a>', 0)
@@ -297,12 +298,12 @@ def practice_page(seed: int) -> tuple[str, list[int]]:
         boxes(rng.choice(("comments", "aside", "form")))
     ends = {"article": "</article>", "main": "</main>", "named": "</div>", "main+article": "</article></main>", "wrapped": "</div>" * opened.count("<div"), "table": "</td></tr></table>", "broken": f"</{opened[1:].split(' ')[0].rstrip('>')}>"}
     parts.append(ends.get(outer, ""))
-    if rng.random() < 0.2:
+    if not alone and rng.random() < 0.2:
         bare_links()
     for kind in ("aside", "form", "comments", "ad", "notice"):
-        if rng.random() < 0.25:
+        if not alone and rng.random() < 0.25:
             boxes(kind)
-    if rng.random() < 0.9:
+    if not alone and rng.random() < 0.9:
         parts.append(rng.choice(("<footer>", '<footer class="footer">')))
         for _ in range(rng.randint(1, 4)):
             put(rng.choice(("p", "div", "li")), say(FOOT, 12), 0)
