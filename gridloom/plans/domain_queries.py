@@ -18,7 +18,7 @@ from gridloom.operators import ocr
 from gridloom.plans import router
 from gridloom.plans.registry import load, query
 from gridloom.sources import files
-from gridloom.streaming import jobs
+from gridloom.streaming import jobs, sessions
 
 # Scalar functions
 
@@ -412,3 +412,19 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of four hours by the same function that streams use, in batch."""
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jobs.sessions(e, "ts", "4 hours", ["user_id"]).groupBy("user_id").agg(F.sum("n").alias("n_events"), F.count("*").alias("n_sessions"))
+
+
+# A pause of a day or a purchase ends a session; those over an hour before the last event are closed.
+@query(
+    """WITH e AS (SELECT *, event_type = 'purchase' AS buys, max(ts) OVER () AS top FROM events),
+    marked AS (SELECT *, CASE WHEN lag(buys) OVER w OR ts - lag(ts) OVER w > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+    s AS (SELECT user_id, run, min(ts) AS started, max(ts) AS ended, count(*) AS n, round(sum(value), 4) AS total, bool_or(buys) AS closed, min(top) AS top FROM runs GROUP BY 1, 2)
+    SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, n, total, closed FROM s
+    WHERE date_trunc('millisecond', top) - INTERVAL 1 HOUR >= CASE WHEN closed THEN ended ELSE ended + INTERVAL 24 HOUR END"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sessions.closing_sessions(_closing(spark, sf_dir), "user_id", "ts", "value", F.col("event_type") == "purchase", "24 hours", "1 hour")
+    found = _drained(spark, out).where("kind = 'session'")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("user_id", stamp("started"), stamp("ended"), "n", F.round("total", 4).alias("total"), "closed")
