@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from gridloom import catalog as cat
 from gridloom.export.match import prepared
-from gridloom.export.sinks import EXPORTERS, Written
+from gridloom.export.sinks import EXPORTERS, Written, first_rows
 from gridloom.operators.cells import tables as cell_tables
-from gridloom.operators.cells import to_frame, unmerge
+from gridloom.operators.cells import unmerge
 from gridloom.plans import guard, router
+from gridloom.scratch import materialize
 from gridloom.session import ship
 from gridloom.sources import files
 
@@ -44,6 +45,7 @@ class Engine:
     output: str = "exports"
     write_sql: Callable[[str, str, str | None], str] | None = None
     deadline: float = 30.0  # seconds in which a query must give its first rows
+    write_deadline: float = 600.0  # seconds in which an export must be written
     catalog: cat.Catalog = field(init=False)
     history: dict[str, list[dict]] = field(default_factory=dict)
     outlines: dict[str, DataFrame] = field(default_factory=dict)  # headings of the files that have any
@@ -54,27 +56,42 @@ class Engine:
         self.catalog = cat.Catalog(self.spark)
 
     def ingest(self, path: str, file_id: str, name: str | None = None) -> int:
-        """Loads a file's tables under ``file_id``; the file's own name is kept for prompts. Gives their number."""
+        """Loads a file's tables under ``file_id``; the file's own name is kept for prompts. Gives their number.
+
+        A file that comes again with the same content is left as it is; with another, all that was kept of it goes.
+        """
         name = name or path.rsplit("/", 1)[-1]
-        self.catalog.add_file(file_id, name, files.kind_of(name))
+        key = files.state_of(self.spark, path)
+        if self.catalog.holds(file_id, key):
+            return len(self.catalog.of([file_id]))
+        self.outlines.pop(file_id, None)
+        self.catalog.add_file(file_id, name, files.kind_of(name), key)
+        self.spark.catalog.refreshByPath(path)
         extension = name.rpartition(".")[2].lower()
         if extension == "csv":
-            self.catalog.add_table(file_id, "data", files.read_csv(self.spark, path))
+            self.catalog.add_table(file_id, "data", files.read_csv(self.spark, path), 1)
         elif extension == "xlsx":
             cells, merges = files.read_workbook(self.spark, path)
-            found = cell_tables(unmerge(cells, merges))
-            for (label,) in found.select("table").distinct().orderBy("table").collect():
-                self.catalog.add_table(file_id, label, files.inferred(to_frame(found, label)))
+            order = {r.sheet: r.at for r in cells.groupBy("sheet").agg(F.min("sheet_no").alias("at")).collect()}
+            self._add_cells(file_id, cells, merges, lambda label: order.get(label, order.get(label.rpartition(" (block")[0])))
         elif extension in ("html", "htm"):
             page = files.read_text(self.spark, path)
-            self.outlines[file_id] = files.headings(page.select(F.lit(1).alias("page_id"), F.col("text").alias("html")))
-            self.catalog.add_table(file_id, "text", page.select(F.lit(1).alias("page"), files.visible_text(F.col("text")).alias("text"), "content_key"))
+            html = page.select(F.lit(1).alias("page_id"), F.col("text").alias("html"))
+            self.outlines[file_id] = files.headings(html)
+            self.catalog.add_table(file_id, "text", page.select(F.lit(1).alias("page"), files.visible_text(F.col("text")).alias("text"), "content_key"), 1)
+            self._add_cells(file_id, *files.html_tables(html), lambda _: 1)
         elif extension in ("txt", "md"):
-            self.catalog.add_table(file_id, "text", files.read_text(self.spark, path))
+            self.catalog.add_table(file_id, "text", files.pages_of(files.read_text(self.spark, path)))
         else:
             raise ValueError(f"no reader for .{extension} files is installed")
         return len(self.catalog.of([file_id]))
 
+    def _add_cells(self, file_id: str, cells: DataFrame, merges: DataFrame, page_of: Callable[[str], int | None]) -> None:
+        """The tables among the cells, which are cleaned once and written, as each table is read from them."""
+        found = materialize(cell_tables(unmerge(cells.select("sheet", "row", "col", "value"), merges)), "cells")
+        for label, df in files.typed_tables(found).items():
+            self.catalog.add_table(file_id, label, df, page_of(label))
+
     def plan(self, prompt: str, file_id: str | None = None) -> dict:
         """Intent, scope and clauses of a prompt."""
         one = self.spark.createDataFrame([(prompt,)], "prompt string")
@@ -88,9 +105,12 @@ class Engine:
         return router.routed(one, "prompt", tabular).first().asDict(recursive=True) | {"files": targets}
 
     def query(self, sql: str, file_ids: list[str] | None = None) -> DataFrame:
-        """A guarded, read-only query over the tables of the files (all by default)."""
+        """A guarded, read-only query over the tables of the files (all by default), which must give its first rows within
+        the deadline."""
         views = self.catalog.register(file_ids or list(self.catalog.files))
-        return guard.run(self.spark, sql, list(views))
+        df = guard.run(self.spark, sql, list(views))
+        guard.rows_within(df.limit(PREVIEW), self.deadline)
+        return df
 
     def ask(self, prompt: str, session: str = "default", file_id: str | None = None, sql: str | None = None) -> Answer:
         began, plan = time.time(), self.plan(prompt, file_id)
@@ -108,7 +128,7 @@ class Engine:
             return Answer(intent, "\n".join(f"{f['pos'] + 1}. {f['name']} ({f['kind']}, {f['file_id']})" for f in self.catalog.files.values()), rows)
         if intent == "list_columns":
             views = self.catalog.register(targets)
-            samples = [f"{name}:\n" + "\n".join(str(tuple(r)) for r in t.df.limit(SAMPLE).collect()) for name, t in views.items()]
+            samples = [f"{name}:\n" + "\n".join(str(tuple(r)) for r in first_rows(t.df, SAMPLE).collect()) for name, t in views.items()]
             return Answer(intent, "\n\n".join([self.catalog.schema_text(views), *samples]))
         if intent == "table_of_contents":
             found = [self.outlines[f] for f in targets if f in self.outlines]
@@ -118,7 +138,10 @@ class Engine:
             texts = [t.df for t in self.catalog.of(targets) if "text" in t.df.columns]
             if intent == "page_lookup":
                 texts = [df.where(F.col("page") == plan["page"]) for df in texts if "page" in df.columns]
-            found = [r.text for df in texts for r in df.select(F.substring("text", 1, CHARACTERS).alias("text")).limit(1).collect() if r.text]
+            found = [r.text for df in texts for r in first_rows(df.select(F.substring("text", 1, CHARACTERS).alias("text")), 1).collect() if r.text]
+            if intent == "page_lookup" and (tables := [t for t in self.catalog.of(targets, 2, 1, real=True, page=plan["page"]) if t.page != "text"]):
+                found.append("Tables on this page: " + ", ".join(t.page for t in tables))
+                return Answer(intent, "\n\n".join(found), tables[0].df)
             return Answer(intent, "\n\n".join(found) or "No text is stored for that.")
         if intent == "data_query":
             views = self.catalog.register(targets)
@@ -153,4 +176,5 @@ class Engine:
         ending = {"csv": "csv", "excel": "xlsx", "docx": "docx", "pptx": "pptx", "chart": "svg"}[sink]
         os.makedirs(self.output, exist_ok=True)
         name = os.path.basename(plan["filename"] or f"{stub}.{ending}")
-        return EXPORTERS[sink](frames, os.path.join(self.output, name))
+        target = os.path.join(self.output, name)
+        return guard.within(self.spark, self.write_deadline, lambda: EXPORTERS[sink](frames, target))

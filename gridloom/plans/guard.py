@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # What a query may consist of.
 NODES = frozenset(
     """Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except Join SubqueryAlias UnresolvedRelation UnresolvedWith CTE
@@ -97,7 +101,12 @@ def run_within(spark: SparkSession, sql: str, views: list[str], seconds: float =
 
 def rows_within(df: DataFrame, seconds: float) -> list:
     """The rows of ``df``; its jobs are cancelled at the deadline."""
-    context, tag, done = df.sparkSession.sparkContext, f"gridloom-{uuid.uuid4().hex}", threading.Event()
+    return within(df.sparkSession, seconds, df.collect)
+
+
+def within(spark: SparkSession, seconds: float, work: Callable[[], T]) -> T:
+    """What ``work`` gives; the jobs it starts are cancelled at the deadline, so it fails then."""
+    context, tag, done = spark.sparkContext, f"gridloom-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         wait = seconds
@@ -109,7 +118,7 @@ def rows_within(df: DataFrame, seconds: float) -> list:
     context.addJobTag(tag)
     watcher.start()
     try:
-        return df.collect()
+        return work()
     finally:
         done.set()
         watcher.join()
