@@ -55,9 +55,12 @@ def replace_by_key(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def file_arrivals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """New files of a folder as rows with path, content and the key of the content."""
+def file_arrivals(spark: SparkSession, folder: str, pattern: str = "*", below: bool = False) -> DataFrame:
+    """New files of a folder (and of those ``below`` it) as rows with path, content and the key of the content.
+
+    A path is read once: a file that changes must arrive under another path.
+    """
     kind = "path string, modificationTime timestamp, length bigint, content binary"
-    stream = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", pattern).load(folder)
+    stream = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", below).load(folder)
     key: Column = F.left(F.sha2("content", 256), F.lit(16))
     return stream.withColumn("content_key", key)
