@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms of personal data, by DataFrame functions alone.
 
-Card and account numbers, phone numbers, social security numbers, bank account numbers (IBAN), network addresses,
-dates, mail addresses and secret tokens are found by one pattern, validated, and permuted inside their own format by a
+Card and account numbers, phone numbers, social security numbers, bank account numbers (IBAN, also in groups), network
+addresses of both lengths, dates, mail addresses, access keys and secret tokens are found by one pattern, validated, and permuted inside their own format by a
 keyed Feistel network. Equal values give equal pseudonyms in all documents, different ones different pseudonyms; a
 number keeps its length, separators and the truth of its checksum, and a date stays a date. What fails validation
 (a network address over 255, a day that no month has) stays as it is.
@@ -11,6 +11,8 @@ A null text stays null. Anyone with the key can link pseudonyms to values, so pa
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,23 @@ TEST_KEY, KEY_SETTING = "a public key for tests", "spark.gridloom.pii.key"
 # How each kind of value is written.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-TOKEN = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
+#: The same in groups of four, as it is printed; the last group may be shorter.
+SPACED_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+TOKEN = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])"
+#: Access keys that their issuers mark by how they begin.
+MARKED = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|pk_live_|xox[abprs]-|AIza"
+ACCESS_KEY = rf"(?<![A-Za-z0-9_-])(?:{MARKED})[A-Za-z0-9_-]{{16,}}(?![A-Za-z0-9])"
+#: Network addresses of 128 bits, whole or with one run of zeros left out after a group of three characters or more.
+_HEX = "[0-9A-Fa-f]{1,4}"
+LONG_ADDRESS = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z:.])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])(?:[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NUMBER = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 LOCAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+#: A national number with its leading zero, a gap after the area and at least nine digits.
+TRUNK = r"0[1-9][0-9]{1,3}[ /-][0-9]{3,5}[ -]?[0-9]{2,5}(?<=[0-9 /-]{10,17})"
 # What may follow an international number and isn't part of it: another value, or a year after ten digits.
 _DAY = r"(?:0[1-9]|[12][0-9]|3[01])"
 _DATES = rf"(?:1[89]|20)[0-9]{{2}}-(?:0[1-9]|1[0-2])-{_DAY}(?![0-9-])|{_DAY}[/.]{_DAY}[/.](?:1[89]|20)[0-9]{{2}}(?![0-9/])"
@@ -40,8 +52,8 @@ NEXT = "|".join((ADDRESS, _DATES, SOCIAL, _CARD, rf"(?:{LOCAL})(?![0-9])", _YEAR
 # '+1' and ten digits, or '(ddd) ddd-dddd' after any code; else groups of at most 15 digits with the code (E.164).
 PLAN = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
 GROUPS = rf"\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,5}}\)?(?:(?: (?!{NEXT})|[.-]?)\(?[0-9]{{2,5}}\)?){{1,4}}(?<={_FIVE})"
-PHONE = rf"(?<![0-9A-Za-z])(?:{PLAN}|{GROUPS}|{LOCAL})(?![0-9])"
-ANY = "|".join((EMAIL, IBAN, TOKEN, ADDRESS, ISO_DATE, DAY_DATE, PHONE, SOCIAL, NUMBER))
+PHONE = rf"(?<![0-9A-Za-z])(?:{PLAN}|{GROUPS}|{LOCAL})(?![0-9])|(?<![0-9A-Za-z./-]){TRUNK}(?![0-9]|[-/][0-9])"
+ANY = "|".join((EMAIL, ACCESS_KEY, IBAN, SPACED_IBAN, TOKEN, LONG_ADDRESS, ADDRESS, ISO_DATE, DAY_DATE, PHONE, SOCIAL, NUMBER))
 #: A Gregorian cycle has 146,097 days, 189 times 773; dates are permuted in the one from 1800 to 2199.
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)
 
@@ -187,9 +199,38 @@ def _iban(value: Column, key: str) -> Column:
     return F.when(_remainder(value) == 1, F.transform(image, written)[0]).otherwise(value)
 
 
+def _spaced_iban(value: Column, key: str) -> Column:
+    """The pseudonym of the number without its gaps, with the same gaps. What is no account number but holds the digits
+    of a card is permuted like one."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    after = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(plain) - 1) / 4)), lambda i: F.substr(x, (i * 4 + 1).cast("int"), F.lit(4))), " ")
+    image = F.transform(F.array(_iban(plain, key)), after)[0]
+    return F.when(_remainder(plain) == 1, image).when(F.length(_digits(value)) >= 13, _number(value, key)).otherwise(value)
+
+
 def _token(value: Column, key: str) -> Column:
+    """Hexadecimal digits as a number, so letter case tells nothing; letters of the pseudonym are lower unless none of the value's is."""
     image = F.array(permute_text(F.lower(value), key, "token", hexadecimal=True))
-    return F.transform(image, lambda x: F.when(value == F.lower(value), x).otherwise(F.upper(x)))[0]
+    return F.transform(image, lambda x: F.when(value != F.upper(value), x).otherwise(F.when(value == F.lower(value), x).otherwise(F.upper(x))))[0]
+
+
+def _access_key(value: Column, key: str) -> Column:
+    """The mark of the issuer stays."""
+    mark = F.regexp_extract(value, f"^(?:{MARKED})", 0)
+    return F.concat(mark, permute_text(F.substr(value, F.length(mark) + 1, F.length(value)), key, "access"))
+
+
+def _long_address(value: Column, key: str) -> Column:
+    """All 128 bits, written without zeros left out, so that forms of one address stay linked."""
+    halves = F.split(F.lower(value), "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(halves[0]), groups(F.get(halves, F.lit(1)))
+    missing = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
+    whole = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), missing), right), lambda g: F.lpad(g, 4, "0")), "")
+    image = F.array(permute_text(whole, key, "long address", hexadecimal=True))
+    group = lambda x: lambda i: F.coalesce(F.nullif(F.ltrim(F.substr(x, (i * 4 + 1).cast("int"), F.lit(4)), F.lit("0")), F.lit("")), F.lit("0"))
+    written = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group(x)), ":")
+    return F.when(F.size(left) + F.size(right) <= 8, F.transform(image, written)[0]).otherwise(value)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -201,8 +242,11 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one value that ``ANY`` matches."""
     return (
         F.when(_is(value, EMAIL), _email(value, key))
+        .when(_is(value, ACCESS_KEY), _access_key(value, key))
         .when(_is(value, IBAN), _iban(value, key))
+        .when(_is(value, SPACED_IBAN), _spaced_iban(value, key))
         .when(_is(value, TOKEN), _token(value, key))
+        .when(_is(value, LONG_ADDRESS), _long_address(value, key))
         .when(_is(value, ADDRESS), _address(value, key))
         .when(_is(value, ISO_DATE), _date(value, "yyyy-MM-dd", key))
         .when(_is(value, DAY_DATE), F.when(value.contains("/"), _slashed(value, key)).otherwise(_date(value, "dd.MM.yyyy", key)))
@@ -219,7 +263,10 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: str | None = None,
     whose pseudonyms anyone can undo. Of a mail address the local part is permuted, letter case and all; the domain
     stays. All other columns stay as they are, whatever their names.
     """
-    key = key or df.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
+    key = key or df.sparkSession.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=2)
+        key = TEST_KEY
     text = F.col(text_col)
     pattern = F.lit(ANY)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))

@@ -1,69 +1,15 @@
-"""Tables written to the shared scratch folder, which cut lineage and survive lost executors."""
+"""Scratch tables as the library has them, and what the training-data operators need besides."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.scratch import delete, discard, discard_all_but, materialize, run, scratch_dir, scratch_path
 from gridloom.session import ship
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/gridloom"
-_LOCAL: set[str] = set()
-#: Scratch tables made and not yet discarded; the frame is kept so that its id stays its own.
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset a local one, which goes at exit."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
-    own = f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"
-    if own not in _LOCAL:
-        _LOCAL.add(own)
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the scratch folder and reads it back: one evaluation, no lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (out, path)
-    return out
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system, so any store works."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more."""
-    for df in tables:
-        if found := _PATHS.pop(id(df), None):
-            delete(df.sparkSession, found[1])
-
-
-def scratch_tables() -> list[DataFrame]:
-    return [df for df, _ in _PATHS.values()]
-
-
-def discard_all_but(*kept: DataFrame) -> None:
-    """Deletes every scratch table but these, once a stage's result is written and reads no other."""
-    names = {id(df) for df in kept}
-    discard(*[df for key, (df, _) in list(_PATHS.items()) if key not in names])
+__all__ = ["delete", "discard", "discard_all_but", "materialize", "release", "run", "scratch_dir", "scratch_path", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
