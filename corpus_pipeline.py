@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import near_copies, packing, pii, quality, substring_index
-from gridloom.llm.scratch import discard_all_but, materialize, scratch_tables, ship, table
+from gridloom.llm import near_copies, packing, pii, quality, scratch, substring_index
+from gridloom.llm.scratch import discard_all_but, materialize, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote on its way, and the table it read, go as soon as its own is written.
     """
-    before = scratch_tables()
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        discard_all_but(docs, *before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch.run():
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            discard_all_but(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
