@@ -9,10 +9,13 @@ from gridloom.llm.scratch import discard, materialize
 from gridloom.llm.skew import join_hot
 
 
-def _star(links: DataFrame) -> DataFrame:
-    """Each node's neighbours are linked to the least of node and neighbours; ``links`` run from ``a`` to ``b``."""
+def _star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's neighbours are linked to the least of node and neighbours; ``links`` run from ``a`` to ``b``.
+
+    Gives the links and the written table of least nodes that they read.
+    """
     least = materialize(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
-    return join_hot(links, least, ["a"])
+    return join_hot(links, least, ["a"]), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,12 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
-        large = _star(both(edges)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large, least = _star(both(edges))
+        large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large-stars")
-        small = _star(large)
+        discard(least)
+        small, least = _star(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         before, edges = edges, materialize(small, "links")
-        discard(before, large)
+        discard(before, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == now:
             break

@@ -182,13 +182,15 @@ def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT, radius: int = RA
 
     Each level of nodes is written once, with the size of its nodes; the rows of a large node meet in no task.
     """
-    masks, rows, found = [0], prints.select(F.lit(0).cast("bigint").alias("mask"), "fp"), []
+    masks, rows, found, level = [0], prints.select(F.lit(0).cast("bigint").alias("mask"), "fp"), [], None
     while True:
         parts = {m: _parts(m, radius) for m in masks}
         split = F.create_map(*[x for m, p in parts.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in p]))])
         rows = rows.select(F.explode(split[F.col("mask")]).alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = materialize(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-        level = materialize(join_hot(rows, sizes, ["mask", "key"]), "level")
+        above, level = level, materialize(join_hot(rows, sizes, ["mask", "key"]), "level")
+        if above is not None:
+            discard(above)
         masks = [m for p in parts.values() for m in p]
         last = bin(masks[0]).count("1") >= SHARED_BITS or len(masks) >= MOST_MASKS
         large = level.where(F.col("n") > node_limit)
@@ -198,6 +200,7 @@ def near_links(prints: DataFrame, node_limit: int = NODE_LIMIT, radius: int = RA
         found.append(materialize(ordered.mapInArrow(lambda rows: _links(rows, radius), "a bigint, b bigint"), "level-links"))
         discard(sizes)
         if last:
+            discard(level)
             return reduce(DataFrame.union, found)
         rows = large.select("mask", "fp")
 
