@@ -19,11 +19,13 @@ from gridloom.operators.cells import unmerge
 from gridloom.plans import guard, router
 from gridloom.scratch import materialize
 from gridloom.session import ship
-from gridloom.sources import files
+from gridloom.sources import documents, files
 
 
 #: Phrases that ask for the columns of the last export.
 AS_BEFORE = re.compile(r"\bsame (columns?|fields?|layout|format)\b|\bas\b.{0,20}\b(before|last time|usual|earlier)\b|\b(i|we) (asked|wanted|agreed|specified)\b")
+#: What stands between the steps of a prompt.
+STEPS = re.compile(r"(?i)\band then\b|\bafter that\b|\bafterwards\b")
 #: Headings, characters of text and rows that an answer shows, and rows that a query must give within the deadline.
 HEADINGS, CHARACTERS, SAMPLE, PREVIEW = 60, 2000, 3, 1000
 
@@ -80,6 +82,13 @@ class Engine:
             self.outlines[file_id] = files.headings(html)
             self.catalog.add_table(file_id, "text", page.select(F.lit(1).alias("page"), files.visible_text(F.col("text")).alias("text"), "content_key"), 1)
             self._add_cells(file_id, *files.html_tables(html), lambda _: 1)
+        elif extension in documents.PARSERS:
+            rows = materialize(documents.read_documents(self.spark, path), "document")
+            self.outlines[file_id] = documents.headings_of(rows)
+            self.catalog.add_table(file_id, "text", documents.page_texts(rows))
+            cells, merges = documents.tables_of(rows)
+            pages = {r.sheet: r.at for r in cells.groupBy("sheet").agg(F.min("page").alias("at")).collect()}
+            self._add_cells(file_id, cells, merges, lambda label: pages.get(label, pages.get(label.rpartition(" (block")[0])))
         elif extension in ("txt", "md"):
             self.catalog.add_table(file_id, "text", files.pages_of(files.read_text(self.spark, path)))
         else:
@@ -99,8 +108,8 @@ class Engine:
             one = cat.scope(one, self.catalog.file_rows().select("file_id", "name", "pos"))
         else:
             one = one.withColumn("scope", F.array().cast("array<string>"))
-        named = one.first()["scope"]
-        targets = [file_id] if file_id else named or list(self.catalog.files)
+        known = F.array(*[F.lit(f) for f in self.catalog.files]).cast("array<string>")
+        targets = one.select(cat.target_files(F.lit(file_id), F.col("scope"), known).alias("files")).first()["files"]
         tabular = any(self.catalog.files[f]["kind"] == "tabular" for f in targets if f in self.catalog.files)
         return router.routed(one, "prompt", tabular).first().asDict(recursive=True) | {"files": targets}
 
@@ -113,11 +122,29 @@ class Engine:
         return df
 
     def ask(self, prompt: str, session: str = "default", file_id: str | None = None, sql: str | None = None) -> Answer:
+        """Answers a prompt. One of several steps (``and then``) is answered step by step, each on what the last one gave."""
         began, plan = time.time(), self.plan(prompt, file_id)
-        answer = self._answer(prompt, session, plan, sql)
+        steps = [s.strip(" ,.") for s in STEPS.split(prompt)]
+        several = plan["intent"] == "complex" or (plan["sink"] is not None and sum(map(bool, steps)) > 1)
+        answer = self._steps(steps, session, file_id, sql) if several else self._answer(prompt, session, plan, sql)
         self.history.setdefault(session, []).append({"prompt": prompt, "intent": answer.intent, "text": answer.text, "seconds": round(time.time() - began, 2)})
         return answer
 
+    def _steps(self, steps: list[str], session: str, file_id: str | None, sql: str | None) -> Answer:
+        """Each step has the intent of its own words; a step that only names a file writes what the step before gave."""
+        done: list[Answer] = []
+        for step in filter(None, steps):
+            plan = self.plan(step, file_id)
+            before = next((a.table for a in reversed(done) if a.table is not None), None)
+            if plan["intent"] == "export" and before is not None:
+                frames, verdict = prepared([cat.Table("", "previous", before)], plan["columns"], plan["rename"])
+                written = self._write(frames, plan, "export")
+                done.append(Answer("export", written.message if verdict is None or verdict.ok else f"{written.message} (unverified: {'; '.join(verdict.problems)})", before, written=written))
+            else:
+                done.append(self._answer(step, session, plan, sql if plan["intent"] == "data_query" else None))
+        last = done[-1]
+        return Answer("complex", "\n\n".join(a.text for a in done if a.text), next((a.table for a in reversed(done) if a.table is not None), None), next((a.sql for a in done if a.sql), None), last.written)
+
     def _answer(self, prompt: str, session: str, plan: dict, sql: str | None) -> Answer:
         intent, targets = plan["intent"], plan["files"]
         if intent == "chat_history":
