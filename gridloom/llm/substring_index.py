@@ -195,11 +195,14 @@ class FingerprintIndex:
     the index's state after every batch; :meth:`open` goes on from there in another application.
     """
 
+    #: A batch of fewer than one in so many rows of the index is joined with the index's rows of its own parts alone.
+    SMALL = 8
+
     def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4, hot: list[int] | None = None, path: str | None = None):
         self.spark, self.max_runs, self.hot = spark, max_runs, hot or []
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.path = (path or scratch_path(spark, "index")).rstrip("/")
-        self.made = self.live = self.generation = self.steps = 0
+        self.made = self.live = self.generation = self.steps = self.rows = 0
         self._name_table()
 
     @classmethod
@@ -207,7 +210,7 @@ class FingerprintIndex:
         """The index below ``path`` as its last whole batch left it; what an ended batch had begun is deleted."""
         at = spark.read.parquet(f"{path.rstrip('/')}/state").orderBy(F.desc("step")).first()
         out = cls(spark, at.buckets, at.max_runs, list(at.hot), path)
-        out.made, out.live, out.generation, out.steps = at.made, at.live, at.generation, at.step + 1
+        out.made, out.live, out.generation, out.rows, out.steps = at.made, at.live, at.generation, at.rows, at.step + 1
         known = {f"run={i}" for i in range(at.made)}
         for folder in _children(spark, out.path):
             if folder.startswith("runs-") and folder != f"runs-{at.generation}":
@@ -229,8 +232,8 @@ class FingerprintIndex:
         return f"{self.path}/runs-{self.generation}"
 
     def _save(self) -> None:
-        state = [(self.buckets, self.max_runs, self.hot, self.made, self.live, self.generation)]
-        df = self.spark.createDataFrame(state, "buckets int, max_runs int, hot array<bigint>, made int, live int, generation int")
+        state = [(self.buckets, self.max_runs, self.hot, self.made, self.live, self.generation, self.rows)]
+        df = self.spark.createDataFrame(state, "buckets int, max_runs int, hot array<bigint>, made int, live int, generation int, rows bigint")
         df.coalesce(1).write.parquet(f"{self.path}/state/step={self.steps}")
         self.steps += 1
 
@@ -242,6 +245,21 @@ class FingerprintIndex:
         self.made, self.live = self.made + 1, self.live + 1
         release(self.spark)
 
+    def _run(self) -> DataFrame:
+        """The run written last."""
+        return self.spark.table(self.name).where(F.col("run") == self.made - 1)
+
+    def _to_join(self) -> DataFrame:
+        """The rows that the last run's are compared with: all runs, of which a small batch's parts are enough."""
+        n = self._run().count()
+        self.rows += n
+        every = self.spark.table(self.name)
+        if n * self.SMALL >= self.rows:
+            return every
+        # The contents of a hot gram lie in many parts.
+        parts = self._run().select("part").union(every.where(F.col("gram").isin(self.hot)).select("part"))
+        return skew.only_keys(every, materialize(parts.distinct(), "parts"), ["part"])
+
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Indexes ``batch`` (``d``, ``h``, ``data``) and merge-joins it with the live runs.
 
@@ -256,7 +274,7 @@ class FingerprintIndex:
         gram = Window.partitionBy("part", "gram").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         new, known = F.col("run") == self.made - 1, F.col("s").isNull()
         rows = (
-            self.spark.table(self.name)
+            self._to_join()
             .withColumn("first", F.min("d").over(content))
             .withColumn("leads", ~known & (F.col("d") == F.col("first")))
             .withColumns({"mixed": F.min("s").over(gram) != F.max("s").over(gram), "fresh": F.max(new & F.col("leads")).over(gram)})
@@ -287,6 +305,7 @@ class FingerprintIndex:
         self.live, self.generation = 0, self.generation + 1
         self._name_table()
         self._write_run(kept)
+        self.rows = self._run().count()
         self._save()
         self.spark.sql(f"DROP TABLE {old}")
         delete(self.spark, folder)

@@ -58,3 +58,19 @@ def test_a_later_session_goes_on(spark, texts, max_runs):
     assert cuts([*parts, once_more], texts) == want
     again.drop()
     assert not index._children(spark, path.rsplit("/", 1)[0]).count(path.rsplit("/", 1)[1])
+
+
+@pytest.mark.parametrize("keys", [1, 1_000_000])
+def test_a_small_batch_reads_the_parts_it_needs(spark, texts, monkeypatch, keys):
+    whole = index.FingerprintIndex(spark, buckets=3)
+    want = cuts([whole.add(batch(texts, i)) for i in range(3)], texts)
+    whole.drop()
+    monkeypatch.setattr(index.skew, "BROADCAST_KEYS", keys)  # the parts are broadcast, or joined by shuffle
+    monkeypatch.setattr(index.FingerprintIndex, "SMALL", 1)  # the second and the third batch are smaller than what is there
+    small = index.FingerprintIndex(spark, buckets=3)
+    read = []
+    to_join = small._to_join
+    monkeypatch.setattr(small, "_to_join", lambda: (lambda df: (read.append((df.count(), small.rows)), df)[1])(to_join()))
+    parts = [small.add(batch(texts, i)) for i in range(3)]
+    assert cuts(parts, texts) == want and read[0][0] == read[0][1] and all(n < rows for n, rows in read[1:])
+    small.drop()
