@@ -23,10 +23,17 @@ def session(app: str = "gridloom", master: str | None = None, **more: str) -> Sp
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch: rows hold whole texts, and a batch is held several times by the executor and its worker.
+BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that their Python workers can import it."""
+    """Sends this package to the executors once per application, so that their Python workers can import it.
+
+    Batches of Spark's own default size are made smaller; a size that the session sets is left alone.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
