@@ -62,3 +62,33 @@ def without_fences(text: Column) -> Column:
 def record_card(columns: list[str]) -> Column:
     """``name: value`` lines of a row; nulls are left out."""
     return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(f"`{c}`").cast("string")) for c in columns])
+
+
+# The characters of Windows-1252 from 0x80 to 0x9F (unassigned ones stand for themselves), ligatures,
+# and marks with their plain forms.
+_CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+_CURLY, _STRAIGHT = "‘’‚‛“”„‟", "\'\'\'\'\"\"\"\""
+
+
+def unmangled(text: Column, rounds: int = 2) -> Column:
+    """Text whose UTF-8 bytes were read as Latin-1 or Windows-1252, read right; up to ``rounds`` times over.
+
+    Only a text that is such bytes as a whole, with a character of several bytes among them, is changed.
+    """
+    for _ in range(rounds):
+        raw = F.translate(text, _CP1252, "".join(map(chr, range(0x80, 0xA0))))
+        bytes_ = F.when(raw.rlike(r"[\u00C2-\u00F4][\u0080-\u00BF]") & ~raw.rlike(r"[^\u0000-\u00FF]"), F.encode(raw, "ISO-8859-1"))
+        read = bytes_.cast("string")
+        text = F.when(F.coalesce(F.is_valid_utf8(read), F.lit(False)), read).otherwise(text)
+    return text
+
+
+def repaired(text: Column) -> Column:
+    """Recognised or copied text made plain: unmangled, ligatures spelt out, quotes straight, line breaks alike, and
+    without control and zero-width characters."""
+    out = F.make_valid_utf8(unmangled(text))
+    for mark, plain in _LIGATURES.items():
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    out = F.regexp_replace(F.translate(out, _CURLY, _STRAIGHT), r"\r\n?|[\u2028\u2029\u0085]", "\n")
+    return F.regexp_replace(out, r"[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F-\u009F\u200B\u2060\uFEFF]", "")

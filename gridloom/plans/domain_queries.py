@@ -383,6 +383,15 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", files.visible_text(F.col("html")).alias("text"))
 
 
+# Every text as it looks after its UTF-8 bytes were read as Latin-1, once and twice over, and repaired again.
+@query("SELECT doc_id, md5(text) AS once, md5(text) AS twice, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mangled = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", mangled(F.col("text")).alias("once"))
+    found = docs.select("doc_id", text.unmangled(F.col("once")).alias("once"), text.unmangled(mangled(F.col("once"))).alias("twice"))
+    return found.select("doc_id", F.md5("once").alias("once"), F.md5("twice").alias("twice"), F.char_length("once").cast("bigint").alias("n"))
+
+
 # Streams, drained to the end and read back
 
 
