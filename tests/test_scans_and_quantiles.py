@@ -4,10 +4,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import quantiles, relational, scans
+from gridloom.operators import quantiles, relational
 from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.scans import Scan, asof_join, scanned
 
