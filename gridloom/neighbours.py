@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from gridloom.scratch import discard, materialize
 
 SAMPLE, MOST_CELLS, BLOCK, STRIP = 20_000, 4096, 4096, 256
+#: Numbers of differences between queries and centroids that a task holds at a time.
+CELLS_AT_ONCE = 1 << 22
 #: Queries of which the exact neighbours tell how many cells to probe.
 CALIBRATION = 200
 #: Rounding that a bound must not cut into.
@@ -130,7 +132,8 @@ class VectorIndex:
                     continue
                 x = _matrix(b.column(1), d)
                 bounds = np.asarray(b.column(2)) if bounded else np.full(len(x), np.inf)
-                far = np.concatenate([np.sqrt(((x[i : i + 64, None, :] - at.centroids[None]) ** 2).sum(2)) for i in range(0, len(x), 64)])
+                step = max(1, CELLS_AT_ONCE // max(1, at.centroids.size))
+                far = np.concatenate([np.sqrt(((x[i : i + step, None, :] - at.centroids[None]) ** 2).sum(2)) for i in range(0, len(x), step)])
                 if bounded:
                     chosen = [np.setdiff1d(at.reachable(f, u), at.home(f, k)) for f, u in zip(far, bounds, strict=True)]
                 elif probes is not None:
