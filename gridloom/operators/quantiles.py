@@ -11,15 +11,13 @@ Nulls and NaN take no part; a group without values has null quantiles. Values be
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.relational import maybe_broadcast
 from gridloom.scratch import discard, materialize
 
-ACCURACY, MOST, STEPS = 10_000, 100_000, 16
+ACCURACY, MOST, STEPS = 2_000, 100_000, 16
 
 
 def _brackets(rows: DataFrame, shares: list[float]) -> DataFrame:
@@ -59,7 +57,7 @@ def _narrowed(rows: DataFrame, brackets: DataFrame) -> DataFrame:
         "g", "least", "most", "place", "exact", "rank",
         F.when(early, F.col("least")).when(late | found_z, z).when(found_a, a).when(wide, lower).otherwise(a).alias("a"),
         F.when(late, F.col("most")).when(early | found_a, a).when(found_z, z).when(wide, upper).otherwise(z).alias("z"),
-        (early | late | (~found_a & ~found_z & wide)).alias("again"), "below",
+        (early | late | (~found_a & ~found_z & wide)).alias("again"), F.when(found_z, F.col("below") + F.col("at_a") + F.col("mid")).otherwise(F.col("below")).alias("below"),
     )
 
 
@@ -76,15 +74,11 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str
         before, brackets = brackets, materialize(_narrowed(rows, brackets.drop("again", "below")), "brackets")
         discard(before)
         again = bool(brackets.where("again").take(1))
-    # What lies between the ends, and the ends themselves, by value: at most ``MOST`` values and two more.
-    values = _within(rows, brackets.drop("below")).where(F.col("v").between(F.col("a"), F.col("z"))).groupBy("g", "place", "rank", "v").agg(F.count("*").alias("n"))
-    below = _within(rows, brackets.drop("below")).groupBy("g", "place", "rank").agg(F.sum((F.col("v") < F.col("a")).cast("bigint")).alias("below"))
-    keyed = [F.col("g").eqNullSafe(F.col("h")), F.col("place") == F.col("at"), F.col("rank") == F.col("r")]
-    numbered = values.join(maybe_broadcast(below.toDF("h", "at", "r", "below")), reduce(Column.__and__, keyed)).drop("h", "at", "r")
+    # What lies between the ends, and the ends themselves, by value: at most ``MOST`` values and two more for each rank.
+    values = _within(rows, brackets).where(F.col("v").between(F.col("a"), F.col("z"))).groupBy("g", "place", "rank", "exact", "below", "v").agg(F.count("*").alias("n"))
     upto = F.col("below") + F.sum("n").over(Window.partitionBy("g", "place", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = numbered.withColumn("end", upto).where(F.col("end") > F.col("rank")).groupBy("g", "place", "rank").agg(F.min("v").cast("double").alias("x"))
-    exact = brackets.select(F.col("g").alias("h"), F.col("place").alias("at"), F.col("rank").alias("r"), "exact")
-    both = picked.join(maybe_broadcast(exact), reduce(Column.__and__, keyed)).groupBy("g", "place", "exact").agg(F.min_by("x", "rank").alias("x"), F.max_by("x", "rank").alias("y"))
+    picked = values.withColumn("end", upto).where(F.col("end") > F.col("rank")).groupBy("g", "place", "exact", "rank").agg(F.min("v").cast("double").alias("x"))
+    both = picked.groupBy("g", "place", "exact").agg(F.min_by("x", "rank").alias("x"), F.max_by("x", "rank").alias("y"))
     low, high = F.floor("exact"), F.ceil("exact")
     between = F.when(low == high, F.col("x")).otherwise((high - F.col("exact")) * F.col("x") + (F.col("exact") - low) * F.col("y"))
     found = both.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", between.alias("q")))), lambda s: s["q"]).alias(name))  # as many as shares
