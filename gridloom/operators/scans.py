@@ -28,11 +28,11 @@ class Scan:
     def inside(self, keys: list[str]) -> Column:
         """The value over the rows of the range up to this one."""
         order = Window.partitionBy("__range", *keys).orderBy("__no")
-        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         if self.kind == "next":
-            return F.first(self.value, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        use = {"sum": F.sum, "max": F.max, "min": F.min, "count": lambda _: F.count(F.lit(1)), "last": lambda v: F.last(v, ignorenulls=True)}
-        return use[self.kind](self.value).over(so_far)
+            order = Window.partitionBy("__range", *keys).orderBy(F.desc("__no"))  # backwards: a frame that shrinks is summed up anew for every row
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        use = {"sum": F.sum, "max": F.max, "min": F.min, "count": lambda _: F.count(F.lit(1))}
+        return use.get(self.kind, lambda v: F.last(v, ignorenulls=True))(self.value).over(so_far)
 
     def total(self) -> Column:
         """The value over all rows of a range."""
@@ -44,11 +44,10 @@ class Scan:
 
     def carried(self, total: str, keys: list[str]) -> Column:
         """The value over the ranges before (after, for ``next``) this one."""
-        order = Window.partitionBy(*keys).orderBy("__range")
-        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-        if self.kind == "next":
-            return F.first(total, ignorenulls=True).over(after)
-        use = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+        order = Window.partitionBy(*keys).orderBy(F.desc("__range") if self.kind == "next" else F.asc("__range"))
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        known = lambda c: F.last(c, ignorenulls=True)
+        use = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": known, "next": known}
         return use[self.kind](total).over(before)
 
     def joined(self, inside: Column, carried: Column) -> Column:

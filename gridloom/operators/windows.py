@@ -21,16 +21,18 @@ def fill_forward(value: str, spec: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def fill_backward(value: str, spec: WindowSpec) -> Column:
-    return F.first(value, ignorenulls=True).over(spec.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def fill_backward(value: str, reverse: WindowSpec) -> Column:
+    """The next known value; ``reverse`` has the rows in reverse order, as a frame that shrinks is read anew for every row."""
+    return fill_forward(value, reverse)
 
 
-def interpolated(value: str, at: str, spec: WindowSpec) -> Column:
+def interpolated(value: str, at: str, partition: list[str]) -> Column:
     """Linear between the known neighbours by ``at``; at the end the last known value stays."""
     known_at = F.when(F.col(value).isNotNull(), F.col(at))
-    back, ahead = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow), spec.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    v0, v1 = F.last(value, True).over(back), F.first(value, True).over(ahead)
-    t0, t1 = F.last(known_at, True).over(back), F.first(known_at, True).over(ahead)
+    rows = Window.partitionBy(*partition).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back, ahead = rows.orderBy(at), rows.orderBy(F.desc(at))
+    v0, v1 = F.last(value, True).over(back), F.last(value, True).over(ahead)
+    t0, t1 = F.last(known_at, True).over(back), F.last(known_at, True).over(ahead)
     return F.when(F.col(value).isNotNull() | v1.isNull(), v0).otherwise(v0 + (v1 - v0) * (F.col(at) - t0) / (t1 - t0))
 
 

@@ -376,7 +376,7 @@ KNOWN = "CASE WHEN event_id % 3 = 0 THEN value END"
 def win_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return e.select("event_id", windows.fill_forward("v", w).alias("forward"), windows.fill_backward("v", w).alias("backward"))
+    return e.select("event_id", windows.fill_forward("v", w).alias("forward"), windows.fill_backward("v", Window.partitionBy("user_id").orderBy(F.desc("event_id"))).alias("backward"))
 
 
 @query(
@@ -387,7 +387,7 @@ def win_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def win_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
-    return e.select("event_id", F.round(windows.interpolated("v", "event_id", Window.partitionBy("user_id").orderBy("event_id")), 6).alias("filled"))
+    return e.select("event_id", F.round(windows.interpolated("v", "event_id", ["user_id"]), 6).alias("filled"))
 
 
 @query(f"SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS second FROM events WINDOW w AS ({EVENTS_BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")

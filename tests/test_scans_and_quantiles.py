@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import quantiles, relational
 from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.scans import Scan, asof_join, scanned
+from gridloom.plans import relational_queries
 
 
 @pytest.fixture
@@ -49,6 +50,14 @@ def test_running_values(twenty_ranges, rows, keys):
     assert got == want
 
 
+def test_no_frame_shrinks(spark, rows, data):
+    """A frame from a row to the end is read anew for every row, which grows with the square of the rows."""
+    _, df = rows
+    frames = [scanned(df, ["i"], every(), ["k"]), relational_queries.win_fill(spark, data), relational_queries.win_interpolate(spark, data)]
+    for found in frames:
+        assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_no_task_holds_a_tenth(twenty_ranges, rows):
     _, df = rows
     for keys in ([], ["k"]):
