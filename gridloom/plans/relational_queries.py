@@ -433,7 +433,10 @@ def sort_limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, max_by(c_name, c_acctbal) AS richest, min_by(c_name, c_acctbal) AS poorest FROM customer GROUP BY 1")
 def arg_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max_by("c_name", "c_acctbal").alias("richest"), F.min_by("c_name", "c_acctbal").alias("poorest"))
+    """Of equal balances the one of least key, as DuckDB keeps the first row of a table; rows without a name or balance don't count."""
+    known = F.col("c_acctbal").isNotNull() & F.col("c_name").isNotNull()
+    most, least = F.when(known, F.struct("c_acctbal", -F.col("c_custkey"))), F.when(known, F.struct("c_acctbal", "c_custkey"))
+    return load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max_by("c_name", most).alias("richest"), F.min_by("c_name", least).alias("poorest"))
 
 
 # Sets

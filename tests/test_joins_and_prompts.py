@@ -99,3 +99,12 @@ def test_runs_leave_each_others_tables(spark):
         with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
             other.collect()
     scratch.discard(outside)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_extremes_of_equal_balances_are_those_of_the_least_key(spark, tmp_path, parts):
+    rows = [(k, None if k == 2 else f"c{k:03d}", k % 3, None if k < 3 else [5.0, -1.0][k // 3 % 2]) for k in range(60)] + [(60, None, 0, 9.0)]
+    df = spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey bigint, c_acctbal double")
+    df.repartition(parts).sortWithinPartitions("c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_nationkey: (r.richest, r.poorest) for r in relational_queries.arg_extremes(spark, str(tmp_path)).collect()}
+    assert got == {n: (f"c{n + 6:03d}", f"c{n + 3:03d}") for n in range(3)}
