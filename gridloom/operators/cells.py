@@ -1,7 +1,9 @@
 """From the raw cells of sheets to tables: unmerge, split into blocks, find headers, clean.
 
 Cells are rows ``sheet, row, col, value``, counted from zero; empty cells may be null or absent. Every step is keyed by
-sheet, so sheets are cleaned side by side however many there are.
+sheet, so sheets are cleaned side by side however many there are. Rows of a sheet are numbered in bins, and cells are
+joined by shuffle: they are often made of a few columns of a small file, from which Spark would take them for a table
+that it may broadcast.
 """
 
 from __future__ import annotations
@@ -10,6 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import has_digit, is_alphabetic, is_number_like
+from gridloom.scratch import materialize
+
+#: Merged ranges, the cells they cover and the bytes of those are broadcast up to these figures, which are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Rows of a sheet that one window numbers.
+BIN = 1 << 16
 
 
 def unmerge(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -21,10 +29,38 @@ def unmerge(cells: DataFrame, merges: DataFrame) -> DataFrame:
     covered = merges.select("sheet", "r0", "c0", F.explode(F.sequence("r0", "r1")).alias("row"), "c1").select(
         "sheet", "r0", "c0", "row", F.explode(F.sequence("c0", "c1")).alias("col")
     )
-    anchors = cells.select("sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("filled"))
-    filled = covered.join(anchors, ["sheet", "r0", "c0"], "left").groupBy("sheet", "row", "col").agg(F.max_by("filled", F.struct("r0", "c0")).alias("filled"), F.lit(True).alias("merged"))
-    joined = cells.join(filled, ["sheet", "row", "col"], "full")
-    return joined.select("sheet", "row", "col", F.when(F.col("merged"), F.col("filled")).otherwise(F.col("value")).alias("value"))
+    corners = merges.select("sheet", "r0", "c0").distinct()
+    corners = F.broadcast(corners) if merges.count() <= BROADCAST_ROWS else corners.hint("merge")
+    anchors = cells.select("sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("filled")).join(corners, ["sheet", "r0", "c0"])
+    filled = covered.join(anchors.hint("merge"), ["sheet", "r0", "c0"], "left").groupBy("sheet", "row", "col").agg(F.max_by("filled", F.struct("r0", "c0")).alias("filled"), F.lit(True).alias("merged"))
+    filled = materialize(filled, "merged")
+    n, size = filled.agg(F.count("*"), F.sum(F.octet_length("filled"))).first()
+    value = F.when(F.col("merged"), F.col("filled")).otherwise(F.col("value")).alias("value")
+    if n > BROADCAST_ROWS or (size or 0) > BROADCAST_BYTES:
+        return cells.join(filled.hint("merge"), ["sheet", "row", "col"], "full").select("sheet", "row", "col", value)
+    given = cells.join(F.broadcast(filled), ["sheet", "row", "col"], "left").select("sheet", "row", "col", value)
+    met = cells.join(F.broadcast(filled), ["sheet", "row", "col"], "left_semi").select("sheet", "row", "col").distinct()
+    return given.unionByName(filled.join(met.hint("merge"), ["sheet", "row", "col"], "left_anti").select("sheet", "row", "col", F.col("filled").alias("value")))
+
+
+def _numbered(cells: DataFrame, blank_run: int) -> tuple[DataFrame, DataFrame]:
+    """The filled rows (``sheet, row, part, place``: number of the run of rows, number in the sheet), and ``height`` of each sheet.
+
+    Each bin of a sheet's rows is numbered inside, and goes on from what the bins before it add up to.
+    """
+    bin_of = F.floor(F.col("row") / BIN).alias("bin")
+    rows = materialize(cells.groupBy("sheet", "row").agg(F.max(F.col("value").isNotNull()).alias("filled")), "rows")
+    extent = rows.groupBy("sheet").agg((F.max("row") + 1).alias("height"))
+    filled = rows.where("filled").select("sheet", "row", bin_of)
+    inside, before = Window.partitionBy("sheet", "bin").orderBy("row"), Window.partitionBy("sheet").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = filled.groupBy("sheet", "bin").agg(F.max("row").alias("end")).select("sheet", "bin", F.max("end").over(before).alias("end"))
+    previous = F.coalesce(F.lag("row").over(inside), F.col("end"))
+    started = filled.join(ends, ["sheet", "bin"]).withColumn("starts", F.coalesce(F.col("row") - previous > blank_run, F.lit(True)).cast("int")).drop("end")
+    started = materialize(started, "starts")
+    sums = started.groupBy("sheet", "bin").agg(F.sum("starts").alias("parts"), F.count("*").alias("places"))
+    sums = sums.select("sheet", "bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("parts", "places")])
+    numbered = started.join(sums, ["sheet", "bin"]).select("sheet", "row", (F.col("parts") + F.sum("starts").over(inside)).alias("part"), (F.col("places") + F.row_number().over(inside)).alias("place"))
+    return materialize(numbered, "numbered"), extent
 
 
 def blocks(cells: DataFrame, blank_run: int = 2) -> DataFrame:
@@ -33,16 +69,16 @@ def blocks(cells: DataFrame, blank_run: int = 2) -> DataFrame:
     A run of ``blank_run`` empty rows or more ends a block; blocks of one row are dropped. The last block may count one
     empty row after it.
     """
-    rows = cells.groupBy("sheet", "row").agg(F.max(F.col("value").isNotNull()).alias("filled"))
-    extent = rows.groupBy("sheet").agg((F.max("row") + 1).alias("height"))
-    order = Window.partitionBy("sheet").orderBy("row")
-    started = rows.where("filled").withColumn("starts", F.coalesce(F.col("row") - F.lag("row").over(order) > blank_run, F.lit(True)).cast("int"))
-    numbered = started.withColumn("part", F.sum("starts").over(order))
-    parts = numbered.groupBy("sheet", "part").agg(F.min("row").alias("first"), (F.max("row") + 1).alias("past")).join(extent, "sheet")
-    last = F.max("part").over(Window.partitionBy("sheet")) == F.col("part")
-    tail = F.when(last & (F.col("height") - F.col("past") < blank_run), F.col("height")).otherwise(F.col("past"))
+    return _blocks(*_numbered(cells, blank_run), blank_run).drop("part")
+
+
+def _blocks(numbered: DataFrame, extent: DataFrame, blank_run: int) -> DataFrame:
+    parts = numbered.groupBy("sheet", "part").agg(F.min("row").alias("first"), (F.max("row") + 1).alias("past"))
+    ends = parts.groupBy("sheet").agg(F.max("part").alias("last")).join(extent, "sheet")
+    parts = parts.join(ends, "sheet")
+    tail = F.when((F.col("last") == F.col("part")) & (F.col("height") - F.col("past") < blank_run), F.col("height")).otherwise(F.col("past"))
     kept = parts.withColumn("past", tail).where(F.col("past") - F.col("first") >= 2)
-    return kept.select("sheet", F.row_number().over(Window.partitionBy("sheet").orderBy("first")).alias("block"), "first", "past")
+    return kept.select("sheet", F.row_number().over(Window.partitionBy("sheet").orderBy("first")).alias("block"), "first", "past", "part")
 
 
 def header_scores(cells: DataFrame, found: DataFrame, scan: int = 15) -> DataFrame:
@@ -54,7 +90,7 @@ def header_scores(cells: DataFrame, found: DataFrame, scan: int = 15) -> DataFra
     width = cells.groupBy("sheet").agg((F.max("col") + 1).alias("width"))
     lines = found.select("sheet", "block", "first", "past", F.explode(F.sequence(F.col("first"), F.least(F.col("past"), F.col("first") + scan + 1) - 1)).alias("row"))
     text = F.trim(F.col("value"))
-    value = lines.join(cells.where("value is not null"), ["sheet", "row"], "left").groupBy("sheet", "block", "first", "past", "row").agg(
+    value = lines.join(cells.where("value is not null").hint("merge"), ["sheet", "row"], "left").groupBy("sheet", "block", "first", "past", "row").agg(
         F.count("value").alias("n"),
         F.avg((~is_number_like(text)).cast("double")).alias("text"),
         F.count_distinct(text).alias("kinds"),
@@ -71,7 +107,7 @@ def header_scores(cells: DataFrame, found: DataFrame, scan: int = 15) -> DataFra
 def headers(cells: DataFrame, found: DataFrame, scan: int = 15) -> DataFrame:
     """The header row of each block: the best score, the earliest of equals, the first row if none has a score."""
     best = header_scores(cells, found, scan).groupBy("sheet", "block").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("best"))
-    return found.join(best, ["sheet", "block"], "left").withColumn("header", F.coalesce("best", "first")).drop("best")
+    return found.join(best.hint("merge"), ["sheet", "block"], "left").withColumn("header", F.coalesce("best", "first")).drop("best")
 
 
 def tables(cells: DataFrame, blank_run: int = 2, least_columns: int = 2) -> DataFrame:
@@ -80,20 +116,23 @@ def tables(cells: DataFrame, blank_run: int = 2, least_columns: int = 2) -> Data
     Columns and rows without values are dropped; rows and columns are counted anew; a table has ``least_columns``
     columns or more. A sheet of one block is labelled by its name, others by ``name (block k)``.
     """
-    found = headers(cells, blocks(cells, blank_run))
+    numbered, extent = _numbered(cells, blank_run)
+    found = headers(cells, materialize(_blocks(numbered, extent, blank_run), "blocks"))
     many = F.count("*").over(Window.partitionBy("sheet")) > 1
     labelled = found.withColumn("table", F.when(many, F.concat("sheet", F.lit(" (block "), F.col("block").cast("string"), F.lit(")"))).otherwise(F.col("sheet")))
-    inside = cells.where("value is not null").join(labelled, "sheet").where("row between first and past - 1")
-    body = inside.where("row > header")
-    names = inside.where("row = header").select("table", "col", F.trim("value").alias("header_text"))
-    by_row = Window.partitionBy("table").orderBy("row")
+    heads = labelled.join(numbered.select("sheet", F.col("row").alias("header"), F.col("place").alias("header_place")).hint("merge"), ["sheet", "header"]).select("sheet", "part", "table", "header_place")
+    # A row of a part is the header, above it or a line of the table; its number follows from places in the sheet.
+    lines = numbered.join(heads.hint("merge"), ["sheet", "part"]).select("sheet", "row", "table", (F.col("place") - F.col("header_place") - 1).cast("int").alias("line")).where("line >= -1")
+    inside = cells.where("value is not null").join(lines.hint("merge"), ["sheet", "row"]).select("table", "line", "col", "value")
+    inside = materialize(inside, "inside")
+    body = inside.where("line >= 0")
+    names = inside.where("line = -1").select("table", "col", F.trim("value").alias("header_text"))
     by_col = Window.partitionBy("table").orderBy("col")
-    lines = body.groupBy("table", "row").count().select("table", "row", (F.row_number().over(by_row) - 1).alias("line"))
-    columns = body.groupBy("table", "col").count().join(names, ["table", "col"], "left")
+    columns = body.groupBy("table", "col").count().join(names.hint("merge"), ["table", "col"], "left")
     columns = columns.select("table", "col", F.coalesce(F.nullif("header_text", F.lit("")), F.concat(F.lit("col_"), F.col("col").cast("string"))).alias("raw"), (F.row_number().over(by_col) - 1).alias("place"))
     columns = columns.withColumn("width", F.count("*").over(Window.partitionBy("table"))).where(F.col("width") >= least_columns)
     named = columns.withColumn("name", unique_name("table", "raw", "place")).drop("raw", "width")
-    return body.join(named, ["table", "col"]).join(lines, ["table", "row"]).select("table", F.col("line").alias("row"), F.col("place").alias("col"), "name", "value")
+    return body.join(named.hint("merge"), ["table", "col"]).select("table", F.col("line").alias("row"), F.col("place").alias("col"), "name", "value")
 
 
 def unique_name(group: str, name: str, place: str) -> F.Column:

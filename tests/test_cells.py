@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from gridloom.operators import cells as c
 from gridloom.operators import ocr
+from gridloom.plans import domain_queries
 
 CELLS = "sheet string, row int, col int, value string"
 
@@ -81,3 +82,44 @@ def test_ocr_columns_anchor_at_the_last_bound(spark):
     assert cells == {(0, 0): "a b", (0, 1): "c", (1, 0): "d", (1, 1): "e"}
     pages = {r.page: (r.text, r.avg_conf, r.n_words) for r in ocr.page_text(df).collect()}
     assert pages == {"p": ("a b c\nd e", 90.0, 5), "q": ("x", 0.0, 1)}
+
+
+def broadcast_of(df, node):
+    """Whether a broadcast holds the rows of ``node``, not a sum of them."""
+    depth, lines = None, df._jdf.queryExecution().executedPlan().toString().splitlines()
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-*"))
+        if depth is not None and (at <= depth or "Aggregate" in line):
+            depth = None
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        if depth is not None and node in line:
+            return True
+    return False
+
+
+def test_cells_are_not_broadcast(spark, data):
+    """Cells are made of a file that is far smaller than they are."""
+    cells = domain_queries._cells(spark, data)
+    for found in (c.unmerge(cells, domain_queries._merges(spark)), c.headers(cells, c.blocks(cells)), c.tables(cells)):
+        assert not broadcast_of(found, "Generate")
+
+
+def test_many_merges_join_by_shuffle(spark, monkeypatch):
+    df = grid(spark, [["a", None, "b"], ["c", "d", None]])
+    merges = spark.createDataFrame([("s", 0, 0, 1, 1), ("s", 1, 1, 3, 3), ("t", 0, 0, 0, 0)], "sheet string, r0 int, c0 int, r1 int, c1 int")
+    rows = lambda: sorted(map(tuple, c.unmerge(df, merges).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(c, "BROADCAST_ROWS", 2)
+    assert rows() == want and len(want) == 14
+
+
+def test_blocks_over_many_bins(spark, monkeypatch):
+    """Blocks and lines go on over the ends of bins."""
+    lines = [["k", "v"] if i in (3, 30) else [str(i), "x"] if i % 11 < 9 and i != 20 else [None, None] for i in range(60)]
+    df = grid(spark, lines)
+    whole = sorted(map(tuple, c.tables(df).collect()))
+    monkeypatch.setattr(c, "BIN", 4)
+    assert sorted(map(tuple, c.tables(df).collect())) == whole
+    got = [(r["first"], r.past) for r in c.blocks(df).orderBy("block").collect()]
+    assert got == model_blocks([any(r) for r in lines])
