@@ -89,6 +89,24 @@ class Cells:
         return np.flatnonzero((least <= bound + SLACK) & (self.sizes > 0))
 
 
+def visits(x: np.ndarray, bounds: np.ndarray, at: Cells, k: int, probes: int | None, bounded: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries, the cells they visit and the distances of these, for some queries at a time.
+
+    A query may visit every cell, so what is handed on at once holds no more numbers than the differences do.
+    """
+    step = max(1, CELLS_AT_ONCE // max(1, at.centroids.size))
+    for low in range(0, len(x), step):
+        far = np.sqrt(((x[low : low + step, None, :] - at.centroids[None]) ** 2).sum(2))
+        if bounded:
+            chosen = [np.setdiff1d(at.reachable(f, u), at.home(f, k)) for f, u in zip(far, bounds[low : low + step], strict=True)]
+        elif probes is not None:
+            chosen = [np.argsort(f, kind="stable")[:probes] for f in far]
+        else:
+            chosen = [at.home(f, k) for f in far]
+        each, cell = np.repeat(np.arange(len(far)), [len(c) for c in chosen]), np.concatenate(chosen)
+        yield low + each, cell, far[each, cell]
+
+
 class VectorIndex:
     """All usable vectors of a table by cell, written to the shared scratch folder."""
 
@@ -132,19 +150,11 @@ class VectorIndex:
                     continue
                 x = _matrix(b.column(1), d)
                 bounds = np.asarray(b.column(2)) if bounded else np.full(len(x), np.inf)
-                step = max(1, CELLS_AT_ONCE // max(1, at.centroids.size))
-                far = np.concatenate([np.sqrt(((x[i : i + step, None, :] - at.centroids[None]) ** 2).sum(2)) for i in range(0, len(x), step)])
-                if bounded:
-                    chosen = [np.setdiff1d(at.reachable(f, u), at.home(f, k)) for f, u in zip(far, bounds, strict=True)]
-                elif probes is not None:
-                    chosen = [np.argsort(f, kind="stable")[:probes] for f in far]
-                else:
-                    chosen = [at.home(f, k) for f in far]
-                each = np.repeat(np.arange(len(x)), [len(c) for c in chosen])
-                cell = np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array(cell.astype(np.int32)), pa.array(far[each, cell]), pa.array(bounds[each]),
-                ], ["q", "v", "cell", "far", "bound"])
+                for each, cell, far in visits(x, bounds, at, k, probes, bounded):
+                    taken = pa.array(each)
+                    yield pa.RecordBatch.from_arrays([
+                        b.column(0).take(taken), b.column(1).take(taken), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(bounds[each]),
+                    ], ["q", "v", "cell", "far", "bound"])
 
         kind = dict(queries.dtypes)["q"]
         return queries.mapInArrow(choose, f"q {kind}, v array<double>, cell int, far double, bound double")

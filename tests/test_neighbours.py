@@ -75,3 +75,16 @@ def test_few_odd_and_no_vectors(spark):
     empty = neighbours.VectorIndex(df.limit(0))
     assert empty.nearest(df, 6).collect() == [] and empty.probes_for(0.9) == 1
     assert neighbours.VectorIndex(df).nearest(df.limit(0), 6).collect() == []
+
+
+def test_visits_are_handed_on_in_bounded_pieces(monkeypatch):
+    """Queries that visit every cell, as those of random directions do."""
+    monkeypatch.setattr(neighbours, "CELLS_AT_ONCE", 1 << 12)
+    rng = np.random.default_rng(4)
+    x, centroids = rng.standard_normal((500, 8)), rng.standard_normal((60, 8))
+    cells = neighbours.Cells(centroids, np.full(60, 10), np.zeros(60), np.full(60, 9.0))
+    pieces = list(neighbours.visits(x, np.full(500, np.inf), cells, 6, None, True))
+    assert max(len(each) for each, _, _ in pieces) * 8 <= 1 << 12
+    each, cell, far = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    assert len(set(zip(each.tolist(), cell.tolist(), strict=True))) == len(each) == 500 * 59
+    assert np.allclose(far, np.sqrt(((x[each] - centroids[cell]) ** 2).sum(1)))
