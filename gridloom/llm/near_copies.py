@@ -82,7 +82,7 @@ def _buckets(classes: DataFrame, node_limit: int, radius: int) -> DataFrame:
     members = placed.select("content", F.explode(F.array_distinct(F.concat(of_index, F.transform("bands", lambda x, i: F.xxhash64(i, x))))).alias("bucket"))
     members = materialize(members, "members")
     hubs = materialize(members.groupBy("bucket").agg(F.min("content").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    out = materialize(join_hot(members, hubs, ["bucket"]), "buckets")
+    out = materialize(join_hot(members, hubs, ["bucket"], always=True), "buckets")
     discard(prints, indexed, members, hubs)
     return out
 
@@ -179,7 +179,7 @@ def _linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     # First round: each hub with all that it is the hub of, once however many buckets they share.
     pairs = materialize(members.where("content <> hub").select("content", F.col("hub").alias("bucket")).distinct(), "pairs")
     counts = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("n")), "pair-counts")
-    stars = join_hot(pairs, counts, ["bucket"]).withColumn("hub", F.lit(False))
+    stars = join_hot(pairs, counts, ["bucket"], always=True).withColumn("hub", F.lit(False))
     hubs = counts.select("bucket", F.col("bucket").alias("content"), "n", F.lit(True).alias("hub"))
     links = _verified(_dealt(stars.unionByName(hubs)), sets)
     labels = materialize(components(links), "labels")
@@ -194,7 +194,7 @@ def _linked(members: DataFrame, sets: DataFrame) -> DataFrame:
             discard(labelled, mixed, pairs, counts)
             return labels
         turn = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("content", "bucket"), F.col("others")) < HUBS)
-        rows = materialize(join_hot(labelled, mixed, ["bucket"]).withColumn("hub", turn), "open")
+        rows = materialize(join_hot(labelled, mixed, ["bucket"], always=True).withColumn("hub", turn), "open")
         links = links.union(_verified(_dealt(rows), sets))
         labels = materialize(components(links), "labels")
         rest = rows.where("not hub").select("bucket", "content")

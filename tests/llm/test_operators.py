@@ -630,3 +630,13 @@ def test_bpe_on_odd_pieces():
     texts += ["a" * 7001, "x" * 40_000, "".join(rng.choice("abc") for _ in range(20_000)), "".join(rng.choice("日本語のテキスト") for _ in range(900)), "th" * 300 + "e" * 301, "=" * 999, "aaab" * 333]
     for t, ids in zip(texts, own.encode_all(texts), strict=True):
         assert ids == enc.encode_ordinary(t) and own.decode(ids) == t.encode()
+
+
+def test_bucket_joins_keep_one_plan(spark, tmp_path):
+    """With or without a hot bucket the rows are split the same way, and none is lost."""
+    rows = spark.createDataFrame([(i % 7, i) for i in range(70)] + [(None, 70)], "k int, i int")
+    path = str(tmp_path / "keyed")
+    rows.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n").write.parquet(path)
+    found = skew.join_hot(rows, spark.read.parquet(path), ["k"], always=True)
+    assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.i, r.n) for r in found.collect()) == sorted((i % 7, i, 10) for i in range(70))
