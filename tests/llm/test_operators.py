@@ -640,3 +640,18 @@ def test_bucket_joins_keep_one_plan(spark, tmp_path):
     found = skew.join_hot(rows, spark.read.parquet(path), ["k"], always=True)
     assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.k, r.i, r.n) for r in found.collect()) == sorted((i % 7, i, 10) for i in range(70))
+
+
+def test_rows_go_through_one_join_with_hot_keys_or_without(spark, tmp_path, monkeypatch):
+    """An anti-join ran only where some key was hot, and then had all rows: counts of one table and another did not compare."""
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i % 2, i) for i in range(300)] + [(None, 0, 300), (1, None, 301)], "k bigint, m int, i int")
+    path = str(tmp_path / "keyed")
+    rows.groupBy("k", "m").agg(F.count("*").alias("n")).where("coalesce(k, 0) <> 3").write.parquet(path)
+    keyed = spark.read.parquet(path)
+    plain = Counter(map(tuple, rows.join(keyed, ["k", "m"]).collect()))
+    for least in (0, 30, 10_000):
+        monkeypatch.setattr(skew, "HOT_ROWS", least)
+        found = skew.join_hot(rows, keyed, ["k", "m"])
+        assert Counter(map(tuple, found.collect())) == plain
+        assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+        assert skew.join_hot(rows, keyed, ["k", "m"], "left_semi").count() == sum(plain.values())
