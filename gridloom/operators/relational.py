@@ -40,13 +40,19 @@ def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     return joined.drop(*[f"__right_{k}" for k in on])
 
 
-def band_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+def band_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, keys: list[str] | None = None, how: str = "inner", clustered: bool = False) -> DataFrame:
     """Points joined to the ranges [low, high] they lie in.
 
     Both sides are laid out in bins of ``width``: a point has one bin, a range each it touches, so this is an equality
     join on the bin whatever the sizes. Choose ``width`` near the usual length of a range.
+
+    ``clustered`` is for results of far more rows than there are points: the points are dealt in ranges of their values
+    first, which shuffles each once, so that points that follow each other lie in the same ranges and files hold the
+    same rows of ranges over and over, which compress well. Equal values may fill many such ranges of points.
     """
     keys = keys or []
+    if clustered:
+        points = points.repartitionByRange(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(at), F.xxhash64(*points.columns))
     left = points.withColumn("__bin", F.floor(F.col(at) / width))
     right = ranges.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumnRenamed("__bin", "__r_bin")

@@ -109,7 +109,7 @@ def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, band FROM events JOIN (SELECT s_suppkey AS band, s_suppkey % 100 * 1.0 AS low, s_suppkey % 100 + 0.5 AS high FROM supplier) b ON value BETWEEN low AND high")
 def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("band"), (F.col("s_suppkey") % 100 * F.lit(1.0)).alias("low"), (F.col("s_suppkey") % 100 + F.lit(0.5)).alias("high"))
-    return rel.band_join(load(spark, sf_dir, "events"), bands, "value", "low", "high", 1.0).select("event_id", "band")
+    return rel.band_join(load(spark, sf_dir, "events").select("event_id", "value"), bands, "value", "low", "high", 1.0, clustered=True).select("event_id", "band")
 
 
 SECONDS = "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts)"

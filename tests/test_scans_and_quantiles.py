@@ -119,3 +119,17 @@ def test_quantiles_of_one_group_of_all_rows(spark, monkeypatch, most):
     # No aggregate of the plan gathers values: sketches and counts only.
     plan = exact_quantiles(df, "v", [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_band_join_deals_points_in_ranges(spark, tmp_path):
+    """Points that follow each other lie in the same ranges, so files are far smaller than a bit-packed number a row; no row is lost."""
+    events = spark.range(12_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 4 == 0, 5.25).otherwise(F.col("id") * 7919 % 1000 / 10.0).alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(6_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    relational_queries.join_band(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    expected = events.where("value - floor(value) <= 0.5 and value < 100.0").count() * 60
+    assert out.count() == out.distinct().count() == expected
+    assert out.join(events, "event_id").where("band % 100 <> floor(value)").isEmpty()
+    assert out.withColumn("file", F.input_file_name()).where("event_id % 4 = 0").select("file").distinct().count() > 1  # of one value
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * expected
