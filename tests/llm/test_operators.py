@@ -320,6 +320,18 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("n_bytes", [350, 399, 400, 401])
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark, n_bytes):
+    rng = random.Random(n_bytes)
+    passage = "".join(rng.choice("abcde") + "fghi " for _ in range(90))[: n_bytes - 1] + "."
+    assert len(passage.split()) > 50 and len(passage.encode()) == n_bytes
+    texts = [f"{words(rng, 40)}<{passage}>{words(rng, 40)}", f"{words(rng, 40)}[{passage}]{words(rng, 40)}", words(rng, 150)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    kept = [t.replace(passage, "") if n_bytes >= 400 else t for t in texts]
+    expected = Counter((i, len(t.encode()), len(t.encode()) - len(k.encode()), int(k != t), hashlib.sha256(k.encode()).hexdigest()) for i, (t, k) in enumerate(zip(texts, kept, strict=True)))
+    assert collected(suffix_dedup.dedup_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
 def test_long_texts_are_cut_into_overlapping_parts(spark, monkeypatch):
     rng = random.Random(9)
     a, b = words(rng, 900), words(rng, 900)
